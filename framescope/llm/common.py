@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word is a run of anything but the ASCII white space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -124,3 +128,46 @@ def normal_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def slices(n: int, step: int) -> Iterator[tuple[int, int]]:
     for start in range(0, n, step):
         yield start, min(n, start + step)
+
+
+def flat_map(df: DataFrame, column: str, keep: Sequence[str], fields: Sequence[T.StructField], make: Callable[[], Callable[[Any], Iterable[tuple]]], limit: int = 8 << 20) -> DataFrame:
+    """The ``keep`` columns of ``df`` with ``fields``: one row for each tuple that a function makes of ``column``.
+
+    ``make`` runs once a task and returns the function. Rows leave in batches of about ``limit`` bytes of new values,
+    so that memory doesn't grow with a partition.
+    """
+    value = free_name(df, "value")
+    source = df.select(*[quoted(k) for k in keep], quoted(column).alias(value))
+    schema = T.StructType([*(df.schema[k] for k in keep), *fields])
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    names = [*keep, *(f.name for f in fields)]
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            values = batch.column(n)
+            rows: list[int] = []
+            new: list[list] = [[] for _ in kinds]
+            size = 0
+
+            def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                out = [batch.column(i).take(at) for i in range(n)] + [pa.array(x, k) for x, k in zip(new, kinds, strict=True)]
+                return pa.RecordBatch.from_arrays(out, names)
+
+            for k in range(len(values)):
+                for made in function(values[k].as_py()):
+                    rows.append(k)
+                    for x, v in zip(new, made, strict=True):
+                        x.append(v)
+                        size += len(v) if isinstance(v, (bytes, str)) else 8
+                    if size > limit:
+                        yield flush()
+                        rows.clear()
+                        for x in new:
+                            x.clear()
+                        size = 0
+            yield flush()
+
+    return source.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import mixing, quality_rules
+from framescope.llm import archives, mixing, packing, quality_rules, telephony
 from framescope.llm.common import materialize, read_table
 
 
@@ -20,6 +20,40 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *base, "base_failed", "kept", "quality_posterior")
 
 
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound = telephony.store_and_decode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    feature = F.concat_ws(":", "codec", "samples", "peak", "mean_square", "sign_changes", F.crc32("pcm"))
+    return sound.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer that the packing query is bound to; operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenize(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(materialize(pieces, "pieces"))
+
+
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = archives.write_archives(read_table(spark, sf_dir, "pages"))
+    found = archives.read_archives(written)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -27,6 +61,9 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_telephony": op2_telephony,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
+    "op8_warc_archives": op8_warc_archives,
 }
 ORACLES: dict[str, str] = {}
