@@ -9,8 +9,9 @@ and the ranking is cut where the words taken come nearest to the target. ``u`` c
 so that reruns agree. An optional weight column makes the fractions differ inside a source: a document's wanted number
 of copies is then proportional to its weight, up to the cap.
 
-No source is sorted as a whole. Ranks are first dealt into ``buckets`` equal slices of the unit interval; sums of words
-by source and slice tell which single slice holds the cut, and only its rows are ordered.
+No source is sorted as a whole. The rank q is first mapped to the unit interval as q r / (1 + q r), r being the odds
+of the source's mean fraction: for a constant fraction that is u itself, so that equal slices hold equally many rows.
+Sums of words by source and slice tell which single slice holds the cut, and only its rows are ordered.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own,
 after all others. Ties in rank are ordered by id and text hash; rows equal in both share one decision only as far as
@@ -108,17 +109,19 @@ def mix_sources(
     table = spark.createDataFrame([(s.source, s.size, s.target, s.target / s.size if s.size else 0.0) for s in shares], f"{src}_s string, source_size_s long, target_s double, ratio_s double")
     joined = sized.join(F.broadcast(table), sized[src].eqNullSafe(table[f"{src}_s"]))  # one row per source
     if weight_col:
-        mean = sized.groupBy(src).agg((F.sum(F.col(weight) * F.col(size)) / F.sum(size)).alias("mean_w")).withColumnRenamed(src, "mean_src")
-        joined = joined.join(F.broadcast(mean), joined[src].eqNullSafe(mean["mean_src"])).withColumn("wanted", F.least(F.lit(cap), F.col("ratio_s") * F.col(weight) / F.col("mean_w")))
+        mean_weight = sized.groupBy(src).agg((F.sum(F.col(weight) * F.col(size)) / F.sum(size)).alias("mean_w")).withColumnRenamed(src, "mean_src")
+        joined = joined.join(F.broadcast(mean_weight), joined[src].eqNullSafe(mean_weight["mean_src"])).withColumn("wanted", F.least(F.lit(cap), F.col("ratio_s") * F.col(weight) / F.col("mean_w")))
     else:
         joined = joined.withColumn("wanted", F.least(F.lit(cap), F.col("ratio_s")))
     p = F.col("wanted") - F.floor("wanted")
     u = uniform_of(seed, F.col(key), F.col(text_key))
     odds = (u / (1 - u)) / (p / (1 - p))
+    mean = F.least(F.greatest(F.col("ratio_s") - F.floor("ratio_s"), F.lit(1e-6)), F.lit(1 - 1e-6))
     ranked = (
         joined.withColumn("whole", F.when(F.col(size) > 0, F.floor("wanted")).otherwise(F.lit(0)).cast("long"))
         .withColumn("odds", F.when((p > 0) & (F.col(size) > 0), odds))
-        .withColumn("slice", F.floor(F.col("odds") / (1 + F.col("odds")) * buckets).cast("int"))
+        .withColumn("spread", F.col("odds") * mean / (1 - mean))
+        .withColumn("slice", F.least(F.floor(F.col("spread") / (1 + F.col("spread")) * buckets), F.lit(buckets - 1)).cast("int"))
     )
     # Where the cut lies: words by source and slice, summed up slice by slice (at most `buckets` rows a source).
     sums = ranked.groupBy(src, "slice").agg(
