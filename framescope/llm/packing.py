@@ -47,12 +47,20 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def stem(self, word: bytes) -> bytes:
+        """``word`` without the marks behind it, if what is left ends in a letter or digit and so is split there."""
+        stem = word.rstrip(self.MARKS)
+        return stem if stem[-1:].isalnum() or stem.decode("utf-8", "replace").isalpha() else word
 
     def word(self, word: bytes) -> bytes:
         found = self.known.get(word)
         if found is None:
-            stem = word.rstrip(self.MARKS)
-            if stem and len(stem) < len(word) and stem[-1:].isalnum():
+            stem = self.stem(word)
+            if len(stem) < len(word):
                 found = self.word(stem) + self.word(word[len(stem) :])
             elif word.isascii() and (small := word.lower()) != word and b"<" not in word:
                 found = self.word(small)
@@ -62,13 +70,33 @@ class WordEncoder:
             self.known[word] = found
         return found
 
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the new words that are letters alone in one go: each is one piece, which an ending id closes."""
+        new = set()
+        for word in words:
+            stem = self.stem(word)
+            stem = stem.lower() if stem.isascii() else stem
+            if stem not in self.known and (letters := stem.decode("utf-8", "replace")).isalpha():
+                new.add(letters)
+        order = sorted(new)
+        for k in range(0, len(order), 512):
+            part = order[k : k + 512]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) == len(part):  # otherwise they are encoded one by one
+                data, start = ids.tobytes(), 0
+                for letters, end in zip(part, ends.tolist(), strict=True):
+                    self.known[letters.encode()] = data[start:end]
+                    start = end
+
     def text(self, text: str) -> bytes:
         if len(self.known) > self.limit:
             self.known.clear()
         words = text.encode("utf-8", "replace").split()
         get = self.known.get
-        found = [get(w) for w in words]
+        found = list(map(get, words))
         if None in found:
+            self.learn({w for w, x in zip(words, found, strict=True) if x is None})
             found = [self.word(w) if x is None else x for w, x in zip(words, found, strict=True)]
         return b"".join(found)  # type: ignore[arg-type]
 
