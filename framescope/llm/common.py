@@ -171,3 +171,33 @@ def flat_map(df: DataFrame, column: str, keep: Sequence[str], fields: Sequence[T
             yield flush()
 
     return source.mapInArrow(run, schema)
+
+
+def flat_map_arrays(df: DataFrame, column: str, keep: Sequence[str], fields: Sequence[T.StructField], make: Callable[[], Callable[[Any], tuple[np.ndarray, ...]]], limit: int = 8 << 20) -> DataFrame:
+    """As ``flat_map``, for a function that gives one numpy array for each field, all of the same length."""
+    value = free_name(df, "value")
+    source = df.select(*[quoted(k) for k in keep], quoted(column).alias(value))
+    schema = T.StructType([*(df.schema[k] for k in keep), *fields])
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    names = [*keep, *(f.name for f in fields)]
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            values = batch.column(n)
+            counts: list[int] = []
+            new: list[tuple[np.ndarray, ...]] = []
+            first = size = 0
+            for k in range(len(values)):
+                new.append(function(values[k].as_py()))
+                counts.append(len(new[-1][0]))
+                size += 8 * counts[-1] * len(fields)
+                if size > limit or k == len(values) - 1:
+                    at = pa.array(np.repeat(np.arange(first, k + 1), counts))
+                    out = [batch.column(i).take(at) for i in range(n)]
+                    out += [pa.array(np.concatenate([x[j] for x in new]), kind) for j, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays(out, names)
+                    counts, new, first, size = [], [], k + 1, 0
+
+    return source.mapInArrow(run, schema)

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import archives, mixing, packing, quality_rules, telephony
+from framescope.llm import archives, licenses, line_dedup, mixing, packing, quality_rules, telephony
 from framescope.llm.common import materialize, read_table
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counted, stats = quality_rules.with_stats(docs)
@@ -48,6 +52,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(pieces, "pieces"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = archives.write_archives(read_table(spark, sf_dir, "pages"))
     found = archives.read_archives(written)
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_telephony": op2_telephony,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
+    "op7_license_scan": op7_license_scan,
     "op8_warc_archives": op8_warc_archives,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
