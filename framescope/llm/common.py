@@ -161,7 +161,7 @@ def flat_map(df: DataFrame, column: str, keep: Sequence[str], fields: Sequence[T
                     rows.append(k)
                     for x, v in zip(new, made, strict=True):
                         x.append(v)
-                        size += len(v) if isinstance(v, (bytes, str)) else 8
+                        size += len(v) if isinstance(v, (bytes, str)) else v.nbytes if isinstance(v, np.ndarray) else 8
                     if size > limit:
                         yield flush()
                         rows.clear()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import archives, licenses, line_dedup, mixing, packing, quality_rules, telephony
+from framescope.llm import archives, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, telephony
 from framescope.llm.common import materialize, read_table
 
 
@@ -52,6 +52,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(pieces, "pieces"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_telephony": op2_telephony,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_license_scan": op7_license_scan,
     "op8_warc_archives": op8_warc_archives,
     "op10_substring_dedup": op10_substring_dedup,
