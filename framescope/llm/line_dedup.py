@@ -19,7 +19,7 @@ texts with the same id are broken by a hash of the text. An empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -65,6 +65,21 @@ class Units:
         self.none = tuple(np.zeros(0, dtype=k) for k in (np.int32, np.int32, np.int64, np.int64))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, ...]:
+        """The first unit of each digest in the text."""
+        start, end, one, two = self.all(text)
+        first = np.sort(np.unique(one, return_index=True)[1])
+        return start[first], end[first], one[first], two[first]
+
+    def again(self, text: str | None) -> list[tuple[int, int]]:
+        """Start and end of units whose digest stands earlier in the same text: removed, wherever else they stand."""
+        start, end, one, two = self.all(text)
+        if not len(one):
+            return []
+        later = np.ones(len(one), dtype=bool)
+        later[np.unique(one, return_index=True)[1]] = False
+        return list(zip(start[later].tolist(), end[later].tolist(), strict=True))
+
+    def all(self, text: str | None) -> tuple[np.ndarray, ...]:
         if not text:
             return self.none
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -104,7 +119,7 @@ class Units:
         return starts[a].astype(np.int32), ends[b].astype(np.int32), self.first.spans(one, left, right).view(np.int64), self.second.spans(two, left, right).view(np.int64)
 
 
-def removed_spans(text: str, spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+def removed_spans(text: str, spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of spans, each with the marks that follow it, the blanks after these, and its line end if it fills the line."""
     merged: list[list[int]] = []
     for start, end in sorted(spans):
@@ -125,18 +140,14 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("kept_spans", _SPANS), T.StructField("removed_spans", _SPANS)])
 
 
-@F.pandas_udf(_RESULT)
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, found in zip(texts, spans, strict=True):
-        if text is None or found is None or not len(found):
-            rows.append((text, [{"start": 0, "end": len(text)}] if text else [], []))
-            continue
-        gone = removed_spans(text, ((s["start"], s["end"]) for s in found))
-        edges = [0, *(x for span in gone for x in span), len(text)]
-        kept = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
-        rows.append(("".join(text[a:b] for a, b in kept), [{"start": a, "end": b} for a, b in kept], [{"start": a, "end": b} for a, b in gone]))
-    return pd.DataFrame(rows, columns=["text", "kept_spans", "removed_spans"])
+def _cut_text(units: Units, text: str | None, found: list | None) -> tuple:
+    again = units.again(text)
+    if text is None or not again and (found is None or not len(found)):
+        return text, [{"start": 0, "end": len(text)}] if text else [], []
+    gone = removed_spans(text, [*again, *((s["start"], s["end"]) for s in (() if found is None else found))])
+    edges = [0, *(x for span in gone for x in span), len(text)]
+    kept = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+    return "".join(text[a:b] for a, b in kept), [{"start": a, "end": b} for a, b in kept], [{"start": a, "end": b} for a, b in gone]
 
 
 def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -156,7 +167,13 @@ def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", m
     repeats = units.withColumn("kept", F.first(here).over(same)).where(~F.col("kept").eqNullSafe(here))
     by_doc = repeats.groupBy("unit_id", "unit_mark").agg(F.collect_list(F.struct("start", "end")).alias(spans))
     joined = marked.join(by_doc, quoted(id_col).eqNullSafe(F.col("unit_id")) & (quoted(mark) == F.col("unit_mark")), "left")
-    done = joined.withColumn(cut, _cut(quoted(text_col), quoted(spans)))
+
+    @F.pandas_udf(_RESULT)
+    def cut_out(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        units = Units(min_words)
+        return pd.DataFrame([_cut_text(units, t, f) for t, f in zip(texts, found, strict=True)], columns=["text", "kept_spans", "removed_spans"])
+
+    done = joined.withColumn(cut, cut_out(quoted(text_col), quoted(spans)))
     c = quoted(cut)
     names = [free_name(df, n) for n in ("kept_spans", "removed_spans", "removed_chars")]
     gone = F.aggregate(c["removed_spans"], F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
