@@ -105,7 +105,7 @@ def scan_licenses(
     postings = {w: [(t, p) for t, x in enumerate(templates) for p, v in enumerate(x.words) if v == w] for w in rare}
     totals = [sum(idf[w] for w in t.words if w in postings) for t in templates]
 
-    tmp = {n: free_name(df, f"license_{n}") for n in ("words", "starts", "codes", "found")}
+    tmp = {n: free_name(df, f"license_{n}") for n in ("words", "starts", "probes", "codes", "found")}
     out = df.withColumn(tmp["words"], words_of(quoted(text_col)))
     words = quoted(tmp["words"])
     n = F.size(words)
@@ -128,10 +128,12 @@ def scan_licenses(
     none = "array<bigint>"
     if rare:
         index = F.create_map(*(x for w in rare for x in (F.lit(w), _array([t * unit - p + zero for t, p in postings[w]]))))
-        looked_up = F.slice(F.array_intersect(_array(rare), words), 1, probes)
+        # A column of its own, so that it isn't worked out again for each word.
+        out = out.withColumn(tmp["probes"], F.slice(F.array_intersect(_array(rare), words), 1, probes))
+        looked_up = quoted(tmp["probes"])
         hits = F.filter(every, lambda i: F.array_contains(looked_up, F.get(words, i)))
         codes = F.array_sort(F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(index, F.get(words, i)), lambda c: c + i))))
-        out = out.withColumn(tmp["codes"], F.when(F.arrays_overlap(words, _array(rare)), codes).otherwise(F.array().cast(none)))
+        out = out.withColumn(tmp["codes"], F.when(F.size(looked_up) > 0, codes).otherwise(F.array().cast(none)))
         codes = quoted(tmp["codes"])
         agreed = F.array_distinct(F.filter(codes, lambda c, j: (j > 0) & (c == F.get(codes, j - 1))))
 
