@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import archives, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, telephony
+from framescope.llm import archives, kneser_ney, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, telephony, toxicity
 from framescope.llm.common import materialize, read_table
 
 
@@ -39,6 +39,17 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).drop("text")
+
+
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return kneser_ney.rate_by_perplexity(docs, read_table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     """The public tokenizer that the packing query is bound to; operators take any path."""
     import public_tokenizers
@@ -74,11 +85,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_telephony": op2_telephony,
+    "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_license_scan": op7_license_scan,
     "op8_warc_archives": op8_warc_archives,
+    "op9_perplexity": op9_perplexity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
