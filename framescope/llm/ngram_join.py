@@ -11,11 +11,12 @@ share one for certain. On the first level n2 is 2 and k2 is 1, and empty sub-par
 many sub-partitions as it takes to find k + 1 that hold something, of which at most k can be spoiled.
 
 Sets with equal signatures are candidates. Not all their pairs are compared. Each bucket compares its members with one
-hub. Members linked to the hub need no comparison among themselves, since only groups are asked for; and by the
-triangle inequality of the Jaccard distance two members whose distances to the hub differ by more than 1 / 5 cannot be
-similar. What is still open after that is compared pair by pair in small buckets; sets in large ones get longer
-signatures of the next level, and on the last level another hub. Every similar pair is thus linked, directly or by way
-of others. Links are verified on whole sets, and spread to groups by repeated minimum with pointer jumping.
+hub. Links found so far form groups; members of one group need no comparison among themselves, since only groups are
+asked for. By the triangle inequality of the Jaccard distance, two members whose distances to the hub differ by more
+than 1 / 5 cannot be similar. Pairs that are still open are compared if a bucket has no more of them than a few for
+each member. Sets in other buckets get longer signatures of the next level; on the last level another hub is taken,
+and more open pairs are allowed each time. Every similar pair is thus linked, directly or by way of others. Links are
+verified on whole sets, and spread to groups by repeated minimum with pointer jumping.
 
 Equal sets are one node, named by a 64-bit digest, before anything else is done; copies cost no comparison.
 
@@ -43,7 +44,7 @@ from framescope.llm.common import SpanHash, flat_map, flat_map_arrays, free_name
 SHINGLE = 5
 #: (n2, k2) of each level; the first passes over empty sub-partitions.
 LEVELS = ((2, 1), (5, 2), (7, 3))
-#: Open members of a bucket that are compared pair by pair.
+#: Open pairs, for each member of a bucket, up to which all of them are compared.
 SMALL_BUCKET = 16
 #: Rows of representatives up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -280,23 +281,26 @@ def _links(prepared: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     sets = flat_map(picked, "row_text", ["rep_node"], [T.StructField("elements", T.ArrayType(T.LongType()))], make).withColumnRenamed("rep_node", "node")
     sets = materialize(sets.dropDuplicates(["node"]), "signature-sets")
 
-    level = 0
+    level, allowed = 0, SMALL_BUCKET
     while True:
         pairs = members.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         rated = materialize(verify(pairs, sets), "hub-distances")
         links = links.unionByName(rated.where("linked").select("a", "b"))
-        known = members.join(rated.select(F.col("a").alias("node"), F.col("b").alias("hub"), "linked", "distance"), ["node", "hub"])
-        nearest = known.where(~F.col("linked")).groupBy("sig").agg(F.min("distance").alias("nearest"))
-        opened = known.join(nearest, "sig").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - 0.2 - _EPSILON))
-        opened = materialize(opened.select("sig", "node", "linked", "distance"), "open-members")
-        sizes = materialize(opened.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "open-sizes")
-        few = opened.join(sizes.where(F.col("n") <= SMALL_BUCKET), "sig")
-        x = few.select("sig", F.col("node").alias("a"), F.col("linked").alias("linked_a"), F.col("distance").alias("distance_a"))
-        y = few.select("sig", F.col("node").alias("b"), F.col("linked").alias("linked_b"), F.col("distance").alias("distance_b"))
-        close = x.join(y, "sig").where((F.col("a") < F.col("b")) & ~(F.col("linked_a") & F.col("linked_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 0.2 + _EPSILON))
+        roots = groups_of(links)
+        known = members.join(rated.select(F.col("a").alias("node"), F.col("b").alias("hub"), "distance"), ["node", "hub"])
+        known = known.join(roots, "node", "left").select("sig", "node", "distance", F.coalesce("root", "node").alias("root"))
+        # What is left of a bucket without its hub: open if it holds more than one group so far.
+        parts = known.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("sig")
+        sizes = parts.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("groups > 1")
+        crossing = (F.col("n") * F.col("n") - F.col("squares")) / 2
+        opened = materialize(known.join(sizes.select("sig", (crossing <= allowed * F.col("n")).alias("few")), "sig"), "open-members")
+        few = opened.where("few")
+        x = few.select("sig", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("distance").alias("distance_a"))
+        y = few.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("distance").alias("distance_b"))
+        close = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 0.2 + _EPSILON))
         more = materialize(verify(close.select("a", "b").distinct(), sets), "pair-distances")
         links = links.unionByName(more.where("linked").select("a", "b"))
-        many = opened.join(sizes.where(F.col("n") > SMALL_BUCKET).select("sig"), "sig", "left_semi")
+        many = opened.where("not few")
         if many.isEmpty():
             return links
         if level + 1 < len(LEVELS):
@@ -304,4 +308,5 @@ def _links(prepared: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             left = sets.join(many.select("node").distinct(), "node", "left_semi")
             members = materialize(with_hubs(set_signatures(left, level)), "signature-members")
         else:
+            allowed *= 4
             members = materialize(with_hubs(many.select("sig", "node")), "signature-members")
