@@ -120,21 +120,22 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     place = {r["word"]: k for k, r in enumerate(best)}
     markers = {r["word"] for r in best if r["odds"] >= 3}
 
-    kept = rows.where(F.col("word").isin(list(place))).groupBy("label_id", "label_hash", "toxic").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    every = counted.select("label_id", "label_hash", "toxic")
-    data = every.join(kept, ["label_id", "label_hash", "toxic"], "left").select("toxic", kept["words"]).collect()  # max_rows rows, known words only
-    grades, r, c, v, dose = np.zeros(len(data), dtype=np.int64), [], [], [], np.zeros(len(data))
-    for k, row in enumerate(data):
-        for word, n in row["words"] or ():
-            r.append(k)
-            c.append(place[word])
-            v.append(math.log1p(n))
-            dose[k] += n * (word in markers and (word[0] == "^" or "^" + word[:PREFIX] not in markers))
-        grades[k] = row["toxic"]
+    # A number for each labelled document and each known word: at most max_rows documents, as columns of numbers.
+    key = F.xxhash64("label_id", "label_hash", "toxic").alias("key")
+    places = docs.sparkSession.createDataFrame([(w, k) for w, k in place.items()], "word string, place int")
+    kept = rows.join(F.broadcast(places), "word").select(key, "place", F.col("n").cast("int").alias("n")).toArrow()
+    every = counted.select(key, F.col("toxic").cast("int").alias("toxic")).distinct().orderBy("key").toArrow()
+    keys, grades = every["key"].to_numpy(), every["toxic"].to_numpy().astype(np.int64)
+    r, c, n = np.searchsorted(keys, kept["key"].to_numpy()), kept["place"].to_numpy().astype(np.int64), kept["n"].to_numpy()
+    order = np.lexsort((c, r))
+    r, c, n = r[order], c[order], n[order]
+    names = list(place)
+    marks = np.array([w in markers and (w[0] == "^" or "^" + w[:PREFIX] not in markers) for w in names] + [False])
+    dose = np.bincount(r, weights=n * marks[c], minlength=len(keys))
     found = dose[grades == 1]
     cuts = np.quantile(found, [1 / 3, 2 / 3])
     grades[grades == 1] += np.searchsorted(cuts, found, side="right")
-    w, theta = fit_ordinal(np.array(r, dtype=np.int64), np.array(c, dtype=np.int64), np.array(v), grades, len(place))
+    w, theta = fit_ordinal(r, c, np.log1p(n), grades, len(place))
     return Ordinal({word: float(w[k]) for word, k in place.items()}, tuple(float(t) for t in theta))
 
 
