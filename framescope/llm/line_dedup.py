@@ -165,8 +165,9 @@ def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", m
     same = Window.partitionBy("d1", "d2").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here = F.struct("unit_id", "unit_mark", "start")
     repeats = units.withColumn("kept", F.first(here).over(same)).where(~F.col("kept").eqNullSafe(here))
-    by_doc = repeats.groupBy("unit_id", "unit_mark").agg(F.collect_list(F.struct("start", "end")).alias(spans))
-    joined = marked.join(by_doc, quoted(id_col).eqNullSafe(F.col("unit_id")) & (quoted(mark) == F.col("unit_mark")), "left")
+    by_id, by_mark = free_name(marked, "unit_id"), free_name(marked, "unit_mark")
+    by_doc = repeats.groupBy(F.col("unit_id").alias(by_id), F.col("unit_mark").alias(by_mark)).agg(F.collect_list(F.struct("start", "end")).alias(spans))
+    joined = marked.join(by_doc, quoted(id_col).eqNullSafe(F.col(by_id)) & (quoted(mark) == F.col(by_mark)), "left")
 
     @F.pandas_udf(_RESULT)
     def cut_out(texts: pd.Series, found: pd.Series) -> pd.DataFrame:

@@ -91,11 +91,11 @@ def mix_sources(
     ``copies`` is how often the mix takes the row's document; ``taken`` is that times its size.
     """
     spark = df.sparkSession
-    size, src, key, text_key, weight = (free_name(df, n) for n in ("size", "mix_source", "mix_id", "mix_text", "mix_weight"))
-    fields = [quoted(c) for c in dict.fromkeys([id_col, source_col, *keep])]
+    fields = list(dict.fromkeys([id_col, source_col, *keep]))
+    size, src, key, text_key, weight = "size", "mix_source", "mix_id", "mix_text", "mix_weight"
     sized = materialize(
         df.select(
-            *fields,
+            F.struct(*[quoted(c) for c in fields]).alias("row"),
             word_count(quoted(text_col)).alias(size),
             quoted(source_col).cast("string").alias(src),
             quoted(id_col).alias(key),
@@ -104,8 +104,9 @@ def mix_sources(
         ),
         "mix-sizes",
     )
+    carried = df.select(*[quoted(c) for c in fields])
     shares = plan_shares(sized, src, size, weights=weights, total_share=total_share, cap=cap)
-    names = {n: free_name(df, n) for n in ("source_size", "target", "copies", "taken")}
+    names = {n: free_name(carried, n) for n in ("size", "source_size", "target", "copies", "taken")}
     table = spark.createDataFrame([(s.source, s.size, s.target, s.target / s.size if s.size else 0.0) for s in shares], f"{src}_s string, source_size_s long, target_s double, ratio_s double")
     joined = sized.join(F.broadcast(table), sized[src].eqNullSafe(table[f"{src}_s"]))  # one row per source
     if weight_col:
@@ -150,8 +151,8 @@ def mix_sources(
         rest.unionByName(edged)
         .withColumn("copies_s", F.col("whole") + F.col("extra"))
         .select(
-            *fields,
-            F.col(size),
+            *[F.col("row").getField(c).alias(c) for c in fields],
+            F.col(size).alias(names["size"]),
             F.col("source_size_s").alias(names["source_size"]),
             F.col("target_s").alias(names["target"]),
             F.col("copies_s").alias(names["copies"]),

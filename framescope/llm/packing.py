@@ -214,21 +214,21 @@ def pack(pieces: DataFrame, length_col: str = "length", order_by: Sequence[str]
     """``pieces`` with ``sequence_id`` and ``offset``. Lengths are 1 to ``capacity``; ``pieces`` is read more than once,
     so it should be a table."""
     spark = pieces.sparkSession
-    rank, salt, group = (free_name(pieces, n) for n in ("pack_rank", "pack_salt", "pack_before"))
+    rank, salt, group, of_length, of_salt = (free_name(pieces, n) for n in ("pack_rank", "pack_salt", "pack_before", "group_length", "group_salt"))
     names = [free_name(pieces, n) for n in ("sequence_id", "offset")]
     keys = [quoted(c) for c in order_by or pieces.columns]
     length = quoted(length_col)
     salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
-    groups = salted.groupBy(length.alias("group_length"), F.col(salt).alias("group_salt")).agg(F.count(F.lit(1)).alias("n"))
+    groups = salted.groupBy(length.alias(of_length), F.col(salt).alias(of_salt)).agg(F.count(F.lit(1)).alias("n"))
     groups = materialize(groups, "pack-groups")
-    counts = {int(r[0]): int(r[1]) for r in groups.groupBy("group_length").agg(F.sum("n")).collect()}  # a row per length
+    counts = {int(r[0]): int(r[1]) for r in groups.groupBy(of_length).agg(F.sum("n")).collect()}  # a row per length
     places = spark.sparkContext.broadcast(places_of(plan_bins(counts, capacity), counts, capacity))
 
-    before = Window.partitionBy("group_length").orderBy("group_salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = groups.withColumn(group, F.sum("n").over(before) - F.col("n"))
+    before = Window.partitionBy(of_length).orderBy(of_salt).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = groups.select(of_length, of_salt, (F.sum("n").over(before) - F.col("n")).alias(group))
     inside = Window.partitionBy(length, F.col(salt)).orderBy(*keys)
     ranked = salted.withColumn(rank, F.row_number().over(inside) - 1)
-    ranked = ranked.join(groups, (length == F.col("group_length")) & (F.col(salt) == F.col("group_salt")))
+    ranked = ranked.join(groups, (length == F.col(of_length)) & (F.col(salt) == F.col(of_salt)))
     kind = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     @F.pandas_udf(kind)
