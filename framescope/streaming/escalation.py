@@ -1,0 +1,70 @@
+"""Review queues over streams of saved annotations, and windows over event time.
+
+Annotations arrive as rows (clip_id, annotator_id, status, unsafe, suggested, action, saved_at). A clip goes to review
+for the first reason that comes up: a flag, a change of the suggested safety label, or two annotators who disagree.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+QUEUE = "clip_id long, reason string, saved_at long"
+_STATE = "action string, annotator string, queued boolean"
+
+
+def own_reason() -> Column:
+    """The reason that an annotation gives by itself, else null."""
+    return F.when(F.col("status") == "flagged", "flagged").when(~F.col("unsafe").eqNullSafe(F.col("suggested")), "safety_label_changed")
+
+
+def _review(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    action, annotator, queued = state.get if state.exists else (None, None, False)
+    rows = pd.concat(list(parts)).sort_values(["saved_at", "annotator_id"])
+    for r in rows.itertuples():
+        reason = r.reason if isinstance(r.reason, str) else None
+        if reason is None and action is not None and r.annotator_id != annotator and r.action != action:
+            reason = "disagreement"
+        if action is None and isinstance(r.action, str):
+            action, annotator = r.action, r.annotator_id
+        if reason and not queued:
+            queued = True
+            yield pd.DataFrame([(key[0], reason, r.saved_at)], columns=["clip_id", "reason", "saved_at"])
+    state.update((action, annotator, queued))
+
+
+def review_queue(saved: DataFrame) -> DataFrame:
+    """The stream of queue entries, one for each clip. State is the first action, its annotator, and whether queued."""
+    rows = saved.withColumn("reason", own_reason()).select("clip_id", "annotator_id", "action", "reason", "saved_at")
+    return rows.groupBy("clip_id").applyInPandasWithState(_review, QUEUE, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def queue_of(saved: DataFrame) -> DataFrame:
+    """The same queue over a table: the first reason of each clip."""
+    first = saved.groupBy("clip_id").agg(F.min_by(F.struct("action", "annotator_id"), F.struct("saved_at", "annotator_id")).alias("first"))
+    rows = saved.withColumn("reason", own_reason()).join(first, "clip_id")
+    other = (F.col("annotator_id") != F.col("first.annotator_id")) & (F.col("action") != F.col("first.action"))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(other, "disagreement"))).where("reason is not null")
+    return rows.groupBy("clip_id").agg(F.min_by("reason", F.struct("saved_at", "annotator_id")).alias("reason"), F.min("saved_at").alias("saved_at"))
+
+
+def live_entries(queue: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Queue entries whose clip still has an annotation."""
+    return queue.join(annotations.select("clip_id").distinct(), "clip_id", "left_semi")
+
+
+def tumbling(events: DataFrame, ts: str, width: str, keys: list[str], late: str | None = None) -> DataFrame:
+    """Counts by window; on a stream, rows later than ``late`` are dropped."""
+    timed = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    timed = timed.withWatermark("_ts", late) if late else timed
+    return timed.groupBy(F.window("_ts", width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+
+
+def sessions(events: DataFrame, ts: str, gap: str, key: str, late: str | None = None) -> DataFrame:
+    timed = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    timed = timed.withWatermark("_ts", late) if late else timed
+    return timed.groupBy(F.session_window("_ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), "n")
