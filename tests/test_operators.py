@@ -139,7 +139,7 @@ def test_files(spark, tmp_path):
     tiers = spark.createDataFrame([("c", "A", ["x", "y"], 1)], "clip_id string, tier string, tags array<string>, _private int")
     files.write_tiers(tiers, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["tags"] == "x,y"
-    assert files.find_files(spark, str(tmp_path), "*.json").count() == 2
+    assert files.find_files(spark, str(tmp_path), "*.json").count() == 1  # hidden folders are left out
     files.write_json_lines(tiers, str(tmp_path / "lines"))
     assert spark.read.json(str(tmp_path / "lines")).count() == 1
 
