@@ -18,6 +18,10 @@ each member. Sets in other buckets get longer signatures of the next level; on t
 and more open pairs are allowed each time. Every similar pair is thus linked, directly or by way of others. Links are
 verified on whole sets, and spread to groups by repeated minimum with pointer jumping.
 
+Before whole sets are fetched and compared, a pair is sifted by parity sketches: bit c of a sketch says whether the set
+has an odd number of elements in cell c of the domain. Two sets differ in at least as many elements as their sketches
+in bits, so that a pair with too many different bits cannot be similar; no similar pair is lost.
+
 Equal sets are one node, named by a 64-bit digest, before anything else is done; copies cost no comparison.
 
 Defined results: a null text counts as empty; without words the set is empty and its document stays alone. A group is
@@ -34,6 +38,7 @@ from itertools import combinations
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +50,7 @@ SHINGLE = 5
 #: (n2, k2) of each level; the first passes over empty sub-partitions.
 LEVELS = ((2, 1), (5, 2), (7, 3))
 #: Open pairs, for each member of a bucket, up to which all of them are compared.
-SMALL_BUCKET = 16
+SMALL_BUCKET = 32
 #: Rows of representatives up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 _EPSILON = 1e-9
@@ -72,6 +77,23 @@ def node_of(elements: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).view(np.int64))
 
 
+def sketch_of(elements: np.ndarray) -> bytes:
+    """Parity bits of about four to eight cells an element, a power of two."""
+    cells = 1 << max(6, int(4 * len(elements) - 1).bit_length())
+    odd = np.bincount((mix(elements) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def different_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the other's length first."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def most_differences(size: int) -> int:
     """Elements in which a set of this size and any similar set, smaller or larger, can differ at most."""
     return (size + 5 * size // 4) // 9
@@ -159,18 +181,18 @@ class Signatures:
 
 
 def describe(df: DataFrame, text_col: str, keep: Sequence[str], width: int) -> DataFrame:
-    """A lean row for each row: ``keep``, ``n_shingles`` and ``node`` (null for an empty set)."""
+    """A lean row for each row: ``keep``, ``n_shingles``, ``node`` and ``sketch`` (null for an empty set)."""
 
     def make() -> Callable[[Any], Iterable[tuple]]:
         shingles = Shingles(width)
 
         def row(text: str | None) -> Iterable[tuple]:
             elements = shingles(text)
-            return [(len(elements), node_of(elements) if len(elements) else None)]
+            return [(len(elements), node_of(elements), sketch_of(elements)) if len(elements) else (0, None, None)]
 
         return row
 
-    return flat_map(df, text_col, keep, [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())], make)
+    return flat_map(df, text_col, keep, [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sketch", T.BinaryType())], make)
 
 
 def text_signatures(df: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -227,6 +249,20 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", (5 * F.col("common") >= 4 * union).alias("linked"), (1 - F.col("common") / union).alias("distance"))
 
 
+@F.pandas_udf(T.LongType())
+def _different(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([different_bits(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def sift(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, near, low) of each pair: whether it may be similar, and a lower bound of its distance."""
+    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    both = both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), _different("sketch_a", "sketch_b").alias("bits"))
+    return both.select("a", "b", (9 * F.col("bits") <= F.col("sizes")).alias("near"), (2 * F.col("bits") / (F.col("sizes") + F.col("bits"))).alias("low"))
+
+
 def groups_of(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches."""
     edges = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "group-edges")
@@ -247,7 +283,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     fields = list(dict.fromkeys([id_col, *keep]))
     prepared = df.select(quoted(id_col).alias("row_id"), F.xxhash64(quoted(text_col)).alias("row_hash"), quoted(text_col).alias("row_text"), F.struct(*[quoted(c) for c in fields]).alias("row"))
     rows = materialize(describe(prepared, "row_text", ["row_id", "row_hash", "row"], width), "shingle-rows")
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_id").alias("first_id"), F.min(F.struct("row_id", "row_hash")).alias("rep"))
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("row_id").alias("first_id"), F.min(F.struct("row_id", "row_hash")).alias("rep"), F.first("n_shingles").alias("size"), F.max("sketch").alias("sketch"))
     nodes = materialize(nodes, "shingle-nodes")
 
     links = _links(prepared, nodes, width)
@@ -263,49 +299,61 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return out.select(*[F.col("row").getField(c).alias(c) for c in fields], F.col("n_shingles").alias(names[0]), component.alias(names[1]))
 
 
-def _links(prepared: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(a, b) of verified links that connect all that any links connect."""
-    spark = prepared.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    members = materialize(with_hubs(text_signatures(prepared, "row_text", width)), "signature-members")
-    wanted = materialize(members.select("node").union(members.select("hub")).distinct().join(nodes, "node").select("node", "rep"), "signature-nodes")
-    reps = wanted.select(F.col("node").alias("rep_node"), F.col("rep.row_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash"))
-    if wanted.count() <= BROADCAST_ROWS:
-        reps = F.broadcast(reps)
+def fetch_sets(prepared: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, elements) of the nodes of ``wanted``, from the texts of their representatives."""
+    wanted = materialize(wanted.select("node").distinct().join(nodes, "node").select(F.col("node").alias("rep_node"), F.col("rep.row_id").alias("rep_id"), F.col("rep.row_hash").alias("rep_hash")), "wanted-nodes")
+    reps = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     picked = prepared.select("row_id", "row_hash", "row_text").join(reps, F.col("row_id").eqNullSafe(F.col("rep_id")) & (F.col("row_hash") == F.col("rep_hash")))
 
     def make() -> Callable[[Any], Iterable[tuple]]:
         shingles = Shingles(width)
         return lambda text: [(shingles(text).view(np.int64),)]
 
-    sets = flat_map(picked, "row_text", ["rep_node"], [T.StructField("elements", T.ArrayType(T.LongType()))], make).withColumnRenamed("rep_node", "node")
-    sets = materialize(sets.dropDuplicates(["node"]), "signature-sets")
+    sets = flat_map(picked, "row_text", ["rep_node"], [T.StructField("elements", T.ArrayType(T.LongType()))], make)
+    return materialize(sets.withColumnRenamed("rep_node", "node").dropDuplicates(["node"]), "sets")
+
+
+def _links(prepared: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(a, b) of verified links that connect all that any links connect."""
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
 
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return verify(pairs, fetch_sets(prepared, nodes, ends(pairs), width))
+
+    links = prepared.sparkSession.createDataFrame([], "a long, b long")
+    members = materialize(with_hubs(text_signatures(prepared, "row_text", width)), "signature-members")
     level, allowed = 0, SMALL_BUCKET
     while True:
         pairs = members.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        rated = materialize(verify(pairs, sets), "hub-distances")
+        sifted = materialize(sift(pairs, nodes), "hub-sifted")
+        rated = materialize(confirm(sifted.where("near").select("a", "b")), "hub-distances")
         links = links.unionByName(rated.where("linked").select("a", "b"))
         roots = groups_of(links)
-        known = members.join(rated.select(F.col("a").alias("node"), F.col("b").alias("hub"), "distance"), ["node", "hub"])
-        known = known.join(roots, "node", "left").select("sig", "node", "distance", F.coalesce("root", "node").alias("root"))
+        # Distances to the hub: exact ones, or lower bounds.
+        far = sifted.join(rated.select("a", "b", "distance"), ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.coalesce("distance", "low").alias("distance"), F.col("distance").isNotNull().alias("exact"))
+        known = members.join(far, ["node", "hub"]).join(roots, "node", "left").select("sig", "node", "distance", "exact", F.coalesce("root", "node").alias("root"))
         # What is left of a bucket without its hub: open if it holds more than one group so far.
         parts = known.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("sig")
         sizes = parts.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("groups > 1")
         crossing = (F.col("n") * F.col("n") - F.col("squares")) / 2
         opened = materialize(known.join(sizes.select("sig", (crossing <= allowed * F.col("n")).alias("few")), "sig"), "open-members")
         few = opened.where("few")
-        x = few.select("sig", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("distance").alias("distance_a"))
-        y = few.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("distance").alias("distance_b"))
-        close = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) <= 0.2 + _EPSILON))
-        more = materialize(verify(close.select("a", "b").distinct(), sets), "pair-distances")
-        links = links.unionByName(more.where("linked").select("a", "b"))
+        x, y = (few.select("sig", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "distance", "exact"))) for side in ("a", "b"))
+        apart = lambda p, q: F.col(f"exact_{p}") & (F.col(f"distance_{q}") - F.col(f"distance_{p}") > 0.2 + _EPSILON)
+        close = x.join(y, "sig").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & ~apart("a", "b") & ~apart("b", "a"))
+        close = close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        near = materialize(sift(close, nodes).where("near").select("a", "b"), "pair-sifted")
+        if not near.isEmpty():
+            more = materialize(confirm(near), "pair-distances")
+            links = links.unionByName(more.where("linked").select("a", "b"))
         many = opened.where("not few")
         if many.isEmpty():
             return links
         if level + 1 < len(LEVELS):
             level += 1
-            left = sets.join(many.select("node").distinct(), "node", "left_semi")
+            left = fetch_sets(prepared, nodes, many.select("node"), width)
             members = materialize(with_hubs(set_signatures(left, level)), "signature-members")
         else:
             allowed *= 4
