@@ -527,7 +527,7 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("small", [16, 2])
+@pytest.mark.parametrize("small", [32, 2])
 def test_join_against_all_pairs(spark, small, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
     texts = near_copies()
