@@ -14,7 +14,7 @@ of the source's mean fraction: for a constant fraction that is u itself, so that
 Sums of words by source and slice tell which single slice holds the cut, and only its rows are ordered.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own,
-after all others. Ties in rank are ordered by id and text hash; rows equal in both share one decision only as far as
+after all others. Ties in rank are ordered by id and a digest of the text; rows equal in both share one decision only as far as
 the cut allows. An empty table gives an empty result. Result columns that clash with input columns get a suffix.
 """
 
@@ -99,7 +99,7 @@ def mix_sources(
             word_count(quoted(text_col)).alias(size),
             quoted(source_col).cast("string").alias(src),
             quoted(id_col).alias(key),
-            F.xxhash64(quoted(text_col)).alias(text_key),
+            F.md5(quoted(text_col)).alias(text_key),
             (F.greatest(F.coalesce(quoted(weight_col).cast("double"), F.lit(0.0)), F.lit(1e-6)) if weight_col else F.lit(1.0)).alias(weight),
         ),
         "mix-sizes",
