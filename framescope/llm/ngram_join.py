@@ -48,9 +48,9 @@ from framescope.llm.common import SpanHash, flat_map, flat_map_arrays, free_name
 
 SHINGLE = 5
 #: (n2, k2) of each level; the first passes over empty sub-partitions.
-LEVELS = ((2, 1), (5, 2), (7, 3))
+LEVELS = ((2, 1), (7, 3))
 #: Open pairs, for each member of a bucket, up to which all of them are compared.
-SMALL_BUCKET = 32
+SMALL_BUCKET = 64
 #: Rows of representatives up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 _EPSILON = 1e-9
@@ -324,13 +324,14 @@ def _links(prepared: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     links = prepared.sparkSession.createDataFrame([], "a long, b long")
     members = materialize(with_hubs(text_signatures(prepared, "row_text", width)), "signature-members")
-    level, allowed = 0, SMALL_BUCKET
+    level, allowed, roots = 0, SMALL_BUCKET, None
     while True:
         pairs = members.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         sifted = materialize(sift(pairs, nodes), "hub-sifted")
         rated = materialize(confirm(sifted.where("near").select("a", "b")), "hub-distances")
         links = links.unionByName(rated.where("linked").select("a", "b"))
-        roots = groups_of(links)
+        # Groups are worked out after the first hubs; groups that later rounds would merge only cost comparisons.
+        roots = groups_of(links) if roots is None else roots
         # Distances to the hub: exact ones, or lower bounds.
         far = sifted.join(rated.select("a", "b", "distance"), ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.coalesce("distance", "low").alias("distance"), F.col("distance").isNotNull().alias("exact"))
         known = members.join(far, ["node", "hub"]).join(roots, "node", "left").select("sig", "node", "distance", "exact", F.coalesce("root", "node").alias("root"))
