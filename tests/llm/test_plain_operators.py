@@ -527,7 +527,7 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("small", [32, 2])
+@pytest.mark.parametrize("small", [64, 1])
 def test_join_against_all_pairs(spark, small, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
     texts = near_copies()
@@ -538,7 +538,7 @@ def test_join_against_all_pairs(spark, small, monkeypatch):
 def test_similar_sets_share_a_signature_on_every_level():
     r = np.random.default_rng(6)
     bands = ngram_join.Bands()
-    levels = [ngram_join.Signatures(k, bands) for k in range(3)]
+    levels = [ngram_join.Signatures(k, bands) for k in range(len(ngram_join.LEVELS))]
     for size in (4, 5, 6, 9, 20, 33, 64, 130, 400):
         for _ in range(12):
             a = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
