@@ -1,10 +1,12 @@
 """Licence scan by a positional index of rare tokens, in DataFrame functions alone.
 
 The words of short licence notices form an index: word -> (template, place in the template). How rare a licence word
-is, is counted over all documents. For each document its licence words of highest inverse document frequency are looked
-up; each place where one stands, less the place in a template, is the offset at which that template would begin. An
-offset that two words agree on is a candidate. The candidate's score is the share of the template's rarity that stands
-at its places, and it counts only if the template's mandatory phrases stand near where they should.
+is, is counted over all documents. Each template is looked up by its own rarest words, in every document that has all
+words of its mandatory phrases; each place where one stands, less the place in a template, is the offset at which that
+template would begin. An offset that two words agree on is a candidate. The candidate's score is the share of the
+template's rarity that stands at its places, and it counts only if the template's mandatory phrases stand near where
+they should. A template has as many words in the index as it takes for every offset with a sufficient score to be a
+candidate, whatever else stands in the document.
 
 Besides, the base phrases are reported wherever their words stand consecutively.
 
@@ -85,27 +87,44 @@ def rarity(df: DataFrame, text_col: str, vocabulary: Sequence[str]) -> dict[str,
     return {w: math.log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) for w in vocabulary}
 
 
+def probe_words(words: Sequence[str], weight: dict[str, float], min_score: float) -> tuple[list[str], int]:
+    """The rarest words of a template, and how often a place of theirs counts towards the two that must agree.
+
+    Without two places of these words no offset reaches ``min_score``. Where one place may be enough, it counts twice.
+    """
+    total = sum(weight.get(w, 0.0) for w in words)
+    order = sorted({w for w in words if w in weight}, key=lambda w: (-weight[w], w))
+    left = total
+    for k, w in enumerate(order, 1):
+        left -= words.count(w) * weight[w]
+        if left + weight[order[0]] < min_score * total - 1e-9:
+            return order[:k], 1
+    return order, 2
+
+
 def scan_licenses(
     df: DataFrame,
     text_col: str = "text",
     templates: Sequence[Template] = TEMPLATES,
-    probes: int = 8,
     min_rarity: float = 1.0,
     min_score: float = 0.6,
     slack: int = 3,
 ) -> DataFrame:
     """``df`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``.
 
-    ``probes`` is how many of a document's rarest licence words are looked up, ``min_rarity`` the inverse document
-    frequency that makes a word worth indexing, ``slack`` how far a mandatory phrase may lie from its place.
+    ``min_rarity`` is the inverse document frequency that makes a word worth indexing, ``slack`` how far a mandatory
+    phrase may lie from its place.
     """
     vocabulary = sorted({w for t in templates for w in t.words})
     idf = rarity(df, text_col, vocabulary)
-    rare = sorted((w for w in vocabulary if idf[w] >= min_rarity), key=lambda w: (-idf[w], w))
-    postings = {w: [(t, p) for t, x in enumerate(templates) for p, v in enumerate(x.words) if v == w] for w in rare}
-    totals = [sum(idf[w] for w in t.words if w in postings) for t in templates]
-
-    tmp = {n: free_name(df, f"license_{n}") for n in ("words", "starts", "probes", "codes", "found")}
+    weight = {w: idf[w] for w in vocabulary if idf[w] >= min_rarity}
+    totals = [sum(weight.get(w, 0.0) for w in t.words) for t in templates]
+    probes = [probe_words(t.words, weight, min_score) for t in templates]
+    rare = sorted({w for found, _ in probes for w in found})
+    postings = {w: [(t, p) for t, x in enumerate(templates) if w in probes[t][0] for p, v in enumerate(x.words) if v == w for _ in range(probes[t][1])] for w in rare}
+    needed = [sorted({w for p in t.phrases for w in p}) for t in templates]
+
+    tmp = {n: free_name(df, f"license_{n}") for n in ("words", "starts", "present", "probes", "codes", "found")}
     out = df.withColumn(tmp["words"], words_of(quoted(text_col)))
     words = quoted(tmp["words"])
     n = F.size(words)
@@ -123,13 +142,17 @@ def scan_licenses(
     none = "array<struct<at:bigint,label:string>>"
     out = out.withColumn(tmp["starts"], F.when(F.arrays_overlap(words, _array(first_words)), F.concat(*tests)).otherwise(F.array().cast(none)))
 
-    # Candidates: template and offset in one number, from the postings of the rarest words.
+    # Candidates: template and offset in one number, from the postings of each template's rarest words.
     unit, zero = 1 << 40, 1 << 30
     none = "array<bigint>"
     if rare:
         index = F.create_map(*(x for w in rare for x in (F.lit(w), _array([t * unit - p + zero for t, p in postings[w]]))))
-        # A column of its own, so that it isn't worked out again for each word.
-        out = out.withColumn(tmp["probes"], F.slice(F.array_intersect(_array(rare), words), 1, probes))
+        # Columns of their own, so that they aren't worked out again for each word.
+        out = out.withColumn(tmp["present"], F.array_intersect(_array(vocabulary), words))
+        present = quoted(tmp["present"])
+        no_words = F.array().cast("array<string>")
+        live = [F.when(F.size(F.array_except(_array(v), present)) == 0, _array(found)).otherwise(no_words) if v else _array(found) for v, (found, _) in zip(needed, probes, strict=True) if found]
+        out = out.withColumn(tmp["probes"], F.array_intersect(F.flatten(F.array(*live)), present))
         looked_up = quoted(tmp["probes"])
         hits = F.filter(every, lambda i: F.array_contains(looked_up, F.get(words, i)))
         codes = F.array_sort(F.flatten(F.transform(hits, lambda i: F.transform(F.element_at(index, F.get(words, i)), lambda c: c + i))))
@@ -145,7 +168,7 @@ def scan_licenses(
             score = F.lit(0.0)
             label = F.lit("")
             for t, x in enumerate(templates):
-                there = sum((F.when(F.coalesce(F.get(words, at + p) == w, F.lit(False)), F.lit(idf[w])).otherwise(F.lit(0.0)) for p, w in enumerate(x.words) if w in postings), F.lit(0.0))
+                there = sum((F.when(F.coalesce(F.get(words, at + p) == w, F.lit(False)), F.lit(weight[w])).otherwise(F.lit(0.0)) for p, w in enumerate(x.words) if w in weight), F.lit(0.0))
                 proven = F.lit(True)
                 for phrase in x.phrases:
                     p = next(k for k in range(len(x.words)) if x.words[k : k + len(phrase)] == phrase)

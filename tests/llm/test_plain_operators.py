@@ -361,6 +361,30 @@ def test_licenses_against_brute_force(spark):
     assert rows[n + 5]["labels"] == "cc-by,cc-by-nc-4.0" or "cc-by" in rows[n + 5]["labels"]
 
 
+def test_every_notice_of_a_document_is_found(spark):
+    texts = [" ".join(" ".join(t.words) for t in licenses.TEMPLATES)]
+    texts.append(" ".join(" ".join(t.words) for t in licenses.TEMPLATES if t.label in ("apache-2.0", "mit", "bsd")))
+    short = licenses.template("mit", "released under the mit license").words
+    texts.append(" ".join(sorted({w for t in licenses.TEMPLATES for w in t.words} - set(short))) + " " + " ".join(short))
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, texts + [prose(k, 50) for k in range(40)])).collect()}
+    assert {t.label for t in licenses.TEMPLATES} <= set(rows[0]["labels"].split(","))
+    assert set(rows[1]["labels"].split(",")) == {"apache-2.0", "mit", "bsd"}
+    assert "mit" in rows[2]["labels"].split(",") and rows[2]["score"] == 1
+    assert all(rows[k]["labels"] == "" for k in range(3, 43))
+
+
+def test_probes_leave_no_sufficient_offset_out():
+    r = random.Random(3)
+    for _ in range(300):
+        words = [r.choice("abcdefgh") for _ in range(r.randint(1, 7))]
+        weight = {w: r.choice([1.0, 2.0, 9.0, 40.0]) for w in set(words)}
+        probes, count = licenses.probe_words(words, weight, 0.6)
+        for some in range(1 << len(words)):
+            there = [w for k, w in enumerate(words) if some >> k & 1]
+            if sum(weight[w] for w in there) >= 0.6 * sum(weight[w] for w in words):
+                assert count * sum(w in probes for w in there) >= 2
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
