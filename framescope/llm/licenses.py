@@ -79,12 +79,12 @@ def _stands(words: Column, at: Column, phrase: Sequence[str]) -> Column:
 
 
 def rarity(df: DataFrame, text_col: str, vocabulary: Sequence[str]) -> dict[str, float]:
-    """Inverse document frequency of each word of a fixed ``vocabulary``, over all rows."""
+    """Smoothed inverse document frequency of each word of a fixed ``vocabulary``, over all rows: 1 for a word in all."""
     found = F.array_intersect(_array(vocabulary), words_of(quoted(text_col)))
     # A row for all documents besides one for each word that occurs; no more than the vocabulary and one.
     counts = df.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r["word"]: r["n"] for r in counts}
-    return {w: math.log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) for w in vocabulary}
+    return {w: math.log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
 def probe_words(words: Sequence[str], weight: dict[str, float], min_score: float) -> tuple[list[str], int]:
@@ -92,8 +92,8 @@ def probe_words(words: Sequence[str], weight: dict[str, float], min_score: float
 
     Without two places of these words no offset reaches ``min_score``. Where one place may be enough, it counts twice.
     """
-    total = sum(weight.get(w, 0.0) for w in words)
-    order = sorted({w for w in words if w in weight}, key=lambda w: (-weight[w], w))
+    total = sum(weight[w] for w in words)
+    order = sorted(set(words), key=lambda w: (-weight[w], w))
     left = total
     for k, w in enumerate(order, 1):
         left -= words.count(w) * weight[w]
@@ -106,19 +106,17 @@ def scan_licenses(
     df: DataFrame,
     text_col: str = "text",
     templates: Sequence[Template] = TEMPLATES,
-    min_rarity: float = 1.0,
     min_score: float = 0.6,
     slack: int = 3,
 ) -> DataFrame:
     """``df`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``.
 
-    ``min_rarity`` is the inverse document frequency that makes a word worth indexing, ``slack`` how far a mandatory
-    phrase may lie from its place.
+    ``slack`` is how far a mandatory phrase may lie from its place. No word is too frequent to count: how rare words are
+    decides which are looked up and what they weigh, not whether a whole notice is found.
     """
     vocabulary = sorted({w for t in templates for w in t.words})
-    idf = rarity(df, text_col, vocabulary)
-    weight = {w: idf[w] for w in vocabulary if idf[w] >= min_rarity}
-    totals = [sum(weight.get(w, 0.0) for w in t.words) for t in templates]
+    weight = rarity(df, text_col, vocabulary)
+    totals = [sum(weight[w] for w in t.words) for t in templates]
     probes = [probe_words(t.words, weight, min_score) for t in templates]
     rare = sorted({w for found, _ in probes for w in found})
     postings = {w: [(t, p) for t, x in enumerate(templates) if w in probes[t][0] for p, v in enumerate(x.words) if v == w for _ in range(probes[t][1])] for w in rare}
@@ -168,7 +166,7 @@ def scan_licenses(
             score = F.lit(0.0)
             label = F.lit("")
             for t, x in enumerate(templates):
-                there = sum((F.when(F.coalesce(F.get(words, at + p) == w, F.lit(False)), F.lit(weight[w])).otherwise(F.lit(0.0)) for p, w in enumerate(x.words) if w in weight), F.lit(0.0))
+                there = sum((F.when(F.coalesce(F.get(words, at + p) == w, F.lit(False)), F.lit(weight[w])).otherwise(F.lit(0.0)) for p, w in enumerate(x.words)), F.lit(0.0))
                 proven = F.lit(True)
                 for phrase in x.phrases:
                     p = next(k for k in range(len(x.words)) if x.words[k : k + len(phrase)] == phrase)

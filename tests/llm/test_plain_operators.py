@@ -373,6 +373,12 @@ def test_every_notice_of_a_document_is_found(spark):
     assert all(rows[k]["labels"] == "" for k in range(3, 43))
 
 
+def test_notices_are_found_however_many_rows_hold_them(spark):
+    for texts in (["Released under the MIT License."], ["Released under the MIT License. " + prose(k, 20) for k in range(12)]):
+        rows = licenses.scan_licenses(documents(spark, texts)).collect()
+        assert [(r["labels"], r["score"]) for r in rows] == [("mit", 1.0)] * len(texts)
+
+
 def test_probes_leave_no_sufficient_offset_out():
     r = random.Random(3)
     for _ in range(300):
