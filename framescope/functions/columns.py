@@ -74,11 +74,12 @@ def source_kind(folder: Column) -> Column:
 
 
 def segment_id(camera: Column, date: Column, start_seconds: Column, sequence: Column) -> Column:
-    """``clip_{camera}_{yyyymmdd}_{HHMMSS}_{0000}``."""
+    """``clip_{camera}_{yyyymmdd}_{HHMMSS}_{0000}``; hours above 99 and sequences above 9999 keep all their digits."""
     s = F.floor(start_seconds).cast("long")
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    wide = lambda c, n: F.lpad(c.cast("string"), F.greatest(F.lit(n), F.length(c.cast("string"))), F.lit("0"))
+    two = lambda c: wide(c, 2)
     clock = F.concat(two(F.floor(s / 3600)), two(F.floor(F.pmod(s, F.lit(3600)) / 60)), two(F.pmod(s, F.lit(60))))
-    return F.concat_ws("_", F.lit("clip"), camera, F.replace(date, F.lit("-"), F.lit("")), clock, F.lpad(sequence.cast("string"), 4, "0"))
+    return F.concat_ws("_", F.lit("clip"), camera, F.replace(date, F.lit("-"), F.lit("")), clock, wide(sequence, 4))
 
 
 def canonical(name: Column, spellings: dict[str, str]) -> Column:

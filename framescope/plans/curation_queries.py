@@ -275,7 +275,7 @@ def _(s, d):
 @query("p07_clip_id", f"WITH {CLIPS} SELECT clip_id, qty, 'clip_cam' || l_suppkey || '_' || replace(date, '-', '') || '_' || lpad(CAST(start_sec // 3600 AS VARCHAR), 2, '0') || lpad(CAST(start_sec % 3600 // 60 AS VARCHAR), 2, '0') || lpad(CAST(start_sec % 60 AS VARCHAR), 2, '0') || '_' || lpad(CAST(qty AS VARCHAR), 4, '0') AS name FROM clips WHERE start_sec < 360000")
 def _(s, d):
     name = C.segment_id(F.concat(F.lit("cam"), F.col("l_suppkey").cast("string")), F.col("date"), F.col("start_sec"), F.col("qty"))
-    return clips(s, d).where("start_sec < 360000").select("clip_id", "qty", name.alias("name"))
+    return clips(s, d).select("clip_id", "qty", name.alias("name"))
 
 
 @query("p08_position_bucket", f"WITH {CLIPS} SELECT clip_id, qty, CASE WHEN 2 * noise + 20 < 80 THEN 'left' WHEN 2 * noise + 20 < 160 THEN 'center' ELSE 'right' END AS position, CASE WHEN disc * 10 > 30 THEN 'foreground' ELSE 'background' END AS depth FROM clips")

@@ -160,6 +160,13 @@ def test_stream_queue_equals_table_queue(spark, tmp_path):
     assert got == {(r["clip_id"], r["reason"]) for r in escalation.queue_of(df).collect()}
 
 
+def test_segment_ids_keep_long_numbers(spark):
+    name = lambda sec, n: one(spark, C.segment_id(F.lit("c"), F.lit("2024-01-02"), F.lit(sec), F.lit(n)))
+    assert name(3661, 7) == "clip_c_20240102_010101_0007"
+    assert name(360000, 7) == "clip_c_20240102_1000000_0007"
+    assert name(389 * 3600 + 59, 12345) == "clip_c_20240102_3890059_12345"
+
+
 def test_entry_module():
     import __spark_entry__ as e
 
