@@ -268,7 +268,9 @@ def _(s, d):
 
     root = s.conf.get("spark.checkpoint.dir", None) or "/tmp"
     folder = f"{root.rstrip('/')}/review-{uuid.uuid4().hex}"
-    source = saved(s, d)
+    k, codes = F.col("saved_at"), [F.lit(c) for c in list(ACTIONS)[:3]]
+    scene = F.when(k % 3 == 0, F.array(codes[0], codes[1])).when(k % 3 == 1, F.array(codes[2]))  # the others are layer 2
+    source = saved(s, d).withColumn("dominant", scene).withColumn("critical", F.col("clip_id") % 7 == 0)
     source.write.parquet(f"{folder}/saved")
     stream = s.readStream.schema(source.schema).parquet(f"{folder}/saved")
     run = escalation.review_queue(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/queue")

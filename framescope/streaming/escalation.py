@@ -1,20 +1,27 @@
 """Review queues over streams of saved annotations, and windows over event time.
 
 Annotations arrive as rows (clip_id, annotator_id, status, unsafe, suggested, action, saved_at). A clip goes to review
-for the first reason that comes up: a flag, a change of the suggested safety label, or two annotators who disagree.
+for the first reason that comes up: a flag, a change of the suggested safety label, two annotators who disagree, or an
+unsafe act on a safety-critical clip.
+
+Two more columns are optional: ``dominant``, the scene's actions (array of strings) of a layer-1 annotation, null on
+others; and ``critical``, whether the clip is safety-critical. Layer-1 annotations disagree if the Jaccard similarity of
+their actions with the latest of another annotator is below 0.5; two without actions agree. Both rules hold for
+submitted annotations only.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 QUEUE = "clip_id long, reason string, saved_at long"
-_STATE = "action string, annotator string, queued boolean"
+_STATE = "action string, annotator string, queued boolean, scenes string"
 
 
 def own_reason() -> Column:
@@ -22,33 +29,62 @@ def own_reason() -> Column:
     return F.when(F.col("status") == "flagged", "flagged").when(~F.col("unsafe").eqNullSafe(F.col("suggested")), "safety_label_changed")
 
 
+def _prepared(saved: DataFrame) -> DataFrame:
+    """What both queues read: the reason by itself, the layer-1 actions, and whether the act is unsafe on a critical clip."""
+    submitted = F.col("status") == "submitted"
+    scene = F.when(submitted, F.col("dominant")) if "dominant" in saved.columns else F.lit(None)
+    act = ~F.lower(F.trim(F.coalesce("unsafe", F.lit("")))).isin("", "none")
+    critical = F.coalesce(submitted & F.col("critical") & act, F.lit(False)) if "critical" in saved.columns else F.lit(False)
+    return saved.select("clip_id", "annotator_id", "action", "saved_at", own_reason().alias("reason"), F.array_distinct(scene.cast("array<string>")).alias("scene"), critical.alias("critical"))
+
+
 def _review(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    action, annotator, queued = state.get if state.exists else (None, None, False)
+    action, annotator, queued, scenes = state.get if state.exists else (None, None, False, "{}")
+    latest = json.loads(scenes)
     rows = pd.concat(list(parts)).sort_values(["saved_at", "annotator_id"])
     for r in rows.itertuples():
         reason = r.reason if isinstance(r.reason, str) else None
         if reason is None and action is not None and r.annotator_id != annotator and r.action != action:
             reason = "disagreement"
+        if r.scene is not None:
+            scene = set(r.scene)
+            if reason is None and any(len(scene & set(x)) < 0.5 * len(scene | set(x)) for name, x in latest.items() if name != r.annotator_id):
+                reason = "scene_disagreement"
+            latest[r.annotator_id] = sorted(scene)
+        if reason is None and r.critical:
+            reason = "safety_critical"
         if action is None and isinstance(r.action, str):
             action, annotator = r.action, r.annotator_id
         if reason and not queued:
             queued = True
             yield pd.DataFrame([(key[0], reason, r.saved_at)], columns=["clip_id", "reason", "saved_at"])
-    state.update((action, annotator, queued))
+    state.update((action, annotator, queued, json.dumps(latest)))
 
 
 def review_queue(saved: DataFrame) -> DataFrame:
-    """The stream of queue entries, one for each clip. State is the first action, its annotator, and whether queued."""
-    rows = saved.withColumn("reason", own_reason()).select("clip_id", "annotator_id", "action", "reason", "saved_at")
-    return rows.groupBy("clip_id").applyInPandasWithState(_review, QUEUE, _STATE, "append", GroupStateTimeout.NoTimeout)
+    """The stream of queue entries, one for each clip. State is the first action, its annotator, whether queued,
+    and each annotator's latest layer-1 actions."""
+    return _prepared(saved).groupBy("clip_id").applyInPandasWithState(_review, QUEUE, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def queue_of(saved: DataFrame) -> DataFrame:
     """The same queue over a table: the first reason of each clip."""
     first = saved.groupBy("clip_id").agg(F.min_by(F.struct("action", "annotator_id"), F.struct("saved_at", "annotator_id")).alias("first"))
-    rows = saved.withColumn("reason", own_reason()).join(first, "clip_id")
+    prepared = _prepared(saved)
+    if "dominant" in saved.columns:
+        # Each layer-1 annotation holds until the same annotator's next one.
+        at = F.struct("saved_at", "annotator_id")
+        scenes = prepared.where("scene is not null").select("clip_id", "annotator_id", "scene", at.alias("at"), F.lead(at).over(Window.partitionBy("clip_id", "annotator_id").orderBy("saved_at")).alias("until"))
+        a, b = scenes.alias("a"), scenes.alias("b")
+        met = (F.col("a.clip_id") == F.col("b.clip_id")) & (F.col("a.annotator_id") != F.col("b.annotator_id")) & (F.col("b.at") < F.col("a.at")) & (F.col("b.until").isNull() | (F.col("b.until") > F.col("a.at")))
+        apart = F.size(F.array_intersect("a.scene", "b.scene")) < 0.5 * F.size(F.array_union("a.scene", "b.scene"))
+        differing = a.join(b, met & apart, "left_semi").select("clip_id", "annotator_id", F.col("at.saved_at").alias("saved_at"), F.lit(True).alias("differs")).distinct()
+        prepared = prepared.join(differing, ["clip_id", "annotator_id", "saved_at"], "left")
+    else:
+        prepared = prepared.withColumn("differs", F.lit(False))
+    rows = prepared.join(first, "clip_id")
     other = (F.col("annotator_id") != F.col("first.annotator_id")) & (F.col("action") != F.col("first.action"))
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(other, "disagreement"))).where("reason is not null")
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(other, "disagreement"), F.when(F.col("differs"), "scene_disagreement"), F.when(F.col("critical"), "safety_critical"))).where("reason is not null")
     return rows.groupBy("clip_id").agg(F.min_by("reason", F.struct("saved_at", "annotator_id")).alias("reason"), F.min("saved_at").alias("saved_at"))
 
 
