@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cache
 from typing import Any
 
 import numpy as np
@@ -28,12 +29,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where the session names none, a local master gets a folder of its own; on a cluster that would not be shared, so
+    it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -47,6 +58,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` has written and nothing lazy depends on any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or the first of ``name_1``, ``name_2``, ... that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

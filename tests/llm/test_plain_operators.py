@@ -408,7 +408,7 @@ def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels.where("doc_id % 2 = 0"))
     out = toxicity.grade(docs, model).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "truth"), "doc_id")
-    hit, all_toxic, wrong = out.agg(F.count_if("truth = 1 and toxic"), F.count_if("truth = 1"), F.count_if("truth = 0 and toxic")).first()
+    hit, all_toxic, wrong = out.agg(F.count_if(F.expr("truth = 1 and toxic")), F.count_if("truth = 1"), F.count_if("truth = 0 and toxic")).first()
     assert hit >= 0.85 * all_toxic and wrong <= 0.01 * out.count()
     assert list(model.thresholds) == sorted(model.thresholds)
 
@@ -557,29 +557,59 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("small", [64, 1])
-def test_join_against_all_pairs(spark, small, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
+@pytest.mark.parametrize(("light", "block_rows"), [(8, 128), (2, 16)])
+def test_join_against_all_pairs(spark, light, block_rows):
     texts = near_copies()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(documents(spark, texts)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(documents(spark, texts), light=light, block_rows=block_rows).collect()}
     assert [got[k] for k in range(len(texts))] == brute_groups(texts)
 
 
-def test_similar_sets_share_a_signature_on_every_level():
+def used_signatures(sig, place, common):
+    """What a set is compared by, from the definition: its first k + 1 signatures in each band, common ones last."""
+    roles = {}
+    for s, p in zip(sig.view(np.int64).tolist(), place.tolist(), strict=True):
+        late = (p & ((1 << 28) - 1)) - (1 << 27)
+        roles.setdefault(p >> 28, []).append((s in common, late, s))
+    out = set()
+    for role, rows in roles.items():
+        slack = role & ((1 << 28) - 1)
+        rows.sort()
+        out |= {s for _, _, s in rows[: len(rows) - slack]}
+    return out
+
+
+def test_similar_sets_share_a_signature_whatever_is_common():
     r = np.random.default_rng(6)
-    bands = ngram_join.Bands()
-    levels = [ngram_join.Signatures(k, bands) for k in range(len(ngram_join.LEVELS))]
+    signatures = ngram_join.Signatures()
     for size in (4, 5, 6, 9, 20, 33, 64, 130, 400):
-        for _ in range(12):
+        for _ in range(30):
             a = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
             most = ngram_join.most_differences(len(a))
             out = int(r.integers(0, most + 1))
-            common = a[out:] if out < len(a) else a[:1]
-            b = np.unique(np.concatenate((common, r.integers(0, 2**63, int(r.integers(0, most - out + 1)), dtype=np.uint64))))
+            both = a[out:] if out < len(a) else a[:1]
+            b = np.unique(np.concatenate((both, r.integers(0, 2**63, int(r.integers(0, most - out + 1)), dtype=np.uint64))))
             inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             if 5 * inter >= 4 * union and inter < union:
-                for level in levels:
-                    assert len(np.intersect1d(level(a), level(b))), (size, level.level)
+                one, two = signatures(a), signatures(b)
+                every = np.concatenate((one[0], two[0])).view(np.int64)
+                common = set(every[r.random(len(every)) < r.random()].tolist())
+                assert used_signatures(*one, common) & used_signatures(*two, common), size
+
+
+def test_shared_signatures_follow_the_definition(spark):
+    sets = {k: ngram_join.Shingles()(t) for k, t in enumerate(near_copies()) if t}
+    signatures = ngram_join.Signatures()
+    made = {k: signatures(e) for k, e in sets.items()}
+    holders = {}
+    for k, (sig, _) in made.items():
+        for s in sig.view(np.int64).tolist():
+            holders.setdefault(s, set()).add(k)
+    common = {s for s, h in holders.items() if len(h) > 3}
+    want = {(s, k) for k, (sig, place) in made.items() for s in used_signatures(sig, place, common) if len(holders[s]) > 1}
+    rows = [(s, k, p) for k, (sig, place) in made.items() for s, p in zip(sig.view(np.int64).tolist(), place.tolist(), strict=True)]
+    got = ngram_join.shared_signatures(spark.createDataFrame(rows + rows[:50], "sig long, node long, place long"), 3).collect()
+    assert {(r["sig"], r["node"]) for r in got} == want
+    assert all(r["common"] == (r["sig"] in common) for r in got)
 
 
 def test_span_hash_is_of_the_span_alone():
