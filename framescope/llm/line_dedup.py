@@ -1,35 +1,46 @@
 """Substring dedup by hashing lines and runs of sentences.
 
-A unit is a run of whole sentences (line ends end sentences too) with at least ``min_words`` words: the shortest such
-run from each sentence on, and the shortest back from each sentence end. A line or paragraph of enough words is a union
-of such runs, and so is a passage that was spliced into the middle of another line, which hashing whole lines alone
-would miss. A sentence of more than ``LONG`` words is cut at words chosen by their hash, so that equal stretches are
-cut alike.
+A unit is a line of at least ``min_line_words`` words, or a run of whole sentences (line ends end sentences too) with at
+least ``min_words`` words: the shortest such run from each sentence on, and the shortest back from each sentence end. A
+paragraph is a union of such units, and so is a passage that was spliced into the middle of another line, which hashing
+whole lines alone would miss. A sentence of more than ``LONG`` words is cut at words chosen by their hash, so that equal
+stretches are cut alike.
 
-Units are compared as lower-cased words without marks and spacing, by 128-bit digests. Digests are grouped globally;
-the occurrence in the earliest ranked document (by id, then place) stays and all others are removed. Where removed
-units overlap, their union goes. Every removed sentence therefore stands in an earlier place that is kept.
+Units are compared as lower-cased words without marks and spacing, by 128-bit XXH3 digests. Digests are grouped
+globally; the occurrence in the earliest ranked document (by id, then text hash, then place) stays and all others are
+removed. Where removed units overlap, their union goes. Every removed sentence therefore stands in an earlier place
+that is kept.
+
+A task settles what it can see: of the units of one digest in a stretch of its rows, all but the earliest ranked are
+repeats wherever else they stand, and go straight to their document. So a line that a third of all documents hold
+reaches the global grouping once for each stretch, not once for each document.
 
 A row of the result keeps the offsets, in the original text, of what is kept and what is removed.
 
-Defined results: null and empty texts have no units and stay as they are. Ranking puts a null id last. Rows that are
-equal in id and text are one document: they get equal results and none is removed in favour of the other. Ties between
-texts with the same id are broken by a hash of the text. An empty table gives an empty result.
+Defined results: null and empty texts have no units and stay as they are. Ranking puts a null id last. Rows are told
+apart by id and a 64-bit hash of the text; rows that are equal in both are one document: they get equal results and
+none is removed in favour of the other. An empty table gives an empty result. Columns of the input that clash with
+``kept_spans``, ``removed_spans`` or ``removed_chars`` keep their names; the result columns get a numbered suffix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescope.llm.common import SpanHash, flat_map_arrays, free_name, mix, quoted
+from framescope.llm.common import SpanHash, free_name, mix, quoted
 
 MIN_WORDS = 12
+MIN_LINE_WORDS = 5
+#: Units that a task compares among themselves before it hands them on.
+STRETCH = 500_000
 LONG = 24
 _ENDS = np.zeros(128, dtype=bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -57,66 +68,72 @@ class PointHash(SpanHash):
 
 
 class Units:
-    """The units of a text: start and end in code points, and two digests."""
-
-    def __init__(self, min_words: int = MIN_WORDS) -> None:
-        self.min_words = min_words
-        self.first, self.second = PointHash(1), PointHash(2)
-        self.none = tuple(np.zeros(0, dtype=k) for k in (np.int32, np.int32, np.int64, np.int64))
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, ...]:
-        """The first unit of each digest in the text."""
-        start, end, one, two = self.all(text)
-        first = np.sort(np.unique(one, return_index=True)[1])
-        return start[first], end[first], one[first], two[first]
-
-    def again(self, text: str | None) -> list[tuple[int, int]]:
-        """Start and end of units whose digest stands earlier in the same text: removed, wherever else they stand."""
-        start, end, one, two = self.all(text)
-        if not len(one):
-            return []
-        later = np.ones(len(one), dtype=bool)
-        later[np.unique(one, return_index=True)[1]] = False
-        return list(zip(start[later].tolist(), end[later].tolist(), strict=True))
-
-    def all(self, text: str | None) -> tuple[np.ndarray, ...]:
+    """The units of a text in order of place: start and end in code points, and digests."""
+
+    def __init__(self, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> None:
+        self.min_words, self.min_line_words = min_words, min_line_words
+        self.word_hash = PointHash(1)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of each unit's digest."""
+        points, normal, _, _, left, right = self._find(text)
+        if points is None:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        data, digest = memoryview(normal.astype("<u4").tobytes()), xxhash.xxh3_128_digest
+        halves = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip((4 * left).tolist(), (4 * right).tolist(), strict=True)]), dtype="<i8")
+        return halves[::2], halves[1::2]
+
+    def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each unit."""
+        _, _, start, end, _, _ = self._find(text)
+        return start, end
+
+    def _find(self, text: str | None) -> tuple:
+        nothing = np.zeros(0, dtype=np.int64)
+        none = (None, None, nothing, nothing, nothing, nothing)
         if not text:
-            return self.none
+            return none
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         small = np.where((points >= 65) & (points <= 90), points + 32, points)
         narrow = np.minimum(small, 127)
         inside = (small >= 128) | _WORD[narrow]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
         starts, ends = edges[::2], edges[1::2]
-        if len(starts) < self.min_words:
-            return self.none
+        n = len(starts)
+        if n < min(self.min_words, self.min_line_words):
+            return none
         # Words joined by one space each: the characters of words, and the first one after each word as a space.
         taken = inside.copy()
         taken[ends[ends < len(points)]] = True
         place = np.concatenate(([0], np.cumsum(taken)))
         normal = np.where(inside, small, 32)[taken]
         begin, end = place[starts], place[ends]
-        one, two = self.first.prefix(normal), self.second.prefix(normal)
 
-        stops = np.concatenate(([0], np.cumsum(_ENDS[narrow] & (points < 128))))
-        opens = np.concatenate(([True], stops[starts[1:]] > stops[ends[:-1]]))
-        heads = np.flatnonzero(opens)
-        lengths = np.diff(np.concatenate((heads, [len(starts)])))
+        def heads_after(marks: np.ndarray) -> np.ndarray:
+            """The first word, and each word before which a mark stands since the word before it."""
+            count = np.concatenate(([0], np.cumsum(marks)))
+            return np.flatnonzero(np.concatenate(([True], count[starts[1:]] > count[ends[:-1]])))
+
+        heads = heads_after(_ENDS[narrow] & (points < 128))
+        lengths = np.diff(np.append(heads, n))
         if lengths.max() > LONG:
-            within = np.repeat(lengths > LONG, lengths)
-            word = self.first.spans(one, begin, end)
-            opens |= within & (word % np.uint64(6) == 0)
+            opens = np.zeros(n, dtype=bool)
+            opens[heads] = True
+            word = self.word_hash.spans(self.word_hash.prefix(normal), begin, end)
+            opens |= np.repeat(lengths > LONG, lengths) & (word % np.uint64(6) == 0)
             heads = np.flatnonzero(opens)
-        bounds = np.concatenate((heads, [len(starts)]))
+        bounds = np.append(heads, n)
         to = np.searchsorted(bounds, bounds + self.min_words)  # forward from each bound
         fore = np.flatnonzero(to < len(bounds))
         back_to = np.searchsorted(bounds, bounds - self.min_words, side="right") - 1
         back = np.flatnonzero(back_to >= 0)
-        n = len(bounds)
-        pairs = np.unique(np.concatenate((fore * n + to[fore], back_to[back] * n + back)))
-        a, b = bounds[pairs // n], bounds[pairs % n] - 1  # first and last word
-        left, right = begin[a], end[b]
-        return starts[a].astype(np.int32), ends[b].astype(np.int32), self.first.spans(one, left, right).view(np.int64), self.second.spans(two, left, right).view(np.int64)
+        lines = np.append(heads_after(points == 10), n)
+        line = np.flatnonzero(np.diff(lines) >= self.min_line_words)
+        first = np.concatenate((bounds[fore], bounds[back_to[back]], lines[line]))
+        after = np.concatenate((bounds[to[fore]], bounds[back], lines[line + 1]))
+        both = np.unique(first * (n + 1) + after)
+        a, b = both // (n + 1), both % (n + 1) - 1  # first and last word
+        return points, normal, starts[a], ends[b], begin[a], end[b]
 
 
 def removed_spans(text: str, spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -140,41 +157,88 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("kept_spans", _SPANS), T.StructField("removed_spans", _SPANS)])
 
 
-def _cut_text(units: Units, text: str | None, found: list | None) -> tuple:
-    again = units.again(text)
-    if text is None or not again and (found is None or not len(found)):
+def _cut_text(units: Units, text: str | None, found: Iterable[int] | None) -> tuple:
+    """Text without the units of these numbers, and what is kept and removed."""
+    if text is None or found is None or not len(found):
         return text, [{"start": 0, "end": len(text)}] if text else [], []
-    gone = removed_spans(text, [*again, *((s["start"], s["end"]) for s in (() if found is None else found))])
+    start, end = units.places(text)
+    at = np.asarray(found, dtype=np.int64)
+    gone = removed_spans(text, zip(start[at].tolist(), end[at].tolist(), strict=True))
     edges = [0, *(x for span in gone for x in span), len(text)]
     kept = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
     return "".join(text[a:b] for a, b in kept), [{"start": a, "end": b} for a, b in kept], [{"start": a, "end": b} for a, b in gone]
 
 
-def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def earlier_ranked(rank: np.ndarray, number: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which units have an equal one in an earlier ranked document, or earlier in the same one."""
+    if not len(rank):
+        return np.zeros(0, dtype=bool)
+    order = np.lexsort((number, rank, two, one))
+    o1, o2, r, k = one[order], two[order], rank[order], number[order]
+    opens = np.concatenate(([True], (o1[1:] != o1[:-1]) | (o2[1:] != o2[:-1])))
+    first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+    later = np.zeros(len(order), dtype=bool)
+    later[order] = (r != r[first]) | (k != k[first])
+    return later
+
+
+def unit_rows(df: DataFrame, units: Units, stretch: int) -> DataFrame:
+    """(unit_id, unit_mark, number, known, d1, d2) for each unit of (unit_id, unit_mark, unit_text).
+
+    ``known`` units are repeats for certain. They have a key of their own in place of the digest, so that they are
+    dealt out evenly.
+    """
+    fields = [T.StructField("number", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
+    schema = T.StructType([df.schema["unit_id"], df.schema["unit_mark"], *fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, marks = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
+            # Rank of each row in the batch: by id, nulls last, then by mark; equal rows rank equally.
+            ids = batch.column(0).to_pandas()
+            rank = pd.DataFrame({"id": ids.rank(method="dense", na_option="bottom"), "mark": marks}).groupby(["id", "mark"], sort=True).ngroup().to_numpy()
+            rows: list[int] = []
+            made: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for k in range(len(texts)):
+                rows.append(k)
+                made.append(units(texts[k].as_py()))
+                size += len(made[-1][0])
+                if size > stretch or k == len(texts) - 1:
+                    counts = [len(x[0]) for x in made]
+                    at = np.repeat(rows, counts).astype(np.int64)
+                    number = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+                    one, two = (np.concatenate([x[j] for x in made]) for j in (0, 1))
+                    known = earlier_ranked(rank[at], number, one, two)
+                    own = mix(marks[at].view(np.uint64) + number.astype(np.uint64)).view(np.int64)
+                    one = np.where(known, own, one)
+                    index = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(number), pa.array(known), pa.array(one), pa.array(two)], names)
+                    rows, made, size = [], [], 0
+
+    return df.mapInArrow(run, schema)
+
+
+def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """``df`` with repeated units cut out of its text, and ``kept_spans``, ``removed_spans`` and ``removed_chars``."""
-    mark, spans, cut = (free_name(df, n) for n in ("dedup_mark", "dedup_spans", "dedup_cut"))
-    marked = df.withColumn(mark, F.hash(quoted(text_col)))
-    fields = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
-
-    def make() -> Callable:
-        return Units(min_words)
-
-    keyed = marked.select(quoted(id_col).alias("unit_id"), quoted(mark).alias("unit_mark"), quoted(text_col).alias("unit_text"))
-    units = flat_map_arrays(keyed, "unit_text", ["unit_id", "unit_mark"], fields, make)
-    order = [F.col("unit_id").asc_nulls_last(), F.col("unit_mark"), F.col("start")]
+    mark, numbers, cut = (free_name(df, n) for n in ("dedup_mark", "dedup_numbers", "dedup_cut"))
+    marked = df.withColumn(mark, F.xxhash64(quoted(text_col)))
+    units = Units(min_words, min_line_words)
+    rows = unit_rows(marked.select(quoted(id_col).alias("unit_id"), quoted(mark).alias("unit_mark"), quoted(text_col).alias("unit_text")), units, STRETCH)
+    order = [F.col("known"), F.col("unit_id").asc_nulls_last(), F.col("unit_mark"), F.col("number")]
     same = Window.partitionBy("d1", "d2").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = F.struct("unit_id", "unit_mark", "start")
-    repeats = units.withColumn("kept", F.first(here).over(same)).where(~F.col("kept").eqNullSafe(here))
+    here = F.struct("unit_id", "unit_mark", "number")
+    repeats = rows.withColumn("kept", F.first(here).over(same)).where(F.col("known") | ~F.col("kept").eqNullSafe(here))
     by_id, by_mark = free_name(marked, "unit_id"), free_name(marked, "unit_mark")
-    by_doc = repeats.groupBy(F.col("unit_id").alias(by_id), F.col("unit_mark").alias(by_mark)).agg(F.collect_list(F.struct("start", "end")).alias(spans))
+    by_doc = repeats.groupBy(F.col("unit_id").alias(by_id), F.col("unit_mark").alias(by_mark)).agg(F.collect_set("number").alias(numbers))
     joined = marked.join(by_doc, quoted(id_col).eqNullSafe(F.col(by_id)) & (quoted(mark) == F.col(by_mark)), "left")
 
     @F.pandas_udf(_RESULT)
     def cut_out(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        units = Units(min_words)
         return pd.DataFrame([_cut_text(units, t, f) for t, f in zip(texts, found, strict=True)], columns=["text", "kept_spans", "removed_spans"])
 
-    done = joined.withColumn(cut, cut_out(quoted(text_col), quoted(spans)))
+    done = joined.withColumn(cut, cut_out(quoted(text_col), quoted(numbers)))
     c = quoted(cut)
     names = [free_name(df, n) for n in ("kept_spans", "removed_spans", "removed_chars")]
     gone = F.aggregate(c["removed_spans"], F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

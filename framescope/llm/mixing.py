@@ -1,21 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words. The ratio of target to size says how often each document is wanted. The
+Every source gets a target number of words. The ratio of target to size says how often its documents are wanted. The
 whole part of that is taken for certain; for the rest, documents of a source are ranked by
 
-    (u / (1 - u)) / (p / (1 - p)),    u random and p the wanted fraction,
+    (u / (1 - u)) / (w p / (1 - p)),    u random, p the wanted fraction and w a document's weight,
 
-and the ranking is cut where the words taken come nearest to the target. ``u`` comes from a hash of seed, id and text,
-so that reruns agree. An optional weight column makes the fractions differ inside a source: a document's wanted number
-of copies is then proportional to its weight, up to the cap.
+random odds over inclusion odds, and the ranking is cut where the words taken come nearest to the target. ``u`` comes
+from a hash of seed, id and text, so that reruns agree. Weights are relative to their mean in the source, by words;
+without a weight column all documents of a source have the same odds.
 
-No source is sorted as a whole. The rank q is first mapped to the unit interval as q r / (1 + q r), r being the odds
-of the source's mean fraction: for a constant fraction that is u itself, so that equal slices hold equally many rows.
-Sums of words by source and slice tell which single slice holds the cut, and only its rows are ordered.
+No source is sorted as a whole. The rank q is first mapped to the unit interval as q r / (1 + q r), r being p / (1 - p):
+for equal weights that is u itself, so that equal slices hold equally many rows. Sums of words by source and slice tell
+which single slice holds the cut, and only its rows are ordered, to find the last one that is taken. Whether a row is
+taken then depends on the row and on that one place for each source, so that texts are never moved.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own,
-after all others. Ties in rank are ordered by id and a digest of the text; rows equal in both share one decision only as far as
-the cut allows. An empty table gives an empty result. Result columns that clash with input columns get a suffix.
+after all others. Ties in rank are ordered by id and a digest of the text; rows equal in both share one decision. A
+null weight, or one of 0 or less, counts as a millionth. An empty table gives an empty result. Result columns that
+clash with input columns get a suffix.
 """
 
 from __future__ import annotations
@@ -67,10 +69,11 @@ def uniform_of(seed: int, *cols: Column) -> Column:
     return (bits + 0.5) / F.lit(float(1 << 52))
 
 
-def plan_shares(sized: DataFrame, source: str, size: str, **options: object) -> list[Share]:
-    """Sum sizes by source, and share the targets; one row per source reaches the driver."""
-    rows = sized.groupBy(source).agg(F.sum(size).alias("total")).collect()
-    return share_targets([(r[0], int(r[1] or 0)) for r in rows], **options)  # type: ignore[arg-type]
+def plan_shares(sized: DataFrame, source: str, size: str, weight: str, **options: object) -> tuple[list[Share], dict[str | None, float]]:
+    """Sum sizes by source, and share the targets; also each source's mean weight. One row per source reaches the driver."""
+    rows = sized.groupBy(source).agg(F.sum(size).alias("total"), F.sum(F.col(weight) * F.col(size)).alias("weighted")).collect()
+    means = {r[0]: float(r["weighted"]) / float(r["total"]) if r["total"] else 1.0 for r in rows}
+    return share_targets([(r[0], int(r["total"] or 0)) for r in rows], **options), means  # type: ignore[arg-type]
 
 
 def mix_sources(
@@ -92,70 +95,68 @@ def mix_sources(
     """
     spark = df.sparkSession
     fields = list(dict.fromkeys([id_col, source_col, *keep]))
-    size, src, key, text_key, weight = "size", "mix_source", "mix_id", "mix_text", "mix_weight"
-    sized = materialize(
-        df.select(
-            F.struct(*[quoted(c) for c in fields]).alias("row"),
-            word_count(quoted(text_col)).alias(size),
-            quoted(source_col).cast("string").alias(src),
-            quoted(id_col).alias(key),
-            F.md5(quoted(text_col)).alias(text_key),
-            (F.greatest(F.coalesce(quoted(weight_col).cast("double"), F.lit(0.0)), F.lit(1e-6)) if weight_col else F.lit(1.0)).alias(weight),
-        ),
-        "mix-sizes",
-    )
     carried = df.select(*[quoted(c) for c in fields])
-    shares = plan_shares(sized, src, size, weights=weights, total_share=total_share, cap=cap)
     names = {n: free_name(carried, n) for n in ("size", "source_size", "target", "copies", "taken")}
-    table = spark.createDataFrame([(s.source, s.size, s.target, s.target / s.size if s.size else 0.0) for s in shares], f"{src}_s string, source_size_s long, target_s double, ratio_s double")
-    joined = sized.join(F.broadcast(table), sized[src].eqNullSafe(table[f"{src}_s"]))  # one row per source
-    if weight_col:
-        mean_weight = sized.groupBy(src).agg((F.sum(F.col(weight) * F.col(size)) / F.sum(size)).alias("mean_w")).withColumnRenamed(src, "mean_src")
-        joined = joined.join(F.broadcast(mean_weight), joined[src].eqNullSafe(mean_weight["mean_src"])).withColumn("wanted", F.least(F.lit(cap), F.col("ratio_s") * F.col(weight) / F.col("mean_w")))
-    else:
-        joined = joined.withColumn("wanted", F.least(F.lit(cap), F.col("ratio_s")))
-    p = F.col("wanted") - F.floor("wanted")
-    u = uniform_of(seed, F.col(key), F.col(text_key))
-    odds = (u / (1 - u)) / (p / (1 - p))
-    mean = F.least(F.greatest(F.col("ratio_s") - F.floor("ratio_s"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    ranked = (
-        joined.withColumn("whole", F.when(F.col(size) > 0, F.floor("wanted")).otherwise(F.lit(0)).cast("long"))
-        .withColumn("odds", F.when((p > 0) & (F.col(size) > 0), odds))
-        .withColumn("spread", F.col("odds") * mean / (1 - mean))
-        .withColumn("slice", F.least(F.floor(F.col("spread") / (1 + F.col("spread")) * buckets), F.lit(buckets - 1)).cast("int"))
+    given = quoted(weight_col).cast("double") if weight_col else F.lit(1.0)
+    rows = df.select(
+        F.struct(*[quoted(c) for c in fields]).alias("row"),
+        word_count(quoted(text_col)).alias("size"),
+        quoted(source_col).cast("string").alias("source"),
+        quoted(id_col).alias("key"),
+        F.md5(quoted(text_col)).alias("digest"),
+        F.when(given > 0, given).otherwise(F.lit(1e-6)).alias("weight"),
     )
+    sized = materialize(rows.drop("row"), "mix-sizes")  # without texts
+    shares, means = plan_shares(sized, "source", "size", "weight", weights=weights, total_share=total_share, cap=cap)
+    table = spark.createDataFrame([(s.source, s.size, s.target, s.target / s.size if s.size else 0.0, means[s.source]) for s in shares], "of string, source_size long, target double, ratio double, mean double")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        """``rows`` with ``whole`` copies taken for certain, ``rank`` (null if no more are wanted) and its ``slice``."""
+        joined = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")))  # one row per source
+        p = F.col("ratio") - F.floor("ratio")
+        u = uniform_of(seed, F.col("key"), F.col("digest"))
+        rank = (u / (1 - u)) / (p / (1 - p) * (F.col("weight") / F.col("mean")))
+        spread = F.col("rank") * p / (1 - p)
+        return (
+            joined.withColumn("whole", F.when(F.col("size") > 0, F.floor("ratio")).otherwise(F.lit(0)).cast("long"))
+            .withColumn("rank", F.when((p > 0) & (F.col("size") > 0), rank))
+            .withColumn("slice", F.least(F.floor(spread / (1 + spread) * buckets), F.lit(buckets - 1)).cast("int"))
+        )
+
     # Where the cut lies: words by source and slice, summed up slice by slice (at most `buckets` rows a source).
-    sums = ranked.groupBy(src, "slice").agg(
-        F.sum(F.when(F.col("odds").isNotNull(), F.col(size)).otherwise(F.lit(0))).alias("words"),
-        F.sum(F.col("whole") * F.col(size)).alias("certain"),
-        F.first("target_s").alias("target_s"),
+    sums = ranked(sized).groupBy("source", "slice").agg(
+        F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(F.lit(0))).alias("words"),
+        F.sum(F.col("whole") * F.col("size")).alias("certain"),
+        F.first("target").alias("target"),
     )
-    by_source = Window.partitionBy(src)
+    by_source = Window.partitionBy("source")
     upto = by_source.orderBy(F.col("slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = (
-        sums.withColumn("want", F.col("target_s") - F.sum("certain").over(by_source))
+        sums.withColumn("want", F.col("target") - F.sum("certain").over(by_source))
         .withColumn("upto", F.sum("words").over(upto))
         .where(F.col("slice").isNotNull() & (F.col("upto") - F.col("words") <= F.col("want")) & (F.col("upto") > F.col("want")))
     )
-    cut = materialize(sums.select(F.col(src).alias("cut_src"), F.col("slice").alias("cut_slice"), (F.col("want") - (F.col("upto") - F.col("words"))).alias("rest")), "mix-cuts")
-    ranked = ranked.join(F.broadcast(cut), ranked[src].eqNullSafe(cut["cut_src"]), "left")  # one row per source at most
+    cuts = materialize(sums.select(F.col("source").alias("cut_of"), F.col("slice").alias("cut_slice"), (F.col("want") - (F.col("upto") - F.col("words"))).alias("rest")), "mix-cuts")
+
+    # The last row taken of the slice with the cut: the row that crosses the rest is taken if that leaves the sum nearer.
+    place = F.struct("rank", "key", "digest")
+    order = Window.partitionBy("source").orderBy("rank", "key", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = ranked(sized).join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("cut_of")) & (F.col("slice") == F.col("cut_slice")))
+    edge = edge.withColumn("before", F.sum("size").over(order) - F.col("size")).where(2 * F.col("before") + F.col("size") <= 2 * F.col("rest"))
+    lasts = edge.groupBy("source").agg(F.max(place).alias("last")).select(F.col("source").alias("last_of"), "last")
+    ends = cuts.join(lasts, F.col("cut_of").eqNullSafe(F.col("last_of")), "left").select("cut_of", "cut_slice", "last")
+    ends = materialize(ends, "mix-ends")
+
     # No cut: the fractions of the whole source fit, so all are taken, unless none is wanted.
-    plain = F.when(F.col("odds").isNull(), F.lit(0)).when(F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice")), F.lit(1)).otherwise(F.lit(0))
-    edge = F.col("slice").isNotNull() & F.col("cut_slice").isNotNull() & (F.col("slice") == F.col("cut_slice"))
-    order = Window.partitionBy(src).orderBy("odds", key, text_key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum(size).over(order) - F.col(size)
-    # The row that crosses the rest is taken if that leaves the sum nearer to it.
-    edged = ranked.where(edge).withColumn("extra", (2 * before + F.col(size) <= 2 * F.col("rest")).cast("long"))
-    rest = ranked.where(~edge | edge.isNull()).withColumn("extra", plain.cast("long"))
-    return (
-        rest.unionByName(edged)
-        .withColumn("copies_s", F.col("whole") + F.col("extra"))
-        .select(
-            *[F.col("row").getField(c).alias(c) for c in fields],
-            F.col(size).alias(names["size"]),
-            F.col("source_size_s").alias(names["source_size"]),
-            F.col("target_s").alias(names["target"]),
-            F.col("copies_s").alias(names["copies"]),
-            (F.col("copies_s") * F.col(size)).alias(names["taken"]),
-        )
+    out = ranked(rows).join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("cut_of")), "left")  # one row per source
+    inside = F.coalesce((F.col("slice") < F.col("cut_slice")) | ((F.col("slice") == F.col("cut_slice")) & (place <= F.col("last"))), F.lit(False))
+    extra = F.when(F.col("rank").isNotNull() & (F.col("cut_slice").isNull() | inside), F.lit(1)).otherwise(F.lit(0))
+    copies = (F.col("whole") + extra).cast("long")
+    return out.select(
+        *[F.col("row").getField(c).alias(c) for c in fields],
+        F.col("size").alias(names["size"]),
+        F.col("source_size").alias(names["source_size"]),
+        F.col("target").alias(names["target"]),
+        copies.alias(names["copies"]),
+        (copies * F.col("size")).alias(names["taken"]),
     )

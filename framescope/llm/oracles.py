@@ -16,10 +16,12 @@ l AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source
     sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM r),
 f AS (SELECT *, rest / weights * weight > 2 * source_size AS full_ FROM l),
 t AS (SELECT source, source_size, CASE WHEN full_ THEN 2.0::DOUBLE * source_size ELSE (SELECT rest / weights FROM f WHERE NOT full_ ORDER BY place LIMIT 1) * weight END AS target FROM f),
-j AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+m AS (SELECT source, CASE WHEN sum(size) > 0 THEN sum(size::DOUBLE * size) / sum(size)::DOUBLE ELSE 1 END AS mean FROM d GROUP BY source),
+j AS (SELECT d.*, source_size, target, mean, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN m ON d.source IS NOT DISTINCT FROM m.source),
+q AS (SELECT *, CASE WHEN ratio > floor(ratio) AND size > 0 THEN (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio))) * (size / mean)) END AS rank FROM j),
 k AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, target - sum(floor(ratio) * size) OVER (PARTITION BY source) AS want,
-    sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM j)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN ratio > floor(ratio) AND size > 0 AND 2 * before + size <= 2 * want THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM k
+    sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM q)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN rank IS NOT NULL AND 2 * before + size <= 2 * want THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM k
 """
 
 JACCARD = rf"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescope.llm import archives, kneser_ney, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, telephony, toxicity
-from framescope.llm.common import materialize, read_table
+from framescope.llm.common import materialize, read_table, word_count
 from framescope.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
 
@@ -79,8 +79,8 @@ def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("n_words", word_count(F.col("text")))
+    return mixing.mix_sources(docs, weight_col="n_words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -333,12 +333,12 @@ def test_mix_against_brute_force(spark, weighted):
     for source, rows in by_source.items():
         target, taken = rows[0]["target"], sum(r["taken"] for r in rows)
         assert all(r["copies"] <= 2 for r in rows) and all(r["source_size"] == sum(x["size"] for x in rows) for r in rows)
-        if not weighted:
-            assert abs(taken - target) <= max(r["size"] for r in rows)
-            u = {r["doc_id"]: r for r in rows}
-            extra = [k for k, r in u.items() if r["copies"] > int(target / rows[0]["source_size"])]
-            rank = df.where(F.col("doc_id").isin(list(u))).select("doc_id", mixing.uniform_of(17, F.col("doc_id"), F.md5("text")).alias("u")).orderBy("u").collect()
-            assert set(extra) == {r["doc_id"] for r in rank[: len(extra)]}
+        assert abs(taken - target) <= max(r["size"] for r in rows)
+        u = {r["doc_id"]: r for r in rows}
+        extra = [k for k, r in u.items() if r["copies"] > int(target / rows[0]["source_size"])]
+        drawn = F.col("u") / (1 - F.col("u")) / (F.col("w") if weighted else F.lit(1.0))
+        rank = df.where(F.col("doc_id").isin(list(u))).withColumn("u", mixing.uniform_of(17, F.col("doc_id"), F.md5("text"))).orderBy(drawn).collect()
+        assert set(extra) == {r["doc_id"] for r in rank[: len(extra)]}
 
 
 # --- licences -------------------------------------------------------------------------------------------------------
@@ -489,17 +489,64 @@ def test_spliced_passages_go_and_clean_texts_stay(spark):
     assert line not in rows[9]["text"] and rows[9]["text"].endswith("tail9")
 
 
+def normal(text):
+    return " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)))
+
+
 def test_units_equal_brute_force_digests():
     units = line_dedup.Units()
-    text = "  " + prose(5, 200) + "\n" + prose(6, 40).replace(".", "") + "\nSHORT line. " + prose(5, 200)
-    start, end, one, two = units.all(text)
-    normal = [" ".join(re.findall(r"[a-z0-9]+", text[a:b].lower())) for a, b in zip(start, end, strict=True)]
-    assert all(len(n.split()) >= 12 for n in normal)
+    text = "  " + prose(5, 200) + "\n" + prose(6, 40).replace(".", "") + "\nA SHORT line has five\nfour words stay here\n" + prose(5, 200)
+    start, end = units.places(text)
+    one, two = units(text)
+    found = [normal(text[a:b]) for a, b in zip(start, end, strict=True)]
+    assert all(len(n.split()) >= 12 or n == "a short line has five" for n in found) and "a short line has five" in found
     groups = defaultdict(set)
-    for n, a, b in zip(normal, one.tolist(), two.tolist(), strict=True):
+    for n, a, b in zip(found, one.tolist(), two.tolist(), strict=True):
         groups[n].add((a, b))
     assert all(len(v) == 1 for v in groups.values()) and len({x for v in groups.values() for x in v}) == len(groups)
-    assert units.again(text)
+
+
+def brute_dedup(rows):
+    """Removed characters of each (id, text), comparing normal forms of units as strings."""
+    units = line_dedup.Units()
+    ranked = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][2]))
+    first, out = {}, {}
+    for k in ranked:
+        key, text, mark = rows[k]
+        gone = []
+        for number, (a, b) in enumerate(zip(*(x.tolist() for x in units.places(text)), strict=True)):
+            here = (key, mark, number)
+            if first.setdefault(normal(text[a:b]), here) != here:
+                gone.append((a, b))
+        out[k] = sum(b - a for a, b in line_dedup.removed_spans(text, gone)) if text else 0
+    return [out[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("stretch", [500_000, 40])
+def test_dedup_against_brute_force(spark, monkeypatch, stretch):
+    monkeypatch.setattr(line_dedup, "STRETCH", stretch)
+    r = random.Random(4)
+    pool = [prose(k, 14) for k in range(12)] + ["News of the week: subscribe now to our letter", "Read more here", "ab ab ab ab ab ab ab ab ab ab ab ab ab ab"]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 6))) + "\n" + prose(100 + k, 30) for k in range(80)] + [None, "", "x"]
+    rows = [(None if k % 9 == 0 else k % 70, t) for k, t in enumerate(texts)]
+    rows += rows[:12]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = line_dedup.dedup_lines(df).select("*", F.xxhash64("text").alias("after")).collect()
+    marks = {(x["doc_id"], x["text"]): x["mark"] for x in df.select("doc_id", "text", F.xxhash64("text").alias("mark")).collect()}
+    marked = [(*x, marks[x]) for x in rows]
+    want = Counter((x[0], gone, len(x[1] or "") - gone) for x, gone in zip(marked, brute_dedup(marked), strict=True))
+    assert Counter((x["doc_id"], x["removed_chars"], len(x["text"] or "")) for x in out) == want
+
+
+def test_short_lines_and_null_ids(spark):
+    line = "Sign up for our weekly letter by mail today"
+    texts = [line + "\n" + prose(k, 60) for k in range(20)]
+    rows = line_dedup.dedup_lines(documents(spark, texts)).collect()
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["doc_id"]) if r["removed_chars"] == 0] == [0]
+    assert all(r["text"] == prose(r["doc_id"], 60) for r in rows if r["doc_id"])
+    same = prose(500, 40)
+    nulls = spark.createDataFrame([(None, same + "\n" + prose(501 + k, 40)) for k in range(2)], "doc_id long, text string")
+    assert sorted(r["removed_chars"] > 0 for r in line_dedup.dedup_lines(nulls).collect()) == [False, True]
 
 
 def test_every_removed_sentence_stays_somewhere(spark):
