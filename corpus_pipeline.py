@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framescope.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from framescope.llm.common import free_name, materialize, quoted, read_table
+from framescope.llm.common import materialize, read_table, word_count
 from framescope.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,14 +31,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mark = free_name(docs, "text_mark")
-    marked = docs.select(*COLUMNS, F.xxhash64("text").alias(mark))
-    groups = ngram_join.near_duplicates(marked, keep=(mark,))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id"), F.col(mark).alias("first_mark")).distinct()
-    stay = marked.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & quoted(mark).eqNullSafe(F.col("first_mark")), "left_semi")
-    same = Window.partitionBy("doc_id", mark).orderBy("source", "lang", "n_chars")
-    repeat = free_name(marked, "repeat")
-    return stay.withColumn(repeat, F.row_number().over(same)).where(quoted(repeat) == 1).select(*COLUMNS)
+    mark, key = "text_mark", "row_mark"
+    # Two 64-bit hashes tell rows apart, of the text alone and with the id: keys without nulls, so that the join and the
+    # window deal texts out once.
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias(mark), F.xxhash64("doc_id", "text").alias(key))
+    groups = ngram_join.near_duplicates(marked, keep=(mark, key))
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(mark, key).distinct()
+    stay = marked.join(first, [mark, key], "left_semi")
+    same = Window.partitionBy(mark, key).orderBy("source", "lang", "n_chars")
+    return stay.withColumn("repeat", F.row_number().over(same)).where("repeat = 1").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs.select(*COLUMNS), keep=COLUMNS).where("copies > 0")
+    weighed = docs.select(*COLUMNS).withColumn("n_words", word_count(F.col("text")))
+    mixed = mixing.mix_sources(weighed, weight_col="n_words", keep=COLUMNS).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
