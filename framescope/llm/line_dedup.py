@@ -40,7 +40,7 @@ from framescope.llm.common import SpanHash, free_name, mix, quoted
 MIN_WORDS = 12
 MIN_LINE_WORDS = 5
 #: Units that a task compares among themselves before it hands them on.
-STRETCH = 500_000
+STRETCH = 100_000
 LONG = 24
 _ENDS = np.zeros(128, dtype=bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -205,7 +205,7 @@ def unit_rows(df: DataFrame, units: Units, stretch: int) -> DataFrame:
                 rows.append(k)
                 made.append(units(texts[k].as_py()))
                 size += len(made[-1][0])
-                if size > stretch or k == len(texts) - 1:
+                if size >= stretch or k == len(texts) - 1:
                     counts = [len(x[0]) for x in made]
                     at = np.repeat(rows, counts).astype(np.int64)
                     number = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])

@@ -200,7 +200,7 @@ def text_signatures(df: DataFrame, text_col: str, width: int) -> DataFrame:
             node = node_of(elements)
             if node in seen:
                 return none
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             seen.add(node)
             sig, place = signatures(elements)

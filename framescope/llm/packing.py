@@ -15,7 +15,9 @@ result. Carried columns keep their names; result columns that clash with them ge
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -31,16 +33,23 @@ from framescope.llm.common import flat_map, free_name, materialize, quoted
 CAPACITY = 2048
 
 
+#: How the tokenizer must normalise and split texts for ids to be those of the words in turn.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+END_OF_WORD = "</w>"
+
+
 class WordEncoder:
     """Ids of whole texts, from a cache of the ids of their words.
 
-    The tokenizer splits at white space and between letters and marks, so ids of a text are those of its words in turn.
-    Words are looked up as bytes of little-endian 32-bit ids. The cache is emptied when it holds ``limit`` words.
+    A tokenizer with the rules above splits at white space and between letters and marks, so ids of a text are those
+    of its words in turn. Words are looked up as bytes of little-endian 32-bit ids. The cache is emptied when it holds
+    ``limit`` words (about 150 bytes each). Texts go whole to a tokenizer with other rules.
     """
 
     MARKS = b".,;:!?|#%&$*"
 
-    def __init__(self, path: str, limit: int = 1_500_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,12 +58,21 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.last[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split = ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = rules["normalizer"] == NORMALIZER and split.get("pattern") == {"Regex": SPLITTER} and rules["model"].get("end_of_word_suffix") == END_OF_WORD and not rules["post_processor"]
+
+    @staticmethod
+    def letters(word: bytes) -> bool:
+        """Whether the tokenizer sees letters alone: lower case may bring marks, as that of a dotted capital I does."""
+        return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
 
     def stem(self, word: bytes) -> bytes:
-        """``word`` without the marks behind it, if what is left ends in a letter or digit and so is split there."""
+        """``word`` without the marks behind it, if what is left ends in an ASCII letter or digit, or is letters alone."""
         stem = word.rstrip(self.MARKS)
-        return stem if stem[-1:].isalnum() or stem.decode("utf-8", "replace").isalpha() else word
+        return stem if stem[-1:].isalnum() or self.letters(stem) else word
 
     def word(self, word: bytes) -> bytes:
         found = self.known.get(word)
@@ -76,8 +94,8 @@ class WordEncoder:
         for word in words:
             stem = self.stem(word)
             stem = stem.lower() if stem.isascii() else stem
-            if stem not in self.known and (letters := stem.decode("utf-8", "replace")).isalpha():
-                new.add(letters)
+            if stem not in self.known and self.letters(stem):
+                new.add(stem.decode("utf-8", "replace"))
         order = sorted(new)
         for k in range(0, len(order), 512):
             part = order[k : k + 512]
@@ -90,6 +108,9 @@ class WordEncoder:
                     start = end
 
     def text(self, text: str) -> bytes:
+        if not self.by_word:
+            whole = text.encode("utf-8", "replace").decode("utf-8")
+            return np.asarray(self.tokenizer.encode(whole, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self.known) > self.limit:
             self.known.clear()
         words = text.encode("utf-8", "replace").split()
