@@ -43,10 +43,18 @@ NO_VIOLATION = {
     "routing": ("", "none", "none_visible"),
     "bias": ("none", "n/a", "", "safe"),
 }
+# Vocabularies of scenes, visibility, protection and people.
 SCENES = ("SA", "MAI", "MAC", "SEQ", "SA-X", "MAI-X", "MAC-X")
 VISIBILITY = ("clear", "moderate", "harsh")
 CONDITIONS = ("clear", "steam", "dust", "smoke", "rain", "glare", "low_light")
 PROTECTION = ("helmet", "high_vis_vest", "welding_protection", "harness", "safety_shoes")
+PROTECTION_VALUES = ("worn", "not_worn", "cannot_determine")
+PROTECTION_MAY_NOT_APPLY = ("welding_protection", "harness")
+OVERALL_PROTECTION = ("compliant", "partial", "non_compliant", "cannot_determine")
+SPATIAL_TAGS = ("ground_level", "elevated", "vehicle_area", "crane_zone", "furnace_zone", "confined_space", "restricted", "near_machinery", "walkway", "storage_area", "locomotive_area", "hot_area")
+OCCLUSION = ("fully_visible", "partially_occluded", "heavily_occluded")
+COMPANY = ("solo", "coordinated", "concurrent")
+FLAG_CATEGORIES = ("vlm_count_wrong", "image_unclear", "missing_frames", "ambiguous_scene", "wrong_content", "other")
 PROTECTION_STATES = ("compliant", "partial", "non_compliant", "cannot_determine", "not_applicable")
 
 

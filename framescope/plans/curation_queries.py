@@ -272,7 +272,7 @@ def _(s, d):
     return tagged(s, d).select("clip_id", "qty", C.severity(F.col("tags")).alias("severity"))
 
 
-@query("p07_clip_id", f"WITH {CLIPS} SELECT clip_id, qty, 'clip_cam' || l_suppkey || '_' || replace(date, '-', '') || '_' || lpad(CAST(start_sec // 3600 AS VARCHAR), 2, '0') || lpad(CAST(start_sec % 3600 // 60 AS VARCHAR), 2, '0') || lpad(CAST(start_sec % 60 AS VARCHAR), 2, '0') || '_' || lpad(CAST(qty AS VARCHAR), 4, '0') AS name FROM clips WHERE start_sec < 360000")
+@query("p07_clip_id", f"WITH {CLIPS} SELECT clip_id, qty, 'clip_cam' || l_suppkey || '_' || replace(date, '-', '') || '_' || CASE WHEN start_sec < 36000 THEN '0' ELSE '' END || CAST(start_sec // 3600 AS VARCHAR) || lpad(CAST(start_sec % 3600 // 60 AS VARCHAR), 2, '0') || lpad(CAST(start_sec % 60 AS VARCHAR), 2, '0') || '_' || lpad(CAST(qty AS VARCHAR), 4, '0') AS name FROM clips")
 def _(s, d):
     name = C.segment_id(F.concat(F.lit("cam"), F.col("l_suppkey").cast("string")), F.col("date"), F.col("start_sec"), F.col("qty"))
     return clips(s, d).select("clip_id", "qty", name.alias("name"))

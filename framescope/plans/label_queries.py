@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framescope.functions import columns as C
 from framescope.functions.taxonomy import ACTIONS
 from framescope.operators import validation as V
 from framescope.plans.projections import PAIRS, pairs, table
+from framescope.session import shared_dir
 from framescope.sources import files
 from framescope.streaming import escalation
 
@@ -150,87 +151,144 @@ def _(s, d):
 
 
 def records(s, d):
-    """Annotation records made of orders; some break a rule."""
+    """Annotation records made of orders, with every status, reviews, bonus records and each way to break a rule."""
     o = table(s, d, "orders")
     k = F.col("o_orderkey")
+    every = lambda m: k % m == 0
     n = (k % 8).cast("int")
     n = F.when(n == 0, 1).otherwise(n)
-    lay = F.when(k % 10 == 0, 2).otherwise(F.when(n <= 5, 2).otherwise(1))
+    lay = F.when(every(10), 2).otherwise(F.when(n <= 5, 2).otherwise(1))
+    bonus = (lay == 1) & every(3)
+    ppe = {"helmet": F.when(every(21), "not_applicable").otherwise("worn"), "high_vis_vest": F.lit("not_worn"), "welding_protection": F.lit("not_applicable"), "harness": F.lit("cannot_determine"), "safety_shoes": F.lit("worn")}
     person = F.struct(
-        F.when(k % 17 == 0, "").otherwise("A1").alias("action_code"),
+        F.when(every(17), "").otherwise("A1").alias("action_code"),
         F.lit("left").alias("position"),
-        F.struct(*(F.lit("worn").alias(i) for i in ("helmet", "high_vis_vest", "welding_protection", "harness", "safety_shoes"))).alias("ppe"),
+        F.struct(*(v.alias(i) for i, v in ppe.items())).alias("ppe"),
         F.array(F.lit("elevated")).alias("spatial_context"),
         F.lit("fully_visible").alias("occlusion_level"),
         F.lit("solo").alias("group_flag"),
     )
-    people = F.when(lay == 2, F.array_repeat(person, n)).otherwise(F.array_repeat(person, 0))
+    people = F.when(lay == 2, n - every(67).cast("int")).when(bonus, n).otherwise(every(61).cast("int"))
+    text = lambda empty: F.when(empty, "").otherwise("a text")
+    review = F.struct(
+        F.element_at(F.array(F.lit("compliant"), F.lit("not_compliant"), F.lit("")), (k % 3 + 1).cast("int")).alias("overall_compliance"),
+        F.when(every(2), "Agree").otherwise("Disagree").alias("agree_with_vlm"),
+        text(every(5)).alias("disagree_reason"),
+        text(every(7)).alias("safety_description"),
+    )
+    status = F.when(F.col("o_orderstatus") == "P", "skipped").when(every(31), "flagged").when(every(37), "discarded").when(every(41), "draft").otherwise("submitted")
     record = F.struct(
-        F.when(F.col("o_orderstatus") == "P", "skipped").otherwise("submitted").alias("status"),
-        F.when(k % 23 == 0, "").otherwise("MAI").alias("scene_type"),
+        status.alias("status"),
+        F.when(every(43), "tier_3").otherwise("tier_1").alias("annotator_role"),
+        F.when(every(23), "").otherwise("MAI").alias("scene_type"),
         n.alias("num_workers"),
         lay.alias("annotation_layer"),
-        F.array(F.lit("A1")).alias("dominant_actions"),
-        F.when(k % 19 == 0, "short").otherwise("a long enough text").alias("scene_description"),
+        F.when(every(59), F.array().cast("array<string>")).otherwise(F.array(F.lit("A1"))).alias("dominant_actions"),
+        F.when(every(19), "short").otherwise("a long enough text").alias("scene_description"),
         F.lit("partial").alias("overall_ppe_compliance"),
-        F.lit("clear").alias("visibility"),
-        F.lit(0.5).alias("annotator_confidence"),
-        F.lit(False).alias("bonus_per_person"),
-        F.lit(None).cast("string").alias("flag_category"),
-        F.lit(None).cast("string").alias("discard_reason"),
-        people.alias("persons"),
+        F.when(every(29), F.array(F.lit("clear"), F.lit("fog"))).otherwise(F.array(F.lit("clear"))).alias("visibility_conditions"),
+        F.struct(every(13).alias("detected"), F.when(every(26), F.array().cast("array<string>")).otherwise(F.array(F.lit("A1>A2"))).alias("transitions")).alias("action_transition"),
+        F.when(every(53), F.lit(None)).when(every(47), 1.5).otherwise(0.5).alias("annotator_confidence"),
+        bonus.alias("bonus_per_person"),
+        F.when(every(62), "dark").otherwise("image_unclear").alias("flag_category"),
+        F.when(every(93), "x").otherwise("too dark").alias("flag_reason"),
+        text(every(74)).alias("discard_reason"),
+        F.when(~every(86), review).alias("safety_review"),
+        F.array_repeat(person, people).alias("persons"),
     )
     return o.select(k.alias("clip_id"), "o_custkey", record.alias("record"))
 
 
-RECORDS = """r AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus = 'P' AS skipped, CASE WHEN o_orderkey % 8 = 0 THEN 1 ELSE o_orderkey % 8 END AS n, o_orderkey % 10 = 0 AS forced FROM orders),
-  q AS (SELECT *, CASE WHEN forced OR n <= 5 THEN 2 ELSE 1 END AS lay FROM r),
-  e AS (SELECT *, CASE WHEN skipped THEN 0 ELSE (k % 23 = 0)::INT + (lay <> CASE WHEN n <= 5 THEN 2 ELSE 1 END)::INT + (NOT CASE WHEN lay = 1 THEN n BETWEEN 6 AND 30 ELSE n BETWEEN 1 AND 5 END)::INT + (k % 19 = 0)::INT + CASE WHEN lay = 2 AND k % 17 = 0 THEN n ELSE 0 END END AS errors FROM q),
-  c AS (SELECT *, CASE WHEN skipped THEN 'non_submitted' WHEN lay = 2 AND n > 5 THEN 'invalid_recoverable' WHEN errors = 0 THEN 'valid' ELSE 'invalid_requeue' END AS category FROM e)"""
-
-
-@query("v01_scene_validate", f"WITH {RECORDS} SELECT k AS clip_id, (k % 23 = 0)::INT + (lay <> CASE WHEN n <= 5 THEN 2 ELSE 1 END)::INT + (NOT CASE WHEN lay = 1 THEN n BETWEEN 6 AND 30 ELSE n BETWEEN 1 AND 5 END)::INT + (k % 19 = 0)::INT AS errors FROM e")
+def checked(s, d):
+    r = F.col("record")
+    return records(s, d).withColumn("errors", V.record_errors(r)).withColumn("category", V.category(r, F.col("errors")))
+
+
+_SCENE = {
+    "scene_type is required": "k % 23 = 0",
+    "annotation_layer does not match num_workers": "lay = 2 AND n > 5",
+    "num_workers is out of bounds": "lay = 2 AND n > 5",
+    "dominant_actions is empty": "k % 59 = 0",
+    "scene_description is short": "k % 19 = 0",
+    "visibility_conditions has unknown fog": "k % 29 = 0",
+    "action_transition lists none": "k % 26 = 0",
+    "annotator_confidence is not in 0 to 1": "k % 47 = 0 OR k % 53 = 0",
+}
+_BY_STATUS = {
+    "status is unknown": "status = 'draft'",
+    "discard_reason is required": "status = 'discarded' AND k % 74 = 0",
+    "flag_category is unknown": "status = 'flagged' AND k % 62 = 0",
+    "flag_reason is short": "status = 'flagged' AND k % 93 = 0",
+    "safety_review is required": "officer AND k % 86 = 0",
+    "overall_compliance is required": "officer AND k % 86 <> 0 AND k % 3 = 2",
+    "disagree_reason is required": "officer AND k % 86 <> 0 AND k % 2 = 1 AND k % 5 = 0",
+    "safety_description is required": "officer AND k % 86 <> 0 AND k % 3 = 1 AND k % 7 = 0",
+    "persons do not match num_workers": "strict AND lay = 2 AND k % 67 = 0",
+    "persons are listed on layer 1": "strict AND lay = 1 AND NOT bonus AND k % 61 = 0",
+}
+_PEOPLE = """SELECT k, '{0}' AS error, i FROM (SELECT k, unnest(range(1, people + 1)) AS i FROM q WHERE lay = 2 AND {1}) WHERE i IS NOT NULL"""
+RECORDS = f"""p AS (SELECT o_orderkey AS k, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'skipped' WHEN o_orderkey % 31 = 0 THEN 'flagged' WHEN o_orderkey % 37 = 0 THEN 'discarded' WHEN o_orderkey % 41 = 0 THEN 'draft' ELSE 'submitted' END AS status,
+    CASE WHEN o_orderkey % 8 = 0 THEN 1 ELSE o_orderkey % 8 END AS n FROM orders),
+  r AS (SELECT *, CASE WHEN k % 10 = 0 OR n <= 5 THEN 2 ELSE 1 END AS lay, status = 'submitted' AND k % 43 = 0 AS officer, status = 'submitted' AND k % 43 <> 0 AS strict FROM p),
+  b AS (SELECT *, lay = 1 AND k % 3 = 0 AS bonus FROM r),
+  q AS (SELECT *, CASE WHEN lay = 2 THEN n - (k % 67 = 0)::INT WHEN bonus THEN n ELSE (k % 61 = 0)::INT END AS people FROM b),
+  sm AS ({" UNION ALL ".join(f"SELECT k, '{m}' AS error, strict FROM q WHERE {w}" for m, w in _SCENE.items())}),
+  pm AS ({" UNION ALL ".join(_PEOPLE.format(m, w) for m, w in (("action_code is required", "k % 17 = 0"), ("ppe.helmet is unknown", "k % 21 = 0")))}),
+  m AS (SELECT k, error FROM sm WHERE strict UNION ALL SELECT k, 'P' || i || '.' || error FROM pm WHERE k IN (SELECT k FROM q WHERE strict)
+    UNION ALL {" UNION ALL ".join(f"SELECT k, '{m}' FROM q WHERE {w}" for m, w in _BY_STATUS.items())}),
+  t AS (SELECT k, count(*) AS errors FROM m GROUP BY k),
+  c AS (SELECT q.*, coalesce(errors, 0) AS errors, CASE WHEN status <> 'submitted' THEN 'non_submitted' WHEN lay = 2 AND n > 5 AND people = n THEN 'invalid_recoverable' WHEN errors IS NULL THEN 'valid' ELSE 'invalid_requeue' END AS category FROM q LEFT JOIN t USING (k))"""
+
+
+@query("v01_scene_validate", f"WITH {RECORDS} SELECT k AS clip_id, coalesce((SELECT string_agg(error, '; ' ORDER BY error) FROM sm WHERE sm.k = q.k), '') AS errors FROM q")
+def _(s, d):
+    return records(s, d).select("clip_id", F.array_join(F.array_sort(V.scene_errors(F.col("record"))), "; ").alias("errors"))
+
+
+@query("v02_person_validate", f"WITH {RECORDS} SELECT k AS clip_id, coalesce((SELECT string_agg('P' || i || '.' || error, '; ' ORDER BY i, error) FROM pm WHERE pm.k = q.k), '') AS errors FROM q WHERE lay = 2")
 def _(s, d):
-    return records(s, d).select("clip_id", F.size(V.scene_errors(F.col("record"))).alias("errors"))
+    r = F.col("record")
+    return records(s, d).where(r["annotation_layer"] == 2).select("clip_id", F.array_join(V.person_errors(r["persons"]), "; ").alias("errors"))
 
 
-@query("v02_person_validate", f"WITH {RECORDS} SELECT k AS clip_id, CASE WHEN lay = 2 AND k % 17 = 0 THEN 'P1: action_code' ELSE '' END AS first FROM e")
+@query("v03_status_validate", f"WITH {RECORDS} SELECT k AS clip_id, status, coalesce((SELECT string_agg(error, '; ' ORDER BY error) FROM m WHERE m.k = q.k), '') AS errors FROM q WHERE status <> 'submitted' OR officer OR bonus")
 def _(s, d):
-    return records(s, d).select("clip_id", F.coalesce(F.get(V.person_errors(F.col("record")["persons"]), F.lit(0)), F.lit("")).alias("first"))
+    """Records with rules of their own: flagged, discarded, skipped and unknown ones, reviews and bonus records."""
+    r = F.col("record")
+    own = (r["status"] != "submitted") | (r["annotator_role"] == "tier_3") | r["bonus_per_person"]
+    return records(s, d).where(own).select("clip_id", r["status"].alias("status"), F.array_join(F.array_sort(V.record_errors(r)), "; ").alias("errors"))
 
 
 @query("v05_categorize", f"WITH {RECORDS} SELECT k AS clip_id, category, CAST(errors AS INT) AS errors FROM c")
 def _(s, d):
-    r = F.col("record")
-    return records(s, d).select("clip_id", V.category(r).alias("category"), F.size(V.record_errors(r)).alias("errors"))
+    return checked(s, d).select("clip_id", "category", F.size("errors").alias("errors"))
 
 
-@query("v06_error_histogram", f"WITH {RECORDS}, h AS (SELECT 'P*: action_code' AS error, CAST(sum(n) FILTER (lay = 2 AND k % 17 = 0) AS BIGINT) AS n FROM c WHERE NOT skipped UNION ALL SELECT 'scene_type', count(*) FILTER (k % 23 = 0) FROM c WHERE NOT skipped UNION ALL SELECT 'scene_description', count(*) FILTER (k % 19 = 0) FROM c WHERE NOT skipped UNION ALL SELECT 'annotation_layer mismatch', count(*) FILTER (lay = 2 AND n > 5) FROM c WHERE NOT skipped UNION ALL SELECT 'num_workers out of bounds', count(*) FILTER (lay = 2 AND n > 5) FROM c WHERE NOT skipped) SELECT * FROM h WHERE n > 0")
+@query("v06_error_histogram", f"WITH {RECORDS} SELECT regexp_replace(error, '^P[0-9]+', 'P*') AS error, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, error LIMIT 15")
 def _(s, d):
-    return V.error_histogram(records(s, d).select(V.record_errors(F.col("record")).alias("errors")), "errors")
+    return V.error_histogram(checked(s, d), "errors")
 
 
-@query("v06b_category_counts", f"WITH {RECORDS} SELECT o_custkey, count(*) FILTER (category = 'valid') AS valid, count(*) FILTER (category = 'invalid_requeue') AS invalid_requeue FROM c GROUP BY o_custkey HAVING count(*) FILTER (category IN ('valid', 'invalid_requeue')) >= 0")
+@query("v06b_category_counts", f"WITH {RECORDS} SELECT o_custkey, count(*) FILTER (category = 'valid') AS valid, count(*) FILTER (category = 'invalid_requeue') AS invalid_requeue, count(*) FILTER (category = 'invalid_recoverable') AS invalid_recoverable, count(*) FILTER (category = 'non_submitted') AS non_submitted FROM c GROUP BY o_custkey")
 def _(s, d):
-    rows = records(s, d).select("o_custkey", V.category(F.col("record")).alias("category"))
-    return V.category_counts(rows, "o_custkey", ["valid", "invalid_requeue"])
+    return V.category_counts(checked(s, d), "o_custkey", ["valid", "invalid_requeue", "invalid_recoverable", "non_submitted"])
 
 
-@query("v07_repair", f"WITH {RECORDS} SELECT k AS clip_id, CASE WHEN category = 'invalid_recoverable' THEN 1 ELSE lay END AS layer, category = 'invalid_recoverable' AS bonus FROM c")
+@query("v07_repair", f"WITH {RECORDS} SELECT k AS clip_id, CASE WHEN category = 'invalid_recoverable' THEN 1 ELSE lay END AS layer, bonus OR category = 'invalid_recoverable' AS bonus FROM c")
 def _(s, d):
     return V.repaired(records(s, d)).select("clip_id", F.col("record.annotation_layer").alias("layer"), F.col("record.bonus_per_person").alias("bonus"))
 
 
 @query("v09_health", f"WITH {RECORDS} SELECT count(*) AS records, count(*) FILTER (errors = 0) AS clean, CAST(sum(errors) AS BIGINT) AS issues, (SELECT count(DISTINCT doc_id) FROM labels) AS wanted, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id IN (SELECT o_orderkey FROM orders)) AS covered FROM c")
 def _(s, d):
-    rows = records(s, d).select("clip_id", V.record_errors(F.col("record")).alias("issues"))
+    rows = checked(s, d).select("clip_id", F.col("errors").alias("issues"))
     return V.health(rows, table(s, d, "labels").select(F.col("doc_id").alias("clip_id")))
 
 
-@query("v10_rerun", f"WITH {RECORDS} SELECT doc_id AS clip_id FROM labels WHERE doc_id NOT IN (SELECT k FROM r) UNION SELECT k FROM c WHERE NOT skipped AND k % 23 = 0")
+@query("v10_rerun", f"WITH {RECORDS} SELECT doc_id AS clip_id FROM labels WHERE doc_id NOT IN (SELECT k FROM r) UNION SELECT k FROM m WHERE error = 'scene_type is required'")
 def _(s, d):
-    rows = records(s, d).select("clip_id", V.record_errors(F.col("record")).alias("issues"))
-    return V.rerun_keys(table(s, d, "labels").select(F.col("doc_id").alias("clip_id")), rows, ["scene_type"])
+    rows = checked(s, d).select("clip_id", F.col("errors").alias("issues"))
+    return V.rerun_keys(table(s, d, "labels").select(F.col("doc_id").alias("clip_id")), rows, ["scene_type is required"])
 
 
 @query("v12_count_window", "SELECT user_id, p // 20 AS \"window\", count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error') > count(*) * 0.05 AS alert FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p FROM events) GROUP BY 1, 2")
@@ -266,7 +324,7 @@ def _(s, d):
     """The queue as a stream over saved annotations, run to the end of what is there."""
     import uuid
 
-    root = s.conf.get("spark.checkpoint.dir", None) or "/tmp"
+    root = shared_dir(s)
     folder = f"{root.rstrip('/')}/review-{uuid.uuid4().hex}"
     k, codes = F.col("saved_at"), [F.lit(c) for c in list(ACTIONS)[:3]]
     scene = F.when(k % 3 == 0, F.array(codes[0], codes[1])).when(k % 3 == 1, F.array(codes[2]))  # the others are layer 2
@@ -294,13 +352,13 @@ def _(s, d):
     return rule_text(n, s.createDataFrame([(f"r{k}", f"text {k}") for k in range(3)], "rule_id string, description string"))
 
 
-@query("p37_queue_items", "SELECT o_orderkey AS at, CAST(o_orderkey AS VARCHAR) AS clip_id FROM orders WHERE o_orderkey % 100 = 0")
+@query("p37_queue_items", "SELECT o_orderkey AS at, CAST(o_orderkey AS VARCHAR) AS clip_id FROM orders")
 def _(s, d):
     """Queue items in several shapes: a plain id, an object, or an object around a list."""
     k = F.col("o_orderkey")
-    o = table(s, d, "orders").where(k % 100 == 0)
+    o = table(s, d, "orders")
     plain, item = k.cast("string"), F.concat(F.lit('{"clip_id": "'), k.cast("string"), F.lit('"}'))
-    raw = F.when(k % 300 == 0, plain).when(k % 300 == 100, item).otherwise(F.concat(F.lit('{"items": ['), item, F.lit("]}")))
+    raw = F.when(k % 3 == 0, plain).when(k % 3 == 1, item).otherwise(F.concat(F.lit('{"items": ['), item, F.lit("]}")))
     return o.select(k.alias("at"), F.explode(C.queue_items(raw)).alias("clip_id"))
 
 
@@ -311,16 +369,17 @@ def _(s, d):
     return special.unionByName(s.createDataFrame([(None, "g1", "report")], "dept string, rule_id string, description string"))
 
 
-@query("p42_unsafe_workers", "SELECT user_id, array_to_string(list_sort(list('P' || p) FILTER (event_type = 'error')), ',') AS unsafe FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p <= 9 GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') > 0")
+@query("p42_unsafe_workers", "SELECT user_id, string_agg('P' || p, ',' ORDER BY p) AS unsafe FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE event_type = 'error' GROUP BY user_id")
 def _(s, d):
-    e = table(s, d, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), 1, 9).alias("x"))
-    marked = F.transform("x", lambda p, i: F.struct(F.concat(F.lit("P"), (i + 1).cast("string")).alias("id"), (p["event_type"] == "error").alias("bad")))
-    return e.select("user_id", F.transform(F.filter(marked, lambda p: p["bad"]), lambda p: p["id"]).alias("u")).where(F.size("u") > 0).select("user_id", F.array_join("u", ",").alias("unsafe"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    bad = table(s, d, "events").select("user_id", "event_type", place.alias("p")).where("event_type = 'error'")
+    listed = bad.groupBy("user_id").agg(F.array_sort(F.collect_list("p")).alias("x"))
+    return listed.select("user_id", F.array_join(F.transform("x", lambda p: F.concat(F.lit("P"), p.cast("string"))), ",").alias("unsafe"))
 
 
-@query("r07_live_entries", "SELECT DISTINCT user_id AS clip_id FROM events WHERE event_id % 41 = 0 AND user_id IN (SELECT doc_id FROM labels)")
+@query("r07_live_entries", "WITH s AS (SELECT user_id, event_id % 4 AS w, event_id % 50 = 0 AS other, event_id % 41 = 0 OR event_id % 29 = 0 AS own, event_id FROM events), f AS (SELECT user_id, arg_min(other, event_id) AS fo, arg_min(w, event_id) AS fw FROM s GROUP BY user_id) SELECT DISTINCT CAST(user_id AS BIGINT) AS clip_id FROM s JOIN f USING (user_id) WHERE (own OR (w <> fw AND other <> fo)) AND user_id IN (SELECT doc_id FROM labels)")
 def _(s, d):
-    queue = table(s, d, "events").where("event_id % 41 = 0").select(F.col("user_id").alias("clip_id")).distinct()
+    queue = escalation.queue_of(saved(s, d)).select("clip_id")
     return escalation.live_entries(queue, table(s, d, "labels").select(F.col("doc_id").alias("clip_id")))
 
 
