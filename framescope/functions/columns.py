@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framescope.functions.taxonomy import ACTIONS, GROUPS, NO_VIOLATION, PROTECTION, SEVERITY
+from framescope.functions.taxonomy import ACTIONS, GROUPS, NO_VIOLATION, PROTECTION, PROTECTION_WORDS, SCENE_NAMES, SEVERITY
 
 
 def _keep(*options: tuple[Column, Column | str]) -> Column:
@@ -103,7 +103,15 @@ def failure_kind(error: Column) -> Column:
     """Kind of a failure, by the first pattern its text holds."""
     e = F.lower(error)
     has = lambda *words: F.greatest(*(e.contains(w) for w in words), F.lit(False))
-    return F.when(has("parse", "json"), "parse").when(has("rate", "429"), "rate_limit").when(has("timeout", "timed out"), "timeout").when(has("safety", "blocked"), "safety").when(has("token"), "token_limit").otherwise("other")
+    return (
+        F.when(error.isNull(), "unknown")
+        .when(has("parse"), "parse_fail")
+        .when(has("429", "rate", "throttl"), "rate_limit")
+        .when(has("timeout"), "timeout")
+        .when(has("safety", "block"), "safety_block")
+        .when(has("token", "length"), "token_limit")
+        .otherwise("other")
+    )
 
 
 def error_group(error: Column) -> Column:
@@ -170,13 +178,12 @@ def action_code(value: Column) -> Column:
 def scene_code(value: Column) -> Column:
     """Scene type without spacing and dashes; common long names map to codes. ``SA-X`` thus becomes ``SAX``."""
     s = F.regexp_replace(F.upper(F.trim(value)), "[-_ ]", "")
-    return lookup(s, {"SINGLE": "SA", "SINGLEACTOR": "SA", "MULTI": "MAI", "MULTIACTOR": "MAI", "SEQUENTIAL": "SEQ"}, s)
+    return lookup(s, SCENE_NAMES, s)
 
 
 def protection_state(value: Column, default: str) -> Column:
     """State of a protective item from free wording."""
-    table = dict.fromkeys(("present", "yes", "worn", "true", "wearing"), "present") | dict.fromkeys(("absent", "no", "none", "not_worn", "false"), "absent") | dict.fromkeys(("n/a", "not_applicable"), "not_applicable") | dict.fromkeys(("unknown", "maybe", "cannot_determine"), "cannot_determine")
-    return lookup(F.lower(F.trim(value)), table, F.lit(default))
+    return lookup(F.lower(F.trim(value)), {w: state for state, words in PROTECTION_WORDS.items() for w in words}, F.lit(default))
 
 
 def confidence(value: Column) -> Column:
@@ -220,7 +227,8 @@ def protection_states(record: Column) -> Column:
 
 
 def action_agreement(a: Column, b: Column) -> Column:
-    return F.when(a == b, 1.0).when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 0.5).otherwise(0.0)
+    """1 for equal codes, 0.5 for codes of one group; an empty or missing code agrees with nothing."""
+    return F.when(F.coalesce(a, F.lit("")) == "", 0.0).when(a == b, 1.0).when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 0.5).otherwise(0.0)
 
 
 def jaccard(a: Column, b: Column) -> Column:

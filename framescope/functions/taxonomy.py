@@ -45,6 +45,16 @@ NO_VIOLATION = {
 }
 # Vocabularies of scenes, visibility, protection and people.
 SCENES = ("SA", "MAI", "MAC", "SEQ", "SA-X", "MAI-X", "MAC-X")
+SCENE_NAMES = {"SINGLE": "SA", "SINGLEACTOR": "SA", "MULTI": "MAI", "MULTIACTORINDEPENDENT": "MAI", "MULTIACTORCOORDINATED": "MAC", "SEQUENTIAL": "SEQ"}
+# Words for the state of a protective item.
+PROTECTION_WORDS = {
+    "present": ("present", "yes", "true", "1", "worn", "visible", "detected", "wearing"),
+    "absent": ("absent", "no", "false", "0", "not_worn", "missing", "not_visible", "not_wearing", "none"),
+    "cannot_determine": ("cannot_determine", "unknown", "unsure", "unclear", "indeterminate", "partially_visible", "obscured"),
+    "not_applicable": ("not_applicable", "n/a", "na"),
+}
+# Conditions by which the accuracy of a source degrades.
+DEGRADING = ("clear", "low_light", "dust", "glare", "steam", "smoke")
 VISIBILITY = ("clear", "moderate", "harsh")
 CONDITIONS = ("clear", "steam", "dust", "smoke", "rain", "glare", "low_light")
 PROTECTION = ("helmet", "high_vis_vest", "welding_protection", "harness", "safety_shoes")

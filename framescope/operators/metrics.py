@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescope.functions.columns import is_violation, label_distance, wilson
+from framescope.functions.taxonomy import DEGRADING
 
 EXACT = "decimal(18,6)"
 
@@ -101,6 +102,47 @@ def detection_scores(clips: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return sums.select(*keys, "tp", "fp", "fn", ratio(5 * F.col("tp"), 5 * F.col("tp") + 4 * F.col("fn") + F.col("fp")).alias("f2"), "mae")
 
 
+def degradation_score(pairs: DataFrame, conditions: str, keys: Sequence[str] = (), kept: Sequence[str] = DEGRADING) -> DataFrame:
+    """Mean accuracy over the conditions that occur, and that as a share of the best one's; 0 if nothing is right.
+
+    One pass with a pair of counts for each condition; no row is repeated for its conditions.
+    """
+    right = F.col("gt") == F.col("pred")
+    counts = [x for k, c in enumerate(kept) for x in (F.count_if(F.array_contains(conditions, c)).alias(f"_n{k}"), F.count_if(F.array_contains(conditions, c) & right).alias(f"_r{k}"))]
+    places = range(len(kept))
+    rows = pairs.groupBy(*keys).agg(*counts)
+    each = [ratio(F.col(f"_r{k}"), F.col(f"_n{k}")) for k in places]
+    total, some = F.lit(0.0), F.lit(0)
+    for k in places:
+        total, some = total + F.coalesce(each[k], F.lit(0.0)), some + (F.col(f"_n{k}") > 0).cast("int")
+    rows = rows.withColumn("audc", total / F.nullif(some, F.lit(0))).withColumn("_best", F.greatest(*each))
+    return rows.select(*keys, "audc", F.when(F.col("_best") > 0, F.col("audc") / F.col("_best")).when(F.col("_best").isNotNull(), 0.0).alias("naudc"))
+
+
+def matched(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """Predictions joined with the truth of the same key; what only one side has counts on neither."""
+    return predictions.join(truth, key)
+
+
+#: Limits of the deployment readiness score.
+READINESS = {"accuracy": ("at_least", 0.80), "naudc": ("at_least", 0.85), "gap": ("at_most", 0.20), "recall": ("at_least", 0.90), "f2": ("at_least", 0.70)}
+
+
+def metric_row(pairs: DataFrame, keys: Sequence[str], conditions: str = "conditions") -> DataFrame:
+    """One row by key with the five metrics that readiness is judged by; each part is a row by key, so that joins are small."""
+    parts = (
+        distance_accuracy(pairs, keys),
+        degradation_score(pairs, conditions, keys).select(*keys, "naudc"),
+        reasoning_gap(pairs, keys).select(*keys, "gap"),
+        safety_rates(pairs, keys).select(*keys, "recall"),
+        detection_scores(pairs, keys).select(*keys, "f2"),
+    )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, list(keys), "left")
+    return out
+
+
 def readiness_score(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
     """Share of limits that a row of metrics meets; a missing metric doesn't."""
     met = [F.coalesce((F.col(m) >= t) if side == "at_least" else (F.col(m) <= t), F.lit(False)).cast("int") for m, (side, t) in limits.items()]

@@ -85,14 +85,16 @@ def stratified(rows: DataFrame, stratum: str, target: int, order: Sequence[Colum
         return rows.limit(0)
     table = rows.sparkSession.createDataFrame([(k, n) for k, n in shares.items()], f"_stratum {dict(rows.dtypes)[stratum]}, _take int")
     w = Window.partitionBy(stratum).orderBy(*order)
-    ranked = rows.withColumn("_place", F.row_number().over(w)).join(F.broadcast(table), F.col(stratum).eqNullSafe(F.col("_stratum")))
+    # The literal bound lets every task keep its first rows of a stratum before they are dealt out by stratum.
+    first = rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= max(shares.values()))
+    ranked = first.join(F.broadcast(table), F.col(stratum).eqNullSafe(F.col("_stratum")))
     return ranked.where("_place <= _take").drop("_place", "_stratum", "_take")
 
 
 def balanced(rows: DataFrame, label: str, size: int, order: Sequence[Column], existing: DataFrame | None = None) -> DataFrame:
     """``size`` rows taken from the classes in turn, those with the fewest existing rows first in each turn."""
     w = Window.partitionBy(label).orderBy(*order)
-    ranked = rows.withColumn("turn", F.row_number().over(w))
+    ranked = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= size)  # more of a class are never taken
     if existing is not None:
         ranked = ranked.join(existing.select(F.col(label), F.col("n").alias("_have")), label, "left")
     else:
@@ -117,13 +119,17 @@ def decoys(rows: DataFrame, id_col: str, label: str, labels: Sequence[str], shar
 def numbered(rows: DataFrame, coarse: Column, order: Sequence[Column], name: str = "place") -> DataFrame:
     """Rows with their place, from 0, in a global order, without sorting all rows in one task.
 
-    ``coarse`` is a column that never falls along ``order``, with moderately many rows for each value: rows are numbered
-    inside each value, and the values' counts are added up.
+    ``coarse`` is a number that never falls along ``order``, with moderately many rows for each value: rows are numbered
+    inside each value, and the values' counts are added up, first inside blocks of 10,000 values and then over blocks,
+    so that no task sees more than one row for each block.
     """
     placed = rows.withColumn("_coarse", coarse)
-    before = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n"))  # a row for each value
-    counts = counts.select("_coarse", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("_coarse") / 10_000))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_all"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_all").over(earlier(Window.orderBy("_block"))), F.lit(0)).alias("_start"))
+    in_block = F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("_block").orderBy("_coarse"))), F.lit(0))
+    counts = counts.withColumn("_before", in_block).join(blocks, "_block").select("_coarse", (F.col("_before") + F.col("_start")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_coarse").orderBy(*order)) - 1
     return placed.withColumn(name, inside).join(counts, "_coarse").withColumn(name, F.col(name) + F.col("_before")).drop("_coarse", "_before")
 

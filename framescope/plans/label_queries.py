@@ -44,16 +44,20 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", C.action_code(F.element_at(forms, (F.col("o_orderkey") % 11 + 1).cast("int"))).alias("code"))
 
 
-@query("p17_scene_normalize", "SELECT o_orderkey, (['SA','MAI','SAX','MAC'])[o_orderkey % 4 + 1] AS scene FROM orders")
+def _choice(values):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("o_orderkey") % len(values) + 1).cast("int"))
+
+
+@query("p17_scene_normalize", "SELECT o_orderkey, (['SA','MAI','SAX','MAC','MAI','MAC','SEQ','MULTIACTOR'])[o_orderkey % 8 + 1] AS scene FROM orders")
 def _(s, d):
-    forms = F.array(*map(F.lit, (" single actor", "Multi", "SA-X", "m_a c")))
-    return table(s, d, "orders").select("o_orderkey", C.scene_code(F.element_at(forms, (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("scene"))
+    forms = (" single actor", "Multi", "SA-X", "m_a c", "multi-actor independent", "MULTI_ACTOR_COORDINATED", "sequential ", "multi actor")
+    return table(s, d, "orders").select("o_orderkey", C.scene_code(_choice(forms)).alias("scene"))
 
 
-@query("p18_map_normalize", "SELECT o_orderkey, (['present','absent','not_applicable','cannot_determine'])[o_orderkey % 4 + 1] AS state FROM orders")
+@query("p18_map_normalize", "SELECT o_orderkey, CASE WHEN o_orderkey % 26 < 8 THEN 'present' WHEN o_orderkey % 26 < 16 THEN 'absent' WHEN o_orderkey % 26 < 22 THEN 'cannot_determine' WHEN o_orderkey % 26 < 24 THEN 'not_applicable' ELSE '?' END AS state FROM orders")
 def _(s, d):
-    forms = F.array(*map(F.lit, ("Worn ", "none", "n/a", "?")))
-    return table(s, d, "orders").select("o_orderkey", C.protection_state(F.element_at(forms, (F.col("o_orderkey") % 4 + 1).cast("int")), "cannot_determine").alias("state"))
+    forms = ("present", "YES", "true", "1", "Worn ", "visible", " detected", "wearing", "absent", "no", "false", "0", "not_worn", "missing", "not_wearing", "none", "unknown", "unsure", "unclear", "Obscured", "partially_visible", "indeterminate", "n/a", "NA", "maybe", "")
+    return table(s, d, "orders").select("o_orderkey", C.protection_state(_choice(forms), "?").alias("state"))
 
 
 @query("p19_confidence", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.5 WHEN v > 1 THEN least(1.0, v / 100) ELSE greatest(0.0, v) END AS confidence FROM (SELECT event_id, CAST(value AS DOUBLE) AS v FROM events)")
@@ -109,13 +113,14 @@ def _(s, d):
     return table(s, d, "orders").groupBy(C.error_group(e).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p35_failure_class", "SELECT (['parse','rate_limit','timeout','safety','token_limit','other'])[o_orderkey % 6 + 1] AS kind, count(*) AS n FROM orders GROUP BY 1")
+@query("p35_failure_class", "SELECT (['parse_fail','rate_limit','rate_limit','timeout','safety_block','safety_block','token_limit','token_limit','other','unknown'])[o_orderkey % 10 + 1] AS kind, count(*) AS n FROM orders GROUP BY 1")
 def _(s, d):
-    e = F.element_at(F.array(*map(F.lit, ("JSON error", "429 Rate", "Timed out", "Blocked", "max tokens", "?"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    texts = ("JSON Parse error", "HTTP 429", "Throttled", "read TIMEOUT", "Safety stop", "Blocked", "max tokens", "finish: LENGTH", "JSON error")
+    e = F.get(F.array(*map(F.lit, texts), F.lit(None)), (F.col("o_orderkey") % 10).cast("int"))
     return table(s, d, "orders").groupBy(C.failure_kind(e).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p36_signature")
+@query("p36_signature", """SELECT o_orderkey, substr(md5('{"o_custkey":' || o_custkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}'), 1, 8) AS signature FROM orders""")
 def _(s, d):
     return table(s, d, "orders").select("o_orderkey", F.substring(F.md5(F.to_json(F.struct("o_custkey", "o_orderpriority", "o_orderstatus"))), 1, 8).alias("signature"))
 

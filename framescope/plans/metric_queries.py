@@ -112,6 +112,37 @@ def _(s, d):
     return M.readiness_score(M.safety_rates(pairs(s, d), ["model"]), {"recall": ("at_least", 0.8), "false_safe": ("at_most", 0.2), "false_alarm": ("at_most", 0.3)}).select("model", "met", "score")
 
 
+_BINS = ("clear", "low_light", "dust", "glare", "steam", "smoke")
+_DEGRADED = (
+    "b AS (SELECT model, " + ", ".join(f"count(*) FILTER (list_contains(conditions, '{c}')) AS n{k}, count(*) FILTER (list_contains(conditions, '{c}') AND gt = pred) AS r{k}" for k, c in enumerate(_BINS)) + " FROM pairs GROUP BY model), "
+    "g AS (SELECT model, " + ", ".join(f"CAST(r{k} AS DOUBLE) / nullif(n{k}, 0) AS a{k}" for k in range(6)) + " FROM b), "
+    "h AS (SELECT model, (0.0::DOUBLE + " + " + ".join(f"coalesce(a{k}, 0.0::DOUBLE)" for k in range(6)) + ") / nullif(" + " + ".join(f"(a{k} IS NOT NULL)::INT" for k in range(6)) + ", 0) AS audc, greatest(" + ", ".join(f"a{k}" for k in range(6)) + ") AS best FROM g), "
+    "u AS (SELECT model, audc, CASE WHEN best > 0 THEN audc / best WHEN best IS NOT NULL THEN 0.0 END AS naudc FROM h)"
+)
+
+
+@query("a11_naudc", f"WITH {PAIRS}, {_DEGRADED} SELECT model, audc, naudc FROM u")
+def _(s, d):
+    return M.degradation_score(pairs(s, d), "conditions", ["model"])
+
+
+@query("a16_readiness_five", f"WITH {PAIRS}, {_DEGRADED}, "
+    "w AS (SELECT model, 1 - CAST(sum(CASE WHEN gt = pred THEN 0 WHEN gt[1] = pred[1] THEN 0.33 ELSE 0.5 + 0.1 * abs(strpos('ABCDEFX', gt[1]) - strpos('ABCDEFX', pred[1])) END::DECIMAL(18,6)) AS DOUBLE) / count(*) AS accuracy, "
+    "CAST(count(*) FILTER (gt = pred AND gt_bad <> pred_bad) AS DOUBLE) / count(*) FILTER (gt = pred) AS gap, CAST(count(*) FILTER (gt_bad = 1 AND pred_bad = 1) AS DOUBLE) / count(*) FILTER (gt_bad = 1) AS recall FROM pairs GROUP BY model), "
+    "f AS (SELECT model, CAST(5 * sum(least(gt_count, pred_count)) AS DOUBLE) / (5 * sum(least(gt_count, pred_count)) + 4 * sum(greatest(gt_count - pred_count, 0)) + sum(greatest(pred_count - gt_count, 0))) AS f2 FROM pairs WHERE gt_count > 0 GROUP BY model), "
+    "z AS (SELECT model, accuracy, naudc, gap, recall, f2, CAST((accuracy >= 0.8)::INT + (naudc >= 0.85)::INT + (gap <= 0.2)::INT + (recall >= 0.9)::INT + (f2 >= 0.7)::INT AS INT) AS met FROM w JOIN u USING (model) JOIN f USING (model)) SELECT *, met / 5 AS score FROM z")
+def _(s, d):
+    return M.readiness_score(M.metric_row(pairs(s, d), ["model"]), M.READINESS)
+
+
+@query("j01_prediction_truth", "WITH t AS (SELECT o_orderkey AS clip_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS gt FROM orders), p AS (SELECT l_orderkey AS clip_id, CAST(min(l_partkey) % 5 + 1 AS INT) AS pred FROM lineitem GROUP BY l_orderkey) SELECT gt, pred, count(*) AS n FROM p JOIN t USING (clip_id) GROUP BY ALL")
+def _(s, d):
+    """Predictions, one for each clip, against truth from another table, counted by both labels."""
+    truth = table(s, d, "orders").select(F.col("o_orderkey").alias("clip_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("gt"))
+    said = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("clip_id")).agg((F.min("l_partkey") % 5 + 1).cast("int").alias("pred"))
+    return M.matched(said, truth, "clip_id").groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a17_leaderboard", f"WITH {PAIRS} SELECT model, CAST(count(*) FILTER (gt = pred) AS DOUBLE) / count(*) AS accuracy, CAST(row_number() OVER (ORDER BY count(*) FILTER (gt = pred) * 1.0 / count(*) DESC, model) AS INT) AS place FROM pairs GROUP BY model")
 def _(s, d):
     from pyspark.sql import Window
