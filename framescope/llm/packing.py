@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from framescope.llm.common import flat_map, free_name, materialize, quoted
 
 CAPACITY = 2048
+#: Words whose ids a worker remembers.
+CACHE_WORDS = 1_500_000
 
 
 #: How the tokenizer must normalise and split texts for ids to be those of the words in turn.
@@ -49,7 +51,7 @@ class WordEncoder:
 
     MARKS = b".,;:!?|#%&$*"
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,7 +69,10 @@ class WordEncoder:
     @staticmethod
     def letters(word: bytes) -> bool:
         """Whether the tokenizer sees letters alone: lower case may bring marks, as that of a dotted capital I does."""
-        return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
+        if word.isalpha():  # of ASCII alone
+            return True
+        text = word.decode("utf-8", "replace")
+        return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
 
     def stem(self, word: bytes) -> bytes:
         """``word`` without the marks behind it, if what is left ends in an ASCII letter or digit, or is letters alone."""
@@ -122,16 +127,20 @@ class WordEncoder:
         return b"".join(found)  # type: ignore[arg-type]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """The ``keep`` columns with ``piece``, ``start``, ``length`` and ``ids`` (little-endian 32-bit) of each piece."""
+def tokenize(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), capacity: int = CAPACITY, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """The ``keep`` columns with ``piece``, ``start``, ``length`` and ``ids`` (little-endian 32-bit) of each piece.
+
+    ``cache_words`` bounds a worker's memory, at about 150 bytes a word; results don't depend on it.
+    """
     width = 4 * capacity
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def make() -> Callable[[Any], Iterable[tuple]]:
-        encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        key = (tokenizer_path, cache_words)
+        encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, WordEncoder(*key))
 
         def pieces(text: str | None) -> Iterable[tuple]:
             ids = encoder.text(text or "") + end
@@ -141,7 +150,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep: S
 
         return pieces
 
-    names = {n: free_name(df, n) if n in keep else n for n in ("piece", "start", "length", "ids")}
+    names = {n: free_name(df, n) if n in {k.lower() for k in keep} else n for n in ("piece", "start", "length", "ids")}
     kinds = (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()))
     return flat_map(df, text_col, keep, [T.StructField(names[n], t) for n, t in kinds], make)
 

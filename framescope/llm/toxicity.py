@@ -22,8 +22,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescope.llm.common import free_name, materialize, quoted
+from framescope.llm.common import flat_map, free_name, materialize, quoted
 
 LETTERS = re.compile(r"[^\W\d_]+")
 GRADES = 4
@@ -120,15 +121,24 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     place = {r["word"]: k for k, r in enumerate(best)}
     markers = {r["word"] for r in best if r["odds"] >= 3}
 
-    # A number for each labelled document and each known word: at most max_rows documents, as columns of numbers.
+    # A row for each labelled document, max_rows at most, with the places and counts of its known words.
     key = F.xxhash64("label_id", "label_hash", "toxic").alias("key")
-    places = docs.sparkSession.createDataFrame([(w, k) for w, k in place.items()], "word string, place int")
-    kept = rows.join(F.broadcast(places), "word").select(key, "place", F.col("n").cast("int").alias("n")).toArrow()
-    every = counted.select(key, F.col("toxic").cast("int").alias("toxic")).distinct().orderBy("key").toArrow()
+    once = counted.dropDuplicates(["label_id", "label_hash", "toxic"]).select(key, F.col("toxic").cast("int").alias("toxic"), "words")
+
+    def make() -> Callable[[Any], Iterable[tuple]]:
+        def row(words: list[str]) -> Iterable[tuple]:
+            found = Counter(place[w] for w in words if w in place)
+            order = sorted(found)
+            return [(np.asarray(order, dtype=np.int32), np.asarray([found[k] for k in order], dtype=np.int32))]
+
+        return row
+
+    numbers = T.ArrayType(T.IntegerType())
+    every = flat_map(once, "words", ["key", "toxic"], [T.StructField("places", numbers), T.StructField("counts", numbers)], make).orderBy("key").toArrow()
     keys, grades = every["key"].to_numpy(), every["toxic"].to_numpy().astype(np.int64)
-    r, c, n = np.searchsorted(keys, kept["key"].to_numpy()), kept["place"].to_numpy().astype(np.int64), kept["n"].to_numpy()
-    order = np.lexsort((c, r))
-    r, c, n = r[order], c[order], n[order]
+    filled = [len(x) for x in every["places"].to_pylist()]
+    r = np.repeat(np.arange(len(keys)), filled)
+    c, n = (np.concatenate([*map(np.asarray, every[f].to_pylist()), np.zeros(0)]).astype(np.int64) for f in ("places", "counts"))
     names = list(place)
     marks = np.array([w in markers and (w[0] == "^" or "^" + w[:PREFIX] not in markers) for w in names] + [False])
     dose = np.bincount(r, weights=n * marks[c], minlength=len(keys))

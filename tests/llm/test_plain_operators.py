@@ -404,11 +404,29 @@ def test_ordinal_fit_orders_thresholds_and_finds_weights():
     assert np.allclose(w, [1.5, 0, -1], atol=0.2) and np.allclose(theta, [1, 2.5, 4], atol=0.3)
 
 
+def test_toxicity_learns_from_awkward_labels(spark):
+    bad = "grim foul vile nasty"
+    rows = [(k, (bad + " " if k % 2 else "") + prose(k, 12)) for k in range(120)]
+    docs = spark.createDataFrame([*rows, *rows[:9], (None, bad), (500, None), (501, "")], "doc_id long, text string")
+    labels = [(k, k % 2) for k in range(120)] + [(None, 1), (7, None), (900, 1), (500, 0), (3, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert {"grim", "foul", "vile", "nasty"} <= set(model.weights) and all(model.weights[w] > 0 for w in bad.split())
+    assert list(model.thresholds) == sorted(model.thresholds)
+    for r in toxicity.grade(docs, model).collect():
+        score = model.score(r["text"])
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert r["expected_severity"] == pytest.approx(sum(above)) and r["p_toxic"] == pytest.approx(above[0])
+        assert r["toxic"] == (bad in (r["text"] or ""))
+    for empty in (toxicity.learn(docs.where("false"), labels), toxicity.learn(docs, labels.where("toxic = 0"))):
+        assert not empty.weights and not any(r["toxic"] for r in toxicity.grade(docs, empty).collect())
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels.where("doc_id % 2 = 0"))
     out = toxicity.grade(docs, model).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "truth"), "doc_id")
-    hit, all_toxic, wrong = out.agg(F.count_if(F.expr("truth = 1 and toxic")), F.count_if("truth = 1"), F.count_if("truth = 0 and toxic")).first()
+    hit, all_toxic, wrong = out.agg(F.count_if(F.expr("truth = 1 and toxic")), F.count_if(F.expr("truth = 1")), F.count_if(F.expr("truth = 0 and toxic"))).first()
     assert hit >= 0.85 * all_toxic and wrong <= 0.01 * out.count()
     assert list(model.thresholds) == sorted(model.thresholds)
 
