@@ -54,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize(docs.select("doc_id", "text"), tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = packing.tokenize(docs.select("doc_id", "text"), tokenizer_path(), cache_words=400_000).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(materialize(pieces, "pieces"))
 
 
