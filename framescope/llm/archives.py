@@ -14,7 +14,8 @@ carry no payload, only its digest, its length and the id they refer to.
 Defined results: a null payload counts as empty; empty payloads are deduplicated like any other. A null id is written
 as ``none`` and read back as null; it counts as larger than every id, and if all ids of a payload are null, each record
 is a response. Rows that repeat the smallest id are all responses. A null URL is left out of the record. An empty table
-gives no archives and an empty result.
+gives no archives and an empty result. An archive holds pages: columns other than id, URL and payload aren't written,
+whatever their names, and can be joined to what is read by ``page_id``.
 """
 
 from __future__ import annotations
@@ -57,9 +58,10 @@ def _clean(value: str) -> str:
     return "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in value)
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response record, or with ``refers_to`` a revisit record that holds the HTTP header alone."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, size: int | None = None) -> bytes:
+    """A response record, or with ``refers_to`` a revisit record that holds the HTTP header alone. ``size`` is the
+    payload's length where the payload itself isn't at hand."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     block = head + (payload if refers_to is None else b"")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
@@ -210,8 +212,8 @@ def records_of(archive: ZipRanges) -> Iterator[dict[str, Any]]:
 
 def _archive(rows: list[tuple]) -> bytes:
     data, index = bytearray(), []
-    for page_id, url, payload, digest, refers_to in rows:
-        packed = gzip.compress(make_record(page_id, url, payload, digest, refers_to), 1, mtime=0)
+    for page_id, url, payload, digest, refers_to, *length in rows:
+        packed = gzip.compress(make_record(page_id, url, payload, digest, refers_to, *length), 1, mtime=0)
         entry = {"filename": WARC_MEMBER.removeprefix("archive/"), "offset": str(len(data)), "length": str(len(packed)), "digest": f"sha1:{digest}"} | ({"url": url} if url is not None else {})
         index.append(f"page:{'none' if page_id is None else page_id} 20240101000000 {json.dumps(entry)}\n")
         data += packed
@@ -224,14 +226,35 @@ def digest_of(payloads: pd.Series) -> pd.Series:
     return pd.Series([payload_digest((p or "").encode("utf-8", "surrogatepass")) for p in payloads], dtype=object)
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = 8 << 20) -> DataFrame:
+def referred(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """``rows`` (page_id, url, payload, digest) with ``refers_to``, the smallest id of its payload unless it is its own.
+
+    Digests meet their smallest ids in a join, payloads of unknown role with them. At most ``hot_rows`` digests are
+    held by more than 1 in ``hot_rows`` rows; these get their id from a broadcast, drop the payload of each revisit on
+    the spot, and are dealt out by id.
+    """
+    groups = materialize(rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "digests")
+    total = rows.count()
+    hot = groups.where(F.col("n") * hot_rows > total).select(F.col("digest").alias("hot_digest"), F.col("first_id").alias("hot_id"))
+    groups = groups.where(F.col("n") * hot_rows <= total).select(F.col("digest").alias("key"), "first_id")
+    seen = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
+    is_hot = F.col("hot_digest").isNotNull()
+    revisit = F.col("hot_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("hot_id"))
+    key = F.when(is_hot, F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("digest"))
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
+    seen = seen.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", size.alias("size"), "hot_id", key.alias("key"))
+    first = F.coalesce("hot_id", "first_id")
+    refers_to = F.when(first.isNotNull() & ~F.col("page_id").eqNullSafe(first), first)
+    return seen.join(groups, "key", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"), "size")
+
+
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = 8 << 20, hot_rows: int = 1000) -> DataFrame:
     """Write a record per row; a table with ``path`` and ``records`` of each archive. Archives hold about
-    ``archive_bytes`` of payloads, or one larger record."""
+    ``archive_bytes`` of payloads, or one larger record. A payload that more than 1 in ``hot_rows`` rows hold isn't
+    moved by its digest."""
     root = f"{shared_dir(pages.sparkSession).rstrip('/')}/archives-{uuid.uuid4().hex}"
     rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), quoted(payload_col).cast("string").alias("payload"))
-    rows = rows.withColumn("digest", digest_of("payload"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    marked = rows.join(first, "digest").select("page_id", "url", "payload", "digest", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    marked = referred(rows.withColumn("digest", digest_of("payload")), hot_rows)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -252,9 +275,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             held.clear()
 
         for batch in batches:
-            for page_id, url, text, digest, refers_to in zip(*(c for c in batch.columns), strict=True):
+            for page_id, url, text, digest, refers_to, length in zip(*(c for c in batch.columns), strict=True):
                 payload = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                held.append((page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py()))
+                held.append((page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py(), length.as_py()))
                 size += len(payload)
                 if size >= archive_bytes:
                     flush()

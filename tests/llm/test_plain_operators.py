@@ -279,6 +279,20 @@ def test_archives_round_trip(spark):
     assert archives.read_archives(archives.write_archives(pages.where("false"))).collect() == []
 
 
+def test_archives_of_a_page_that_most_rows_hold(spark):
+    rows = [(k, f"u{k % 3}", "hot" if k % 3 else f"p{k % 50}", k, "x") for k in range(1, 400)] + [(None, None, "hot", 0, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long, key string")
+    for hot_rows in (1, 3, 1000):  # none, one and every repeated payload counts as frequent
+        got = archives.read_archives(archives.write_archives(pages, hot_rows=hot_rows)).collect()
+        first = {}
+        for k, _, html, *_ in rows:
+            if k is not None:
+                first[html] = min(first.get(html, k), k)
+        want = [(k, u, None if k != first[h] else h.encode(), len(h), None if k == first[h] else first[h]) for k, u, h, *_ in rows]
+        order = lambda r: (r[0] is None, r[0])
+        assert sorted(((r["page_id"], r["url"], r["payload"] and bytes(r["payload"]), r["payload_bytes"], r["refers_to"]) for r in got), key=order) == sorted(want, key=order)
+
+
 def test_zip_reader_takes_other_writers_files():
     record = gzip.compress(archives.make_record(4, "u", b"body", archives.payload_digest(b"body"), None))
     out = io.BytesIO()
