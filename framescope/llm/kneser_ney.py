@@ -1,79 +1,143 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts each character of a word, and the word's end, from the four characters before it; words are padded,
-so that a word's probability doesn't depend on its neighbours. It is trained on all trusted documents.
+The model predicts each character of a text, and its end, from the four characters before it. Words are joined by one
+space each and grams run across word borders, so that words in senseless order cost more than words in their places.
+It is trained on four in five trusted documents, chosen by hash; the others are held out and set the thresholds.
 
-One pass over all documents gives, for each task, its distinct grams with their counts in trusted text (0 where a gram
-occurs in other text only); summed up by gram they are both the training counts and the list of what must be scored.
-Counts of all orders, sums by context, and interpolated probabilities are joins of tables hash-partitioned by gram,
-context and suffix. Gram probabilities go back to the documents in one of two ways that give the same values: as a
-broadcast table if there are at most ``broadcast_grams``; otherwise documents and the distinct grams of each block of
-documents are joined block by block.
+One pass over all documents gives, for each task, its distinct grams with their counts in the training text (0 where a
+gram occurs in other text only); summed up by gram they are both the training counts and the list of what must be
+scored. Counts of all orders, sums by context, and interpolated probabilities are joins of tables hash-partitioned by
+gram, context and suffix. Gram probabilities go back to the documents in one of two ways that give the same values: as
+a broadcast table if there are at most ``broadcast_grams``; otherwise documents and the distinct grams of each block of
+about ``block_bytes`` of text are joined block by block. Documents look grams up by 64-bit hashes.
 
-A document is kept if its perplexity is at most the given quantile of trusted documents in its language. Languages
-with fewer than ``min_trusted`` trusted documents share the quantile of all trusted ones.
+A document is kept if its perplexity is at most the given quantile of held-out documents in its language. Languages
+with fewer than ``min_trusted`` held-out documents share the quantile of all held-out ones; if no document is held out,
+as in tables of a few rows, the trusted ones take their place.
 
 Defined results: a null or empty text has no perplexity and isn't kept. A null language is a language of its own. Labels
 that are null or name no document are passed over. Without trusted text every gram is equally likely, and nothing is
-kept, since there is no quantile. Rows that are equal are scored alike. An empty table gives an empty result.
+kept, since there is no quantile; they are equally likely, too, if all trusted texts are held out. Rows that are equal are scored alike. An empty table gives an empty result. The
+characters 0 and 2 count as U+FFFD. Columns of the input that clash with ``trusted``, ``perplexity``, ``threshold`` or
+``kept`` keep their names if they are in ``keep``; the result columns get a numbered suffix.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescope.llm.common import WORD, free_name, materialize, quoted
+from framescope.llm.common import free_name, materialize, mix, quoted
 
 ORDER = 5
-START, END = "\x02", "\x03"
-_PAD = START * (ORDER - 1)
-
-
-def grams_of(word: str) -> list[str]:
-    """The grams that predict each character of a word and its end."""
-    padded = _PAD + word + END
-    return [padded[k : k + ORDER] for k in range(len(word) + 1)]
+START = "\x02"
+#: Characters that a task works on at a time, and distinct grams that it holds.
+STRETCH, HELD = 2_000_000, 500_000
+
+
+def points_of(text: str | None) -> np.ndarray | None:
+    """Code points of a text behind ``ORDER`` - 1 starts, with one space after each word; nothing without words."""
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = (points == 32) | ((points >= 9) & (points <= 13))
+    if blank.all():
+        return None
+    points = np.where((points == 0) | (points == ord(START)), 0xFFFD, np.where(blank, 32, points))
+    points = points[~(blank & np.concatenate(([True], blank[:-1])))]
+    end = [] if points[-1] == 32 else [32]
+    return np.concatenate(([ord(START)] * (ORDER - 1), points, end)).astype(np.uint32)
+
+
+def grams_of(text: str) -> list[str]:
+    """The grams that predict each character of a text and the space after its last word."""
+    points = points_of(text)
+    return [] if points is None else ["".join(map(chr, points[k : k + ORDER])) for k in range(len(points) - ORDER + 1)]
+
+
+def stretches(texts: Iterable[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts with words, some at a time: their places, all code points, and where grams and each text's grams begin."""
+    rows: list[int] = []
+    parts: list[np.ndarray] = []
+    size = 0
+
+    def joined() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.array([len(p) for p in parts])
+        ends = np.cumsum(lengths)
+        whole = np.ones(ends[-1], dtype=bool)
+        for k in range(1, ORDER):
+            whole[ends - k] = False
+        own = lengths - (ORDER - 1)
+        return rows, np.concatenate(parts), np.flatnonzero(whole), np.cumsum(own) - own
+
+    for k, text in enumerate(texts):
+        points = points_of(text)
+        if points is not None:
+            rows.append(k)
+            parts.append(points)
+            size += len(points)
+        if size >= STRETCH:
+            yield joined()
+            rows, parts, size = [], [], 0
+    if parts:
+        yield joined()
+
+
+def keys_of(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the grams that begin at these places."""
+    p = points.astype(np.uint64)
+    step = np.uint64(21)
+    left = (((p[:-4] << step) | p[1:-3]) << step) | p[2:-2]
+    right = (p[3:-1] << step) | p[4:]
+    return mix(mix(left[at]) ^ right[at])
+
+
+class Grams:
+    """Distinct grams with counts."""
+
+    def __init__(self) -> None:
+        self.keys, self.codes, self.n = np.zeros(0, dtype=np.uint64), np.zeros((0, ORDER), dtype=np.uint32), np.zeros(0, dtype=np.int64)
+
+    def add(self, points: np.ndarray, at: np.ndarray, weight: int) -> None:
+        keys, first, n = np.unique(keys_of(points, at), return_index=True, return_counts=True)
+        codes = points[at[first][:, None] + np.arange(ORDER)]
+        both, first, place = np.unique(np.concatenate((self.keys, keys)), return_index=True, return_inverse=True)
+        self.n = np.bincount(place, np.concatenate((self.n, n * weight)), len(both)).astype(np.int64)
+        self.keys, self.codes = both, np.concatenate((self.codes, codes))[first]
+
+    def take(self) -> tuple[list[str], np.ndarray]:
+        names, n = np.ascontiguousarray(self.codes).view(f"<U{ORDER}").ravel().tolist(), self.n
+        self.__init__()
+        return names, n
 
 
 # --- Counting -------------------------------------------------------------------------------------------------------
 
 
-def gram_counts(df: DataFrame, text_col: str, trusted_col: str, limit: int = 400_000) -> DataFrame:
-    """(gram, n) with n the occurrences in trusted text. A task adds up words first, and lets go of them at ``limit``."""
+def gram_counts(df: DataFrame, text_col: str, trusted_col: str) -> DataFrame:
+    """(gram, n) with n the occurrences in trusted text. A task adds grams up, and lets go of them at ``HELD``."""
     source = df.select(quoted(text_col).alias("text"), quoted(trusted_col).cast("boolean").alias("trusted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
+        held = Grams()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            grams: dict[str, int] = {}
-            for word, n in words.items():
-                for gram in grams_of(word):
-                    grams[gram] = grams.get(gram, 0) + n
-            words.clear()
-            names, counts = list(grams), list(grams.values())
+            names, n = held.take()
             for k in range(0, len(names), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 50_000], pa.string()), pa.array(counts[k : k + 50_000], pa.int64())], ["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 50_000], pa.string()), pa.array(n[k : k + 50_000])], ["gram", "n"])
 
         for batch in batches:
-            for text, trusted in zip(batch.column(0), batch.column(1), strict=True):
-                found = WORD.findall(text.as_py() or "")
-                if trusted.as_py():
-                    words.update(found)
-                else:
-                    for word in found:
-                        if word not in words:
-                            words[word] = 0
-                if len(words) > limit:
-                    yield from flush()
+            texts, trusted = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for weight in (1, 0):
+                for _, points, at, _ in stretches(t for t, good in zip(texts, trusted, strict=True) if bool(good) == bool(weight)):
+                    held.add(points, at, weight)
+                    if len(held.keys) > HELD:
+                        yield from flush()
         yield from flush()
 
     return source.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -97,7 +161,7 @@ def probabilities(grams: DataFrame) -> DataFrame:
     """(gram, logp) of every gram of ``grams`` (gram, n), trained on those with n > 0.
 
     Below the highest order a gram counts the different characters it follows; one that begins with the start of a
-    word has none before it but the start, and keeps its plain count.
+    text has none before it but the start, and keeps its plain count.
     """
     counts = {ORDER: grams.where("n > 0")}
     for k in range(ORDER - 1, 0, -1):
@@ -128,37 +192,33 @@ def probabilities(grams: DataFrame) -> DataFrame:
 # --- Scoring --------------------------------------------------------------------------------------------------------
 
 
-class WordScores:
-    """Log probability of words, kept while there are at most ``limit``."""
+class Scores:
+    """Log probabilities by hash of the gram."""
 
-    def __init__(self, logp: dict[str, float], limit: int = 1_000_000) -> None:
-        self.logp, self.limit = logp, limit
-        self.known: dict[str, float] = {}
+    def __init__(self, grams: Sequence[str], logp: Sequence[float]) -> None:
+        points = np.array(grams, dtype=f"<U{ORDER}").view(np.uint32)
+        keys = keys_of(points, np.arange(len(grams)) * ORDER) if len(grams) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.logp = keys[order], np.asarray(logp, dtype=np.float64)[order]
 
-    def perplexity(self, text: str | None) -> float | None:
-        words = WORD.findall(text or "")
-        if not words:
-            return None
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, total = self.known, 0.0
-        for word, n in Counter(words).items():
-            score = known.get(word)
-            if score is None:
-                score = known[word] = math.fsum(self.logp[g] for g in grams_of(word))
-            total += n * score
-        return math.exp(min(700.0, -total / (sum(map(len, words)) + len(words))))
+    def perplexities(self, texts: Sequence[str | None]) -> np.ndarray:
+        """NaN for a text without words."""
+        out = np.full(len(texts), np.nan)
+        for rows, points, at, begins in stretches(texts):
+            keys, place = np.unique(keys_of(points, at), return_inverse=True)
+            total = np.add.reduceat(self.logp[np.searchsorted(self.keys, keys)][place], begins)
+            n = np.diff(np.append(begins, len(at)))
+            out[rows] = np.exp(np.minimum(700.0, -total / n))
+        return out
 
 
 def score_by_broadcast(df: DataFrame, text_col: str, logp: DataFrame, out: str) -> DataFrame:
     table = logp.toArrow()
-    shared = df.sparkSession.sparkContext.broadcast(dict(zip(table["gram"].to_pylist(), table["logp"].to_pylist(), strict=True)))
+    shared = df.sparkSession.sparkContext.broadcast(Scores(table["gram"].to_pylist(), table["logp"].to_numpy()))
 
     @F.pandas_udf(T.DoubleType())
-    def perplexity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scores = WordScores(shared.value)
-        for texts in batches:
-            yield pd.Series([scores.perplexity(t) for t in texts], dtype="float64")
+    def perplexity(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.perplexities(texts.tolist()), dtype="float64")
 
     return df.withColumn(out, F.nanvl(perplexity(quoted(text_col)), F.lit(None).cast("double")))
 
@@ -169,31 +229,27 @@ def score_by_blocks(df: DataFrame, text_col: str, logp: DataFrame, out: str, blo
     dealt = df.withColumn(block, F.pmod(F.xxhash64(quoted(text_col), *[quoted(c) for c, t in df.dtypes if t == "bigint"]), F.lit(blocks)).cast("int"))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[str]] = {}
-        size = 0
+        held: dict[int, Grams] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for b, words in sorted(held.items()):
-                grams = sorted({g for w in words for g in grams_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(grams), pa.int32()), pa.array(grams, pa.string())], ["block", "gram"])
+            for b, grams in sorted(held.items()):
+                names, _ = grams.take()
+                yield pa.RecordBatch.from_arrays([pa.array([b] * len(names), pa.int32()), pa.array(names, pa.string())], ["block", "gram"])
             held.clear()
 
         for batch in batches:
-            for b, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = held.setdefault(b.as_py(), set())
-                size -= len(words)
-                words.update(WORD.findall(text.as_py() or ""))
-                size += len(words)
-                if size > 400_000:
-                    yield from flush()
-                    size = 0
+            texts, where = batch.column(1).to_pylist(), np.asarray(batch.column(0))
+            for b in np.unique(where).tolist():
+                for _, points, at, _ in stretches(texts[k] for k in np.flatnonzero(where == b)):
+                    held.setdefault(b, Grams()).add(points, at, 0)
+                    if sum(len(g.keys) for g in held.values()) > HELD:
+                        yield from flush()
         yield from flush()
 
     grams = dealt.select(quoted(block), quoted(text_col)).mapInArrow(needed, "block int, gram string").distinct().join(logp, "gram")
 
     def score(texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        scores = WordScores(dict(zip(table["gram"], table["logp"], strict=True)))
-        texts[out] = [scores.perplexity(t) for t in texts[text_col]]
+        texts[out] = Scores(table["gram"].tolist(), table["logp"].to_numpy()).perplexities(texts[text_col].tolist())
         return texts.drop(columns=[block])
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
@@ -210,16 +266,15 @@ def rate_by_perplexity(
     keep: Sequence[str] = (),
     label_col: str = "quality",
     quantile: float = 0.99,
-    margin: float = 1.1,
     min_trusted: int = 30,
     broadcast_grams: int = 1_500_000,
     broadcast_labels: int = 500_000,
-    block_rows: int = 20_000,
+    block_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Id, language and ``keep`` columns of each row with ``trusted``, ``perplexity``, ``threshold`` (null without
     trusted text) and ``kept``.
 
-    Documents with a positive label are trusted. The threshold is ``margin`` times the quantile.
+    Documents with a positive label are trusted.
     """
     fields = list(dict.fromkeys([id_col, lang_col, *keep]))
     names = {n: free_name(df, n) for n in ("trusted", "perplexity", "threshold", "kept")}
@@ -227,26 +282,30 @@ def rate_by_perplexity(
     if good.count() <= broadcast_labels:
         good = F.broadcast(good)
     marked = df.join(good, quoted(id_col) == F.col("good_id"), "left").withColumn(names["trusted"], F.col("good_id").isNotNull()).drop("good_id")
-    grams = materialize(gram_counts(marked, text_col, names["trusted"]), "grams")
+    held, learned = free_name(marked, "held_out"), free_name(marked, "learned")
+    marked = marked.withColumn(held, quoted(names["trusted"]) & (F.pmod(F.xxhash64(quoted(id_col)), F.lit(5)) == 0))
+    grams = materialize(gram_counts(marked.withColumn(learned, quoted(names["trusted"]) & ~quoted(held)), text_col, learned), "grams")
     logp = probabilities(grams)
     n = logp.count()
     if n <= broadcast_grams:
         scored = score_by_broadcast(marked, text_col, logp, names["perplexity"])
     else:
-        scored = score_by_blocks(marked, text_col, logp, names["perplexity"], max(2, marked.count() // block_rows))
-    lean = scored.select(*[quoted(c) for c in fields], quoted(names["trusted"]), quoted(names["perplexity"]))
-    return threshold_by_language(materialize(lean, "perplexities"), lang_col, names, quantile, margin, min_trusted)
+        scored = score_by_blocks(marked, text_col, logp, names["perplexity"], max(2, (marked.agg(F.sum(F.octet_length(quoted(text_col)))).first()[0] or 0) // block_bytes))
+    lean = scored.select(*[quoted(c) for c in fields], quoted(names["trusted"]), quoted(held), quoted(names["perplexity"]))
+    return threshold_by_language(materialize(lean, "perplexities"), lang_col, names, held, quantile, min_trusted).drop(held)
 
 
-def threshold_by_language(scored: DataFrame, lang_col: str, names: dict[str, str], quantile: float, margin: float, min_trusted: int) -> DataFrame:
+def threshold_by_language(scored: DataFrame, lang_col: str, names: dict[str, str], held: str, quantile: float, min_trusted: int) -> DataFrame:
     ppl, lang = quoted(names["perplexity"]), quoted(lang_col)
-    trusted = scored.where(quoted(names["trusted"]) & ppl.isNotNull())
+    judges = scored.where(quoted(held) & ppl.isNotNull())
+    if judges.isEmpty():
+        judges = scored.where(quoted(names["trusted"]) & ppl.isNotNull())
     at = F.percentile_approx(ppl, F.lit(quantile), F.lit(100_000))
-    by_lang = {r[0]: (r[1], r[2]) for r in trusted.groupBy(lang).agg(at.alias("q"), F.count(F.lit(1)).alias("n")).collect()}  # a row per language
-    overall = trusted.agg(at.alias("q")).first()[0]
-    limit = F.lit(overall).cast("double") * margin
+    by_lang = {r[0]: (r[1], r[2]) for r in judges.groupBy(lang).agg(at.alias("q"), F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    overall = judges.agg(at.alias("q")).first()[0]
+    limit = F.lit(overall).cast("double")
     for name, (q, n) in by_lang.items():
         if n >= min_trusted:
-            limit = F.when(lang.eqNullSafe(F.lit(name)), F.lit(q * margin)).otherwise(limit)
+            limit = F.when(lang.eqNullSafe(F.lit(name)), F.lit(q)).otherwise(limit)
     rated = scored.withColumn(names["threshold"], limit)
     return rated.withColumn(names["kept"], F.coalesce(ppl <= quoted(names["threshold"]), F.lit(False)))

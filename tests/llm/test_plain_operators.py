@@ -449,7 +449,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def brute_kneser_ney(trusted, wanted):
-    counts = {5: Counter(g for t in trusted for w in WORD.findall(t) for g in kneser_ney.grams_of(w))}
+    counts = {5: Counter(g for t in trusted for g in kneser_ney.grams_of(t))}
     for k in (4, 3, 2, 1):
         counts[k] = Counter()
         for g, n in counts[k + 1].items():
@@ -482,18 +482,42 @@ def test_kneser_ney_against_brute_force(spark):
     grams = kneser_ney.gram_counts(df, "text", "trusted")
     got = {r["gram"]: r["logp"] for r in kneser_ney.probabilities(grams).collect()}
     want = brute_kneser_ney(trusted, got)
-    assert set(got) == {g for t in [*trusted, "abz qq"] for w in t.split() for g in kneser_ney.grams_of(w)}
+    assert set(got) == {g for t in [*trusted, "abz qq"] for g in kneser_ney.grams_of(t)}
     assert all(got[g] == pytest.approx(want[g]) for g in got)
 
 
 def test_blocks_equal_broadcast_and_junk_is_rejected(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     one = {r["doc_id"]: r for r in kneser_ney.rate_by_perplexity(docs, labels).collect()}
-    two = {r["doc_id"]: r for r in kneser_ney.rate_by_perplexity(docs, labels, broadcast_grams=0, broadcast_labels=0, block_rows=50).collect()}
+    two = {r["doc_id"]: r for r in kneser_ney.rate_by_perplexity(docs, labels, broadcast_grams=0, broadcast_labels=0, block_bytes=50_000).collect()}
     assert one.keys() == two.keys() and all(one[k]["kept"] == two[k]["kept"] for k in one)
     assert all(one[k]["perplexity"] == pytest.approx(two[k]["perplexity"]) for k in one)
     good = [r["doc_id"] for r in labels.where("quality = 1").collect()]
     assert sum(one[k]["kept"] for k in good) >= 0.95 * len(good)
+    more, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rated = kneser_ney.rate_by_perplexity(more, marks).join(marks.where("quality = 0"), "doc_id").agg(F.count(F.lit(1)), F.count_if("kept")).first()
+    assert rated[1] <= 0.25 * rated[0]
+    # The same from its definition: counts and probabilities of plain Python, thresholds of the held-out documents.
+    hashed = docs.select("doc_id", "text", "lang", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("out")).collect()
+    few = hashed[:40]
+    learned = [r["text"] for r in few if r["doc_id"] in good and not r["out"]]
+    logp = brute_kneser_ney(learned, {g for r in few[:12] for g in kneser_ney.grams_of(r["text"] or "")})
+    table = docs.where(F.col("doc_id").isin([r["doc_id"] for r in few]))
+    got = {r["doc_id"]: r for r in kneser_ney.rate_by_perplexity(table, labels).collect()}
+    for r in few[:12]:
+        grams = kneser_ney.grams_of(r["text"] or "")
+        want = np.exp(-np.mean([logp[g] for g in grams])) if grams else None
+        assert got[r["doc_id"]]["perplexity"] == (pytest.approx(want) if grams else None)
+    judges = sorted(got[r["doc_id"]]["perplexity"] for r in few if r["out"] and r["doc_id"] in good) or sorted(got[r["doc_id"]]["perplexity"] for r in few if r["doc_id"] in good)
+    limit = judges[int(np.ceil(0.99 * len(judges))) - 1]
+    assert all(x["threshold"] == limit and x["kept"] == (x["perplexity"] is not None and x["perplexity"] <= limit) for x in got.values())
+
+
+def test_grams_run_across_words():
+    assert kneser_ney.grams_of(" ab\t\n c ") == ["\x02\x02\x02\x02a", "\x02\x02\x02ab", "\x02\x02ab ", "\x02ab c", "ab c "]
+    assert kneser_ney.grams_of(" \n") == [] and kneser_ney.grams_of("\x00\x02")[0][-1] == "\ufffd"
+    scores = kneser_ney.Scores(kneser_ney.grams_of("a b\U0001f600"), [-1.0, -2.0, -3.0, -4.0, -5.0])
+    assert scores.perplexities(["a  b\U0001f600", "", None])[0] == pytest.approx(np.exp(3)) and np.isnan(scores.perplexities([None])[0])
 
 
 def test_encoder_equals_tokenizer_on_odd_words():
