@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import gzip
 import hashlib
 import io
@@ -461,12 +462,18 @@ def brute_kneser_ney(trusted, wanted):
         raw = [1 - 2 * y * (n2 / n1 if n1 else 0), 2 - 3 * y * (n3 / n2 if n2 else 0), 3 - 4 * y * (n4 / n3 if n3 else 0)]
         d[k] = [min(max(x, 0.1), j + 1 - 0.05) for j, x in enumerate(raw)]
 
+    by_context = {k: {} for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            by_context[k].setdefault(g[:-1], {})[g] = n
+
+    @functools.cache
     def p(g):
         k = len(g)
         if not k:
             return 1 / (len(counts[1]) + 1)
         lower = p(g[1:])
-        inside = {x: n for x, n in counts[k].items() if x[:-1] == g[:-1]}
+        inside = by_context[k].get(g[:-1])
         if not inside:
             return lower
         cut = lambda n: d[k][min(n, 3) - 1] if n else 0
