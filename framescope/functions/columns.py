@@ -181,9 +181,18 @@ def scene_code(value: Column) -> Column:
     return lookup(s, SCENE_NAMES, s)
 
 
+def protection_state_or(value: Column, default: Column) -> Column:
+    return lookup(F.lower(F.trim(value)), {w: state for state, words in PROTECTION_WORDS.items() for w in words}, default)
+
+
 def protection_state(value: Column, default: str) -> Column:
     """State of a protective item from free wording."""
-    return lookup(F.lower(F.trim(value)), {w: state for state, words in PROTECTION_WORDS.items() for w in words}, F.lit(default))
+    return protection_state_or(value, F.lit(default))
+
+
+def protection_word(value: Column) -> Column:
+    """A state's usual word for free wording; what isn't known stays, in lower case."""
+    return protection_state_or(value, F.lower(F.trim(value)))
 
 
 def confidence(value: Column) -> Column:

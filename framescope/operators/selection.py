@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 
 def hash_order(seed: int, *cols: str) -> list[Column]:
-    """A reproducible shuffled order: a hash of seed and columns, then the columns."""
-    return [F.xxhash64(F.lit(seed), *cols), *map(F.col, cols)]
+    """A reproducible shuffled order: the MD5 of seed and columns, so that SQL can have it too, then the columns."""
+    return [F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols))), *map(F.col, cols)]
+
+
+def hash_number(seed: int, col: str, below: int) -> Column:
+    """A reproducible number from 0 to ``below`` - 1 for each value: 52 bits of the MD5 of seed and value."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(col).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"), F.lit(below))
 
 
 def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -91,6 +97,43 @@ def stratified(rows: DataFrame, stratum: str, target: int, order: Sequence[Colum
     return ranked.where("_place <= _take").drop("_place", "_stratum", "_take")
 
 
+def two_level(rows: DataFrame, key: str, outer: str, inner: str, target: int, order: Sequence[Column], least: int, most: int | None = None) -> DataFrame:
+    """About ``target`` rows with each value of ``outer`` covered, and ``inner`` in proportion inside each.
+
+    Every outer value gets max(least, target div number of values) rows, at most ``most``, or all it has. What that is
+    above the target is cut in ``order``; what is below is filled in proportion to ``inner`` from the rest, whatever its
+    outer value. Nulls are values like others. Only the sizes of (outer, inner) reach the driver; ``key`` is unique.
+    """
+    kinds = dict(rows.dtypes)
+    sizes: dict = {}
+    for r in rows.groupBy(outer, inner).count().collect():
+        sizes.setdefault(r[0], {})[r[1]] = r[2]
+    if not sizes or target <= 0:
+        return rows.limit(0)
+    each = max(least, target // len(sizes))
+    each = each if most is None else min(each, most)
+    takes = [(o, i, n) for o, pools in sizes.items() for i, n in allocate(pools, min(each, sum(pools.values()))).items()]
+    table = rows.sparkSession.createDataFrame(takes, f"_outer {kinds[outer]}, _inner {kinds[inner]}, _take int")
+    place = F.row_number().over(Window.partitionBy(outer, inner).orderBy(*order))
+    first = rows.withColumn("_place", place).where(F.col("_place") <= max(n for _, _, n in takes))
+    here = F.col(outer).eqNullSafe(F.col("_outer")) & F.col(inner).eqNullSafe(F.col("_inner"))
+    picked = first.join(F.broadcast(table), here).where("_place <= _take").drop("_place", "_outer", "_inner", "_take")
+    have = sum(n for _, _, n in takes)
+    if have >= target:
+        return picked.orderBy(*order).limit(target)
+    rest = rows.join(picked.select(key), key, "left_anti").select(rows.columns)
+    return picked.unionByName(stratified(rest, inner, target - have, order))
+
+
+def tier_split(first: DataFrame, second: DataFrame, stratum: str, size: int, share: float, order: Sequence[Column]) -> DataFrame:
+    """``size`` rows, of which ``share`` from the second tier, each by stratum; what the second lacks the first gives."""
+    wanted = round(size * share)
+    n = min(wanted, second.limit(wanted).count()) if wanted > 0 else 0
+    tiers = ((first, size - n, "A"), (second, n, "B"))
+    parts = [stratified(rows, stratum, k, order).withColumn("tier", F.lit(name)) for rows, k, name in tiers]
+    return parts[0].unionByName(parts[1])
+
+
 def balanced(rows: DataFrame, label: str, size: int, order: Sequence[Column], existing: DataFrame | None = None) -> DataFrame:
     """``size`` rows taken from the classes in turn, those with the fewest existing rows first in each turn."""
     w = Window.partitionBy(label).orderBy(*order)
@@ -111,9 +154,9 @@ def split_in_halves(rows: DataFrame, stratum: str, target: int, order: Sequence[
 
 def decoys(rows: DataFrame, id_col: str, label: str, labels: Sequence[str], share: float = 0.10, seed: int = 5) -> DataFrame:
     """A hash sample of rows with a wrong label to show."""
-    pick = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000)) < int(share * 1_000_000)
+    pick = hash_number(seed, id_col, 1_000_000) < int(share * 1_000_000)
     wrong = F.filter(F.array(*map(F.lit, labels)), lambda x: x != F.col(label))
-    return rows.where(pick).withColumn("shown", F.element_at(wrong, (F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.size(wrong)) + 1).cast("int")))
+    return rows.where(pick).withColumn("shown", F.element_at(wrong, (F.pmod(hash_number(seed + 1, id_col, 1_000_000), F.size(wrong)) + 1).cast("int")))
 
 
 def numbered(rows: DataFrame, coarse: Column, order: Sequence[Column], name: str = "place") -> DataFrame:

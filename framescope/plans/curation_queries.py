@@ -11,7 +11,7 @@ from framescope.functions import columns as C
 from framescope.operators import intervals as I
 from framescope.operators import rules as R
 from framescope.operators import selection as S
-from framescope.plans.projections import CLIPS, PAIRS, TIMELINE, clips, pairs, table, timeline
+from framescope.plans.projections import CLIPS, PAIRS, TIMELINE, clips, pairs, table, timeline, taken
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,12 +121,18 @@ def _(s, d):
     return side("user", "asked").join(side("assistant", "told"), ["conv_id", "pos"])
 
 
-@query("j03_greedy_match")
+MATCHES = """WITH RECURSIVE g AS (SELECT l_orderkey, list({'p': l_linenumber, 'f': l_returnflag} ORDER BY l_linenumber, CAST(l_quantity AS INT), l_returnflag) AS v FROM lineitem GROUP BY l_orderkey),
+x AS (SELECT a.l_orderkey AS k, a.v AS pa, b.v AS pb FROM g a JOIN g b ON b.l_orderkey = a.l_orderkey + 1),
+m AS (SELECT k, 0 AS i, []::BIGINT[] AS used FROM x UNION ALL SELECT m.k, i + 1, list_append(used, coalesce(list_sort(list_filter(list_transform(range(1, len(pb) + 1), lambda j: {'s': -(3 * (pa[i + 1].p = pb[j].p)::INT + 7 * (pa[i + 1].f = pb[j].f)::INT), 'j': j}), lambda z: NOT list_contains(used, z.j)))[1].j, 0)) FROM m JOIN x USING (k) WHERE i < len(pa))
+SELECT k AS l_orderkey, array_to_string(list_transform(used, lambda u: u - 1), ',') AS matches FROM m JOIN x USING (k) WHERE i = len(pa)"""
+
+
+@query("j03_greedy_match", MATCHES)
 def _(s, d):
     x = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_returnflag"))).alias("a"))
     y = table(s, d, "lineitem").groupBy((F.col("l_orderkey") - 1).alias("l_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_returnflag"))).alias("b"))
     score = lambda p, q: 0.3 * (p["l_linenumber"] == q["l_linenumber"]).cast("int") + 0.7 * (p["l_returnflag"] == q["l_returnflag"]).cast("int")
-    return x.join(y, "l_orderkey").select("l_orderkey", S.match_people(F.col("a"), F.col("b"), score).alias("matches"))
+    return x.join(y, "l_orderkey").select("l_orderkey", F.concat_ws(",", S.match_people(F.col("a"), F.col("b"), score).cast("array<string>")).alias("matches"))
 
 
 @query("j05_zone_overlap", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3))")
@@ -181,7 +187,7 @@ def _(s, d):
     return table(s, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_mktsegment", F.lit("none")).alias("segment"))
 
 
-@query("m01_stratified")
+@query("m01_stratified", f"WITH o AS (SELECT *, 2000 AS goal FROM orders), t AS {taken('o', 'o_orderpriority', 'goal', floor=50)} SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders) JOIN t USING (o_orderpriority) WHERE place <= take")
 def _(s, d):
     return S.stratified(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", 2000, [F.col("o_orderkey")], floor=50)
 
@@ -197,17 +203,17 @@ def _(s, d):
     return S.balanced(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", 333, [F.col("o_orderkey")]).select("o_orderkey", "turn")
 
 
-@query("m05_verification")
+@query("m05_verification", "SELECT o_orderkey FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT least(400, greatest(1, CAST(floor(0.08 * (SELECT count(*) FROM orders)) AS BIGINT)))")
 def _(s, d):
     return S.verification_sample(table(s, d, "orders").select("o_orderkey"), S.hash_order(42, "o_orderkey"))
 
 
-@query("m06_calibration_split")
+@query("m06_calibration_split", f"WITH o AS (SELECT *, 250 AS goal FROM orders), t AS {taken('o', 'o_orderpriority', 'goal')} SELECT o_orderkey, o_orderpriority, CASE WHEN place % 2 = 1 THEN 'anchored' ELSE 'blind' END AS condition FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|' || o_orderkey), o_orderkey) AS place FROM orders) JOIN t USING (o_orderpriority) WHERE place <= take")
 def _(s, d):
     return S.split_in_halves(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", 250, S.hash_order(42, "o_orderkey"))
 
 
-@query("m07_decoys")
+@query("m07_decoys", f"WITH {PAIRS}, x AS (SELECT clip_id, gt, CAST('0x' || substr(md5('5|' || clip_id), 1, 13) AS BIGINT) % 1000000 AS p, CAST('0x' || substr(md5('6|' || clip_id), 1, 13) AS BIGINT) % 1000000 AS q, list_filter(['A1','A2','B1','C1','F1'], lambda c: c <> gt) AS wrong FROM pairs) SELECT clip_id, gt, wrong[q % len(wrong) + 1] AS shown FROM x WHERE p < 100000")
 def _(s, d):
     return S.decoys(pairs(s, d).select("clip_id", "gt"), "clip_id", "gt", ["A1", "A2", "B1", "C1", "F1"])
 

@@ -87,3 +87,10 @@ def clips(spark: SparkSession, d: str) -> DataFrame:
 CLIPS = """clips AS (SELECT l_orderkey * 10 + l_linenumber AS clip_id, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS date, l_partkey * 7 + l_linenumber AS start_sec,
   CAST(l_quantity AS INT) % 20 AS duration, CAST(round(l_tax * 100) AS INT) AS tax, CAST(round(l_discount * 100) AS INT) AS disc, l_orderkey % 130 - 1 AS intensity, l_partkey % 90 AS noise,
   CAST(l_quantity AS INT) % 4 AS most, CAST(l_quantity AS INT) % 2 AS least, l_returnflag, l_linestatus, CAST(l_quantity AS INT) AS qty FROM lineitem)"""
+
+
+def taken(rows: str, keys: str, target: str, within: str = "", floor: int = 0) -> str:
+    """SQL of the rows that each stratum gives: in proportion, then moved by one where the sum is off the target."""
+    part = f"PARTITION BY {within}" if within else ""
+    also = f"{within}, " if within else ""
+    return f"""(SELECT {also}{keys}, a + CASE WHEN drift > 0 AND up AND place_up <= drift THEN 1 WHEN drift < 0 AND down AND place_down <= -drift THEN -1 ELSE 0 END AS take FROM (SELECT *, row_number() OVER (PARTITION BY {also}up ORDER BY n DESC, {keys}) AS place_up, row_number() OVER (PARTITION BY {also}down ORDER BY n DESC, {keys}) AS place_down FROM (SELECT *, goal - sum(a) OVER ({part}) AS drift, a < n AS up, a > least({floor}, n) AS down FROM (SELECT *, least(n, greatest(CAST(round_even(CAST(goal * n AS DOUBLE) / sum(n) OVER ({part}), 0) AS BIGINT), least({floor}, n))) AS a FROM (SELECT {also}{keys}, count(*) AS n, any_value({target}) AS goal FROM {rows} GROUP BY {also}{keys})))))"""

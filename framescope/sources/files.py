@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,56 @@ def find_files(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> Data
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).drop("content")
 
 
+def wanted_files(found: DataFrame, least_mb: float = 0, most_mb: float = 0, main_only: bool = False, limit: int = 0) -> DataFrame:
+    """Files (``path``, ``length``) within limits of size, of the main cameras alone if asked, the first of them by path.
+
+    A limit of 0 is none; both limits of size are included.
+    """
+    mb = F.col("length") / (1024 * 1024)
+    kept = found
+    if main_only:
+        kept = kept.where(F.element_at(F.split("path", "/"), -1).contains("_main_"))
+    if most_mb > 0:
+        kept = kept.where(mb <= most_mb)
+    if least_mb > 0:
+        kept = kept.where(mb >= least_mb)
+    return kept.orderBy("path").limit(limit) if limit > 0 else kept
+
+
+def id_list(rows: DataFrame, text: str, name: str = "clip_id") -> DataFrame:
+    """The distinct ids of JSON lists; null ids and damaged lists give none."""
+    ids = F.explode(F.from_json(text, "array<string>"))
+    return rows.select(ids.alias(name)).where(F.col(name).isNotNull()).distinct()
+
+
+def write_sheets(df: DataFrame, path: str, by: str) -> None:
+    """One folder of CSV files for each value of ``by``."""
+    df.write.mode("overwrite").option("header", True).partitionBy(by).csv(path)
+
+
+def append_manifest(df: DataFrame, path: str) -> None:
+    """Rows added to a CSV manifest; every part has the header."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def write_split(df: DataFrame, good: Column, path: str) -> tuple[str, str]:
+    """Rows that pass to ``path/valid``, all others, null verdicts too, to ``path/quarantine``; gives both paths."""
+    ok = F.coalesce(good, F.lit(False))
+    paths = f"{path}/valid", f"{path}/quarantine"
+    for where, rows in zip(paths, (df.where(ok), df.where(~ok))):
+        rows.write.mode("overwrite").parquet(where)
+    return paths
+
+
+def data_url(content: Column, kind: str = "image/jpeg") -> Column:
+    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+
+
+def object_url(root: str, *parts: Column) -> Column:
+    """An address below ``root``, its parts escaped."""
+    return F.concat_ws("/", F.lit(root.rstrip("/")), *(F.url_encode(p) for p in parts))
+
+
 def read_manifest(spark: SparkSession, path: str, numbers: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """A CSV manifest. Named columns become doubles, null where they don't parse; with ``columns``, a missing file is empty."""
     if columns is not None:
