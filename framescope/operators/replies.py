@@ -82,8 +82,12 @@ def _person(named: Column) -> Column:
 
 def _last_of_key(entries: Column) -> Column:
     """A map of entries; of equal keys, which other spellings can bring about, the last one counts."""
-    none = F.create_map().cast("map<string,string>")
-    return F.coalesce(F.aggregate(entries, none, lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_entries(F.array(e)))), none)
+
+    def kept(all_: Column) -> Column:
+        later = lambda i: F.slice(all_["key"], i + 2, F.size(all_))
+        return F.map_from_entries(F.filter(all_, lambda e, i: ~F.array_contains(later(i), e["key"])))
+
+    return F.coalesce(_once(entries, kept), F.create_map().cast("map<string,string>"))
 
 
 def repaired(reply: Column) -> Column:
