@@ -76,6 +76,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return out
 
 
+def free_fields(taken: Iterable[str], fields: Sequence[T.StructField]) -> list[T.StructField]:
+    """``fields`` under names that differ from those taken and from one another, with a number where needed."""
+    used, out = {t.lower() for t in taken}, []
+    for f in fields:
+        name, k = f.name, 0
+        while name.lower() in used:
+            k += 1
+            name = f"{f.name}_{k}"
+        used.add(name.lower())
+        out.append(T.StructField(name, f.dataType, f.nullable))
+    return out
+
+
 def quoted(name: str) -> Column:
     """A column by its literal name, dots and back ticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

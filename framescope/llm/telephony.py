@@ -10,7 +10,8 @@ Lossless storage of any bytes: as 8-bit samples for mu-law and A-law; as pairs o
 
 Defined results: a null text counts as empty. An empty text is stored as 192 spaces. Texts are handled whole; a
 batch holds about ``BATCH_BYTES`` of payload, or one longer text. Equal texts give equal values, whatever rows stand
-around them. An empty table gives an empty result.
+around them. An empty table gives an empty result. A new column whose name a kept column has gets the first number that
+is free (``media``, ``media_1``, ``media_2``).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from framescope.llm.common import free_name, quoted
+from framescope.llm.common import free_fields, free_name, quoted
 
 RATE = 8000
 UNIT = 192
@@ -198,9 +199,9 @@ def store_and_decode(df: DataFrame, text_col: str = "text", keep: Sequence[str]
     """
     value = free_name(df, "value")
     source = df.select(*[quoted(k) for k in keep], quoted(text_col).cast("string").alias(value))
-    taken = {k.lower() for k in keep}
-    names = [*keep, *(f"{f.name}_1" if f.name in taken else f.name for f in FIELDS)]
-    schema = T.StructType([*(df.schema[k] for k in keep), *(T.StructField(n, f.dataType) for n, f in zip(names[len(keep) :], FIELDS, strict=True))])
+    made_fields = free_fields(keep, FIELDS)
+    names = [*keep, *(f.name for f in made_fields)]
+    schema = T.StructType([*(df.schema[k] for k in keep), *made_fields])
     kinds = [to_arrow_type(f.dataType) for f in FIELDS]
     n = len(keep)
 
