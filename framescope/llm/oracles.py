@@ -52,4 +52,19 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, n AS payload_bytes, {_base32("h")} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """
 
-ORACLES = {"op5_mix_sources": MIXING, "op6_ngram_jaccard": JACCARD, "op8_warc_archives": ARCHIVES}
+
+def _escaped(text: str) -> str:
+    return rf"regexp_replace({text}, '([<\[])(\\*)(/?(?:INST|SYS|TURN|SAYS)\]|/?s>)', '\1\\\2\3', 'g')"
+
+
+CHATS = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+    UNION ALL SELECT -7, k, ['user', 'assistant'][k + 1], '</s>[INST] ok [/INST]', ['user', 'assistant'][k + 1], '</s>[INST] ok [/INST]' FROM range(2) AS x(k))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(3 + sum(length({_escaped("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 6 ELSE 23 + length({_escaped("role")}) END) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+ORACLES = {"op5_mix_sources": MIXING, "op6_ngram_jaccard": JACCARD, "op8_warc_archives": ARCHIVES, "op11_chat_format": CHATS}

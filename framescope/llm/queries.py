@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescope.llm import archives, kneser_ney, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, telephony, toxicity
+from framescope.llm import archives, chat_format, kneser_ney, licenses, line_dedup, mixing, ngram_join, packing, periodic_runs, quality_rules, telephony, token_alignment, toxicity
 from framescope.llm.common import materialize, read_table, word_count
 from framescope.llm.oracles import ORACLES  # noqa: F401  (read by the entry module)
 
@@ -83,6 +83,36 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, weight_col="n_words").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_control_strings(read_table(spark, sf_dir, "conversations"), F.lit(-7), "</s>[INST] ok [/INST]")
+    return chat_format.read_back(chat_format.format_conversations(turns)).drop("rewrites")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    planted = periodic_runs.with_planted_run(F.col("text"), F.crc32(F.col("doc_id").cast("string")))
+    found = periodic_runs.collapse_runs(docs.select("doc_id", planted.alias("text")))
+    first = F.element_at(F.array_sort("runs", periodic_runs.longest_first), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.when(F.size("runs") > 0, first[f]).alias(f) for f in ("start", "length", "period")),
+        F.when(F.size("runs") > 0, F.floor(1000 * first["length"] / first["period"])).alias("exponent_milli"),
+        F.sha2(F.concat(lines, F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = token_alignment.align_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+    digest = F.when(F.length("groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", *token_alignment.SUMS, digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_telephony": op2_telephony,
@@ -94,4 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_archives": op8_warc_archives,
     "op9_perplexity": op9_perplexity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_chat_format": op11_chat_format,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }

@@ -15,10 +15,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from framescope.llm import archives, kneser_ney, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, telephony, toxicity
+from framescope.llm import archives, kneser_ney, licenses, line_dedup, mixing, ngram_join, packing, periodic_runs, quality_rules, telephony, token_alignment, toxicity
 from framescope.llm.common import SpanHash, normal_words
 from framescope.llm.queries import tokenizer_path
 
@@ -47,7 +48,7 @@ def awkward(spark):
 
 
 def clashing(spark, texts):
-    names = ["n_words", "kept", "rule_stats", "value", "size", "target", "taken", "piece", "start", "length", "ids", "sequence_id", "offset", "media", "payload", "labels", "score", "toxic", "severity", "perplexity", "component_id", "n_shingles", "removed_spans", "node", "row", "a", "b", "sig", "unit_id", "group_length", "slice", "odds", "n", "gram", "block"]
+    names = ["n_words", "kept", "rule_stats", "value", "size", "target", "taken", "piece", "start", "length", "ids", "sequence_id", "offset", "media", "media_1", "payload", "labels", "score", "toxic", "severity", "perplexity", "component_id", "n_shingles", "removed_spans", "node", "row", "a", "b", "sig", "unit_id", "group_length", "slice", "odds", "n", "gram", "block", "runs", "collapsed", "n_a", "groups", "groups_1", "k0", "segments", "codes"]
     df = documents(spark, texts)
     for n in names:
         df = df.withColumn(n, F.lit("own"))
@@ -59,6 +60,8 @@ def packed(df):
     return packing.pack(pieces, length_col=pieces.columns[-2])
 
 
+TOKENIZERS = [str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+
 OPERATORS = {
     "quality": lambda df: quality_rules.rate_quality(df),
     "telephony": lambda df: telephony.store_and_decode(df, keep=df.columns),
@@ -69,6 +72,8 @@ OPERATORS = {
     "licenses": lambda df: licenses.scan_licenses(df),
     "perplexity": lambda df: kneser_ney.rate_by_perplexity(df, df.sparkSession.createDataFrame([(0, 1), (8, 1), (None, 1), (7, None)], "doc_id long, quality int"), keep=[c for c in df.columns if c != "text"]),
     "dedup": lambda df: line_dedup.dedup_lines(df),
+    "periods": lambda df: periodic_runs.collapse_runs(df),
+    "tokens": lambda df: token_alignment.align_tokens(df, *TOKENIZERS, keep=[c for c in df.columns if c != "text"]),
 }
 
 
