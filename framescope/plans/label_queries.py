@@ -13,7 +13,6 @@ from framescope.operators import validation as V
 from framescope.plans.projections import PAIRS, pairs, table
 from framescope.session import shared_dir
 from framescope.sources import files
-from framescope.streaming import escalation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -301,46 +300,6 @@ def _(s, d):
     return V.count_windows(table(s, d, "events"), ["user_id"], ["event_id"], 20, F.col("event_type") == "error")
 
 
-# --- review queues and windows --------------------------------------------------------------------------------------
-
-
-def saved(s, d):
-    e = table(s, d, "events")
-    k = F.col("event_id")
-    codes = F.array(*map(F.lit, list(ACTIONS)[:3]))
-    return e.select(
-        F.col("user_id").cast("long").alias("clip_id"),
-        F.concat(F.lit("w"), (k % 4).cast("string")).alias("annotator_id"),
-        F.when(k % 41 == 0, "flagged").otherwise("submitted").alias("status"),
-        F.when(k % 29 == 0, "no helmet").otherwise("none").alias("unsafe"),
-        F.lit("none").alias("suggested"),
-        F.element_at(codes, F.when(k % 50 == 0, 2).otherwise(1)).alias("action"),
-        k.cast("long").alias("saved_at"),
-    )
-
-
-@query("r06_queue", "WITH s AS (SELECT user_id AS clip_id, event_id, event_id % 4 AS w, CASE WHEN event_id % 50 = 0 THEN 2 ELSE 1 END AS a, CASE WHEN event_id % 41 = 0 THEN 'flagged' WHEN event_id % 29 = 0 THEN 'safety_label_changed' END AS own FROM events), f AS (SELECT clip_id, arg_min(a, event_id) AS fa, arg_min(w, event_id) AS fw FROM s GROUP BY clip_id), r AS (SELECT clip_id, event_id, coalesce(own, CASE WHEN w <> fw AND a <> fa THEN 'disagreement' END) AS reason FROM s JOIN f USING (clip_id)) SELECT CAST(clip_id AS BIGINT) AS clip_id, arg_min(reason, event_id) AS reason, min(event_id) AS saved_at FROM r WHERE reason IS NOT NULL GROUP BY clip_id")
-def _(s, d):
-    return escalation.queue_of(saved(s, d))
-
-
-@query("r05_escalation")
-def _(s, d):
-    """The queue as a stream over saved annotations, run to the end of what is there."""
-    import uuid
-
-    root = shared_dir(s)
-    folder = f"{root.rstrip('/')}/review-{uuid.uuid4().hex}"
-    k, codes = F.col("saved_at"), [F.lit(c) for c in list(ACTIONS)[:3]]
-    scene = F.when(k % 3 == 0, F.array(codes[0], codes[1])).when(k % 3 == 1, F.array(codes[2]))  # the others are layer 2
-    source = saved(s, d).withColumn("dominant", scene).withColumn("critical", F.col("clip_id") % 7 == 0)
-    source.write.parquet(f"{folder}/saved")
-    stream = s.readStream.schema(source.schema).parquet(f"{folder}/saved")
-    run = escalation.review_queue(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/queue")
-    run.awaitTermination()
-    return s.read.schema(escalation.QUEUE).parquet(f"{folder}/queue")
-
-
 @query("p23_normalize", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles, arg_min(role, turn) AS first FROM conversations GROUP BY conv_id")
 def _(s, d):
     """Derived fields of a nested record: sizes, sorted distinct labels, and a mirror of the first element."""
@@ -380,19 +339,3 @@ def _(s, d):
     bad = table(s, d, "events").select("user_id", "event_type", place.alias("p")).where("event_type = 'error'")
     listed = bad.groupBy("user_id").agg(F.array_sort(F.collect_list("p")).alias("x"))
     return listed.select("user_id", F.array_join(F.transform("x", lambda p: F.concat(F.lit("P"), p.cast("string"))), ",").alias("unsafe"))
-
-
-@query("r07_live_entries", "WITH s AS (SELECT user_id, event_id % 4 AS w, event_id % 50 = 0 AS other, event_id % 41 = 0 OR event_id % 29 = 0 AS own, event_id FROM events), f AS (SELECT user_id, arg_min(other, event_id) AS fo, arg_min(w, event_id) AS fw FROM s GROUP BY user_id) SELECT DISTINCT CAST(user_id AS BIGINT) AS clip_id FROM s JOIN f USING (user_id) WHERE (own OR (w <> fw AND other <> fo)) AND user_id IN (SELECT doc_id FROM labels)")
-def _(s, d):
-    queue = escalation.queue_of(saved(s, d)).select("clip_id")
-    return escalation.live_entries(queue, table(s, d, "labels").select(F.col("doc_id").alias("clip_id")))
-
-
-@query("x1_tumbling", "SELECT CAST(epoch(time_bucket(INTERVAL '6 hours', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
-def _(s, d):
-    return escalation.tumbling(table(s, d, "events"), "ts", "6 hours", ["event_type"]).withColumn("start", F.unix_seconds("start"))
-
-
-@query("x2_session", "WITH m AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER w >= INTERVAL '4 hours')::INT, 1) AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start, count(*) AS n FROM n GROUP BY user_id, k")
-def _(s, d):
-    return escalation.sessions(table(s, d, "events"), "ts", "4 hours", "user_id").withColumn("start", F.unix_micros("start"))

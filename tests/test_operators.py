@@ -10,7 +10,6 @@ from framescope.operators import intervals as I
 from framescope.operators import metrics as M
 from framescope.operators import selection as S
 from framescope.sources import files
-from framescope.streaming import escalation
 
 
 def one(spark, column):
@@ -144,37 +143,6 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "lines")).count() == 1
 
 
-SAVED = "clip_id long, annotator_id string, status string, unsafe string, suggested string, action string, saved_at long"
-
-
-def test_stream_queue_equals_table_queue(spark, tmp_path):
-    rows = [(1, "a", "submitted", "none", "none", "A1", 1), (1, "b", "submitted", "none", "none", "B1", 2), (2, "a", "flagged", "none", "none", None, 1), (3, "a", "submitted", "x", "none", "A1", 1), (4, "a", "submitted", "none", "none", "A1", 1), (4, "a", "submitted", "none", "none", "B1", 3)]
-    df = spark.createDataFrame(rows, SAVED)
-    df.where("saved_at = 1").coalesce(1).write.parquet(str(tmp_path / "in"))
-    df.where("saved_at > 1").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    run = escalation.review_queue(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    run.awaitTermination()
-    got = {(r["clip_id"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(1, "disagreement"), (2, "flagged"), (3, "safety_label_changed")}
-    assert got == {(r["clip_id"], r["reason"]) for r in escalation.queue_of(df).collect()}
-
-
-def test_scenes_and_critical_clips_are_queued_alike(spark, tmp_path):
-    row = lambda clip, who, at, scene, critical=False, unsafe="none", status="submitted": (clip, who, status, unsafe, unsafe, None, at, scene, critical)
-    rows = [row(1, "a", 1, ["x", "y"]), row(1, "b", 2, ["x", "z"]), row(2, "a", 1, ["x", "y"]), row(2, "b", 2, ["y", "x", "z"]), row(3, "a", 1, [], True, "climbs"), row(4, "a", 1, None, True, " None "), row(5, "a", 1, None, False, "climbs")]
-    rows += [row(6, "a", 1, ["x"]), row(6, "a", 2, ["y"]), row(6, "b", 3, ["y"]), row(7, "a", 1, []), row(7, "b", 2, []), row(8, "a", 1, []), row(8, "b", 2, ["x"]), row(9, "a", 1, ["x"]), row(9, "c", 2, ["x"]), row(9, "b", 3, ["x"]), row(9, "a", 4, ["y"])]
-    df = spark.createDataFrame(rows, SAVED + ", dominant array<string>, critical boolean")
-    want = {(1, "scene_disagreement", 2), (3, "safety_critical", 1), (8, "scene_disagreement", 2), (9, "scene_disagreement", 4)}
-    assert {tuple(r) for r in escalation.queue_of(df).select("clip_id", "reason", "saved_at").collect()} == want
-    for at in sorted({r[6] for r in rows}):
-        df.where(F.col("saved_at") == at).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    run = escalation.review_queue(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
-    run.awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("clip_id", "reason", "saved_at").collect()} == want
-
-
 def test_segment_ids_keep_long_numbers(spark):
     name = lambda sec, n: one(spark, C.segment_id(F.lit("c"), F.lit("2024-01-02"), F.lit(sec), F.lit(n)))
     assert name(3661, 7) == "clip_c_20240102_010101_0007"
