@@ -108,9 +108,8 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     a, b = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    found = token_alignment.align_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
-    digest = F.when(F.length("groups") > 0, F.sha2("groups", 256)).otherwise("")
-    return found.select("doc_id", *token_alignment.SUMS, digest.alias("groups_sha256"))
+    found = token_alignment.align_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), a, b, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -21,6 +21,7 @@ The ``keep`` columns stay, and a new column whose name is taken gets a number. A
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from functools import cache
@@ -28,6 +29,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from framescope.llm.common import free_fields, materialize, quoted
 
-#: Code points of text in a block, pairs of ids that are broadcast at most (16 bytes each).
-BLOCK_CHARS, BROADCAST_PAIRS = 32 << 20, 2_000_000
+#: Code points of text in a block and of segments in one call of a tokenizer, pairs of ids that are broadcast at most (24
+#: bytes each), and aligned segments that are dealt out to blocks at a time.
+BLOCK_CHARS, CALL_CHARS, BROADCAST_PAIRS, DEALT = 32 << 20, 1 << 14, 2_000_000, 200_000
 SPACE = "▁"
 _PAIR = 20  # bits of B's id in a pair's number
 
@@ -79,18 +82,29 @@ class Tokenizers:
         """Whether B's normal form of the text, and thus its pieces, has the bytes of the text."""
         return self.b.normalize(text) == (" " + text).replace(" ", SPACE) and SPACE not in text
 
-    def encode(self, segments: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both. B puts a space in front of a text, which takes the place of a segment's own first space."""
-        ids_a = [e.ids for e in self.a.encode_batch(list(segments), add_special_tokens=False)]
-        ids_b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        for k, s in enumerate(segments):
-            if s == " ":
-                ids_b[k] = [self.space]
-            elif s[0] != " ":
-                if ids_b[k][0] != self.space:
-                    raise ValueError("a token crosses a segment's border")
-                ids_b[k] = ids_b[k][1:]
-        return ids_a, ids_b
+    def encode(self, segments: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments, one after the other.
+
+        Segments are strung together as far as borders allow, since a call for each costs more than its tokens. B puts a
+        space in front of a text, which takes the place of its own first space or else is left out.
+        """
+        strings: list[list[str]] = []
+        size = CALL_CHARS
+        for s in segments:
+            if size >= CALL_CHARS or strings[-1][-1][-1].isspace() or strings[-1][-1][-1] in self.segments.unsafe:
+                strings.append([])
+                size = 0
+            strings[-1].append(s)
+            size += len(s)
+        texts = ["".join(x) for x in strings]
+        ids_a = [k for e in self.a.encode_batch_fast(texts, add_special_tokens=False) for k in e.ids]
+        ids_b: list[int] = []
+        for text in texts:
+            own = self.b.encode(text[1:] if text[0] == " " else text) if text != " " else [self.space]
+            if text[0] != " " and own[:1] != [self.space]:
+                raise ValueError("a token crosses a segment's border")
+            ids_b += own if text[0] == " " else own[1:]
+        return np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
 
 
 class Borders:
@@ -126,53 +140,60 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
-def links_of(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
-    """Numbers of the id pairs whose tokens overlap, from ids and the offsets at which tokens end."""
+def _overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of tokens that share bytes, by A's place, from the offsets at which tokens end."""
     # Each token of A meets those of B from the one that holds its first byte to the one that holds its last.
     first = np.searchsorted(ends_b, ends_a - np.diff(ends_a, prepend=0), side="right")
-    last = np.searchsorted(ends_b, ends_a, side="left")
-    n = last - first + 1
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    return (np.repeat(a, n) << _PAIR) | b[at]
-
-
-def groups_of(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[list[int], list[int]]]:
-    """The ids of both between offsets at which tokens of both end."""
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    cut_a, cut_b = (np.searchsorted(e, both, side="right") for e in (ends_a, ends_b))
-    la, lb = a.tolist(), b.tolist()
-    return [(la[i:j], lb[k:m]) for i, j, k, m in zip([0, *cut_a[:-1]], cut_a, [0, *cut_b[:-1]], cut_b, strict=True)]
-
-
-def group_text(groups: Sequence[tuple[Sequence[int], Sequence[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-
-
-def align(t: Tokenizers, segments: Sequence[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
-    """For each segment the numbers of A's and B's tokens and of groups, the groups as text, and the linked pairs."""
-    for s, ids_a, ids_b in zip(segments, *t.encode(segments), strict=True):
-        raw = s.encode("utf-8", "surrogatepass")
-        if b"".join([t.bytes_a[k] for k in ids_a]) != raw or b"".join([t.bytes_b[k] for k in ids_b]) != raw:
-            raise ValueError("a segment's tokens don't give its bytes back")
-        if len(ids_a) == 1 or len(ids_b) == 1:  # one group, in which all tokens meet
-            pairs = np.array([(x << _PAIR) | y for x in ids_a for y in ids_b], dtype=np.int64)
-            yield len(ids_a), len(ids_b), 1, group_text([(ids_a, ids_b)]), pairs
-            continue
-        a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
-        ends_a, ends_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
-        groups = groups_of(a, b, ends_a, ends_b)
-        yield len(a), len(b), len(groups), group_text(groups), links_of(a, b, ends_a, ends_b)
+    n = np.searchsorted(ends_b, ends_a, side="left") - first + 1
+    return np.repeat(np.arange(len(ends_a)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+class Alignment:
+    """Alignments of many segments, worked out together: their bytes one after the other are one text, whose groups never
+    reach across segments, since tokens of both end there."""
+
+    def __init__(self, t: Tokenizers, segments: Sequence[str]) -> None:
+        ids_a, ids_b = t.encode(segments)
+        self.a, self.b = ids_a, ids_b
+        raw = [s.encode("utf-8", "surrogatepass") for s in segments]
+        ends_a, ends_b = np.cumsum(t.length_a[ids_a]), np.cumsum(t.length_b[ids_b])
+        borders = np.cumsum([len(x) for x in raw])
+        joined = b"".join(raw)
+        if b"".join([t.bytes_a[k] for k in ids_a.tolist()]) != joined or b"".join([t.bytes_b[k] for k in ids_b.tolist()]) != joined:
+            raise ValueError("tokens don't give the bytes of their segments back")
+        # Numbers of tokens, groups and links up to the end of each segment.
+        self.upto_a, self.upto_b = (np.searchsorted(e, borders, side="right") for e in (ends_a, ends_b))
+        if not (np.array_equal(ends_a[self.upto_a - 1], borders) and np.array_equal(ends_b[self.upto_b - 1], borders)):
+            raise ValueError("a token crosses a segment's border")
+        self.common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        self.upto_groups = np.searchsorted(self.common, borders, side="right")
+        at_a, at_b = _overlaps(ends_a, ends_b)
+        self.pairs = (ids_a[at_a] << _PAIR) | ids_b[at_b]
+        self.upto_links = np.searchsorted(at_a, self.upto_a, side="left")
+        self.ends = (ends_a, ends_b)
+
+    def texts(self) -> list[str]:
+        """Each segment's groups as ``a1,a2|b1;a3|b2``."""
+        closed = [np.isin(e, self.common) for e in self.ends]  # tokens that end a group
+        group = [np.searchsorted(self.common, e, side="left") for e in self.ends]
+        side = np.concatenate([np.zeros(len(self.a), dtype=np.int8), np.ones(len(self.b), dtype=np.int8)])
+        order = np.lexsort((side, np.concatenate(group)))  # stable, so tokens of a side keep their order
+        marks = np.concatenate([np.where(closed[0], "|", ","), np.where(closed[1], ";", ",")])[order].tolist()
+        ids = np.concatenate([self.a, self.b])[order].tolist()
+        parts = [f"{k}{m}" for k, m in zip(ids, marks, strict=True)]
+        ends = (self.upto_a + self.upto_b).tolist()
+        return ["".join(parts[i:j])[:-1] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def _packed(codes: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed: segments are numbered as they come, so most have few low bytes."""
     planes = np.ascontiguousarray(codes.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return zstandard.compress(planes.tobytes())
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
 def _batch(columns: Sequence[Sequence], schema: T.StructType) -> pa.RecordBatch:
@@ -187,7 +208,7 @@ def encoded_blocks(df: DataFrame, text_col: str, keep: Sequence[str], paths: tup
     n = len(keep)
     source = df.select(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keep)], quoted(text_col).cast("string").alias("text"))
     kept = [T.StructField(f"k{i}", T.ArrayType(df.schema[k].dataType)) for i, k in enumerate(keep)]
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("n_codes", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("segments", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType())), *kept])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("segments", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType())), *kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(*paths)
@@ -202,7 +223,7 @@ def encoded_blocks(df: DataFrame, text_col: str, keep: Sequence[str], paths: tup
         def flush() -> pa.RecordBatch:
             every = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
             counts = np.bincount(every, minlength=len(numbers))
-            columns: list[Any] = [[task + block], [len(sizes)], [len(every)], [_packed(np.array(sizes))], [_packed(every)], [list(numbers)], [counts]]
+            columns: list[Any] = [[task + block], [len(sizes)], [_packed(np.array(sizes))], [_packed(every)], [list(numbers)], [counts]]
             arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=False)]
             for x, f in zip(values, kept, strict=True):
                 items = pa.concat_arrays(x)
@@ -243,8 +264,12 @@ def aligned_segments(segments: DataFrame, paths: tuple[str, str]) -> DataFrame:
         for whole in batches:
             for k in range(0, len(whole), 4096):
                 batch = whole.slice(k, 4096)
-                made = [(*x, links.tobytes()) for *x, links in align(t, batch.column(0).to_pylist())]
-                arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*made, strict=True), _ALIGNED, strict=True)]
+                x = Alignment(t, batch.column(0).to_pylist())
+                own = lambda upto: np.diff(upto, prepend=0).astype(np.int32)
+                links = x.pairs.astype("<i8").tobytes()
+                ends = (8 * x.upto_links).tolist()
+                made = (own(x.upto_a), own(x.upto_b), own(x.upto_groups), x.texts(), [links[i:j] for i, j in zip([0, *ends], ends, strict=False)])
+                arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(made, _ALIGNED, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema.names)
 
     return segments.select("segment", "count").mapInArrow(run, schema)
@@ -311,60 +336,91 @@ def with_sums(aligned: DataFrame, pairs: DataFrame, broadcast_pairs: int = BROAD
 
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 FIELDS = [*(T.StructField(c, T.LongType()) for c in SUMS), T.StructField("groups", T.StringType())]
+_DEALT = T.StructType([T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("sums", T.BinaryType()), T.StructField("groups", T.BinaryType())])
+
+
+def dealt_out(found: DataFrame, most: int = DEALT) -> DataFrame:
+    """Aligned segments of blocks as packed rows, one for each block and about ``most`` segments of a task."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        block = rows.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        codes = rows.column(1).to_numpy()[order]
+        sums = np.stack([rows.column(2 + k).to_numpy()[order].astype("<i8") for k in range(len(SUMS))])
+        groups = rows.column(2 + len(SUMS)).take(pa.array(order)).to_pylist()
+        starts = np.flatnonzero(np.diff(block[order], prepend=-1)).tolist()
+        for i, j in zip(starts, [*starts[1:], len(order)], strict=True):
+            row = (int(block[order[i]]), _packed(codes[i:j]), zstandard.compress(sums[:, i:j].tobytes()), zstandard.compress("\n".join(groups[i:j]).encode()))
+            yield _batch([[v] for v in row], _DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= most:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
+
+    return found.select("block", "code", *SUMS, "groups").mapInArrow(run, _DEALT)
 
 
-def composed(blocks: DataFrame, segments: DataFrame, keep: Sequence[T.StructField], limit: int = 4 << 20) -> DataFrame:
+def composed(blocks: DataFrame, segments: DataFrame, keep: Sequence[T.StructField], digest: bool = False, limit: int = 4 << 20) -> DataFrame:
     """Documents put together from the alignments of their segments; they leave in batches of about ``limit`` bytes."""
     parts = blocks.select("block", F.posexplode("segments").alias("code", "segment"))
-    found = parts.join(segments, "segment").select("block", F.lit(0).alias("kind"), "code", *SUMS, "groups")
+    found = dealt_out(parts.join(segments, "segment")).withColumn("kind", F.lit(0))
     whole = blocks.drop("segments", "counts").withColumn("kind", F.lit(1))
-    first = ("block", "kind", "code", *SUMS, "groups")
-    last = ("n", "n_codes", "sizes", "codes", *(f"k{i}" for i in range(len(keep))))
-    # A block's segments come in the order of their numbers, then its texts.
-    dealt = found.unionByName(whole, allowMissingColumns=True).select(*first, *last).repartition("block").sortWithinPartitions("block", "kind", "code")
+    kept = [f"k{i}" for i in range(len(keep))]
+    # A block's segments come first, then its texts.
+    dealt = found.unionByName(whole, allowMissingColumns=True).select("block", "kind", "codes", "sums", "groups", "sizes", *kept).repartition("block").sortWithinPartitions("block", "kind")
     fields = free_fields([f.name for f in keep], FIELDS)
     schema = T.StructType([*keep, *fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
-    def documents(n: int, n_codes: int, sizes: bytes, codes: bytes, kept: list[pa.Array], sums: np.ndarray, groups: list[str]) -> Iterator[pa.RecordBatch]:
-        every = _unpacked(codes, n_codes)
-        ends = np.cumsum(_unpacked(sizes, n), dtype=np.int64)
+    def documents(codes: np.ndarray, sizes: np.ndarray, kept: list[pa.Array], sums: np.ndarray, groups: list[str]) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
         made: list[list] = [[] for _ in fields]
         size = start = done = 0
-        for k, end in enumerate(ends.tolist()):
-            own = every[start:end]
-            for x, v in zip(made, sums[own].sum(axis=0).tolist(), strict=False):
+        for k, end in enumerate(ends):
+            own = codes[start:end]
+            for x, v in zip(made, sums[:, own].sum(axis=1).tolist(), strict=False):
                 x.append(v)
-            made[-1].append(";".join([groups[c] for c in own.tolist()]))
+            text = ";".join([groups[c] for c in own.tolist()])
+            made[-1].append(hashlib.sha256(text.encode()).hexdigest() if digest and text else text)
             start, size = end, size + len(made[-1][-1]) + 8 * len(fields)
-            if size > limit or k == n - 1:
+            if size > limit or k == len(ends) - 1:
                 yield pa.RecordBatch.from_arrays([*(x.slice(done, k + 1 - done) for x in kept), *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], schema.names)
                 made, size, done = [[] for _ in fields], 0, k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[np.ndarray] = [np.zeros((0, len(SUMS)), dtype=np.int64)]
-        groups: list[str] = []
+        held: list[tuple[np.ndarray, np.ndarray, list[str]]] = []
         for batch in batches:
-            at = 0
-            for end in [*np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False)).tolist(), len(batch)]:
-                part = batch.slice(at, end - at)
-                if len(part):
-                    sums.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns[3 : 3 + len(SUMS)]]))
-                    groups += part.column(3 + len(SUMS)).to_pylist()
-                if end < len(batch):
-                    texts = [c[end] for c in batch.columns[len(first) :]]
-                    yield from documents(*(x.as_py() for x in texts[:4]), [x.values for x in texts[4:]], np.concatenate(sums), groups)
-                    sums, groups = sums[:1], []
-                at = end + 1
+            for k in range(len(batch)):
+                row = [c[k] for c in batch.columns]
+                codes = _unpacked(row[2].as_py())
+                if not row[1].as_py():
+                    sums = np.frombuffer(zstandard.decompress(row[3].as_py()), dtype="<i8").reshape(len(SUMS), -1)
+                    held.append((codes, sums, zstandard.decompress(row[4].as_py()).decode().split("\n")))
+                    continue
+                n = sum(len(c) for c, _, _ in held)
+                sums, groups = np.zeros((len(SUMS), n), dtype=np.int64), [""] * n
+                while held:
+                    at, values, texts = held.pop()
+                    sums[:, at] = values
+                    for c, text in zip(at.tolist(), texts, strict=True):
+                        groups[c] = text
+                yield from documents(codes, _unpacked(row[5].as_py()), [x.values for x in row[6:]], sums, groups)
 
     return dealt.mapInArrow(run, schema)
 
 
-def align_tokens(df: DataFrame, path_a: str, path_b: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), block_chars: int = BLOCK_CHARS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def align_tokens(df: DataFrame, path_a: str, path_b: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), digest: bool = False, block_chars: int = BLOCK_CHARS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """The ``keep`` columns with numbers of tokens, groups and links, corpus-wide counts of links, and ``groups``.
 
-    ``groups`` lists the ids as ``a1,a2|b1;a3|b2``. Tables in between are written to the shared folder and stay until it
-    is cleared.
+    ``groups`` lists the ids as ``a1,a2|b1;a3|b2``; with ``digest`` the SHA-256 of that list takes its place. Tables in
+    between are written to the shared folder and stay until it is cleared.
     """
     paths = (path_a, path_b)
     blocks = materialize(encoded_blocks(df, text_col, keep, paths, block_chars), "token-blocks")
@@ -372,4 +428,4 @@ def align_tokens(df: DataFrame, path_a: str, path_b: str, text_col: str = "text"
     aligned = materialize(aligned_segments(counted, paths), "aligned-segments")
     pairs = materialize(pair_counts(aligned), "pair-counts")
     segments = with_sums(aligned, pairs, broadcast_pairs)
-    return composed(blocks, segments, [df.schema[k] for k in keep])
+    return composed(blocks, segments, [df.schema[k] for k in keep], digest)
