@@ -35,7 +35,7 @@ def pad(intervals: DataFrame, padding: float, least: Column | float = 0, most: C
 
 def slice_fixed(intervals: DataFrame, length: float, least: float) -> DataFrame:
     """Segments of equal ``length``; a last shorter one stays if it is at least ``least`` long."""
-    steps = F.sequence(F.lit(0), F.floor((F.col("end") - F.col("start")) / length).cast("int"))
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("end") - F.col("start")) / length).cast("int")))
     cut = intervals.withColumn("step", F.explode(steps)).withColumn("slice_start", F.col("start") + F.col("step") * length)
     cut = cut.withColumn("slice_end", F.least(F.col("slice_start") + length, F.col("end")))
     return cut.where((F.col("slice_end") - F.col("slice_start") >= least) & (F.col("slice_end") > F.col("slice_start"))).drop("step")

@@ -3,6 +3,7 @@ not depend on the order of rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,16 +165,18 @@ def kappa(pairs: DataFrame, keys: Sequence[str] = (), a: str = "a", b: str = "b"
     return sums.select(*keys, "n", F.when(F.col("chance") == chance, 1.0).otherwise(ratio(observed - F.col("chance"), chance - F.col("chance"))).alias("kappa"))
 
 
-def weighted_kappa(pairs: DataFrame, weight: Column, a: str = "a", b: str = "b") -> DataFrame:
-    """Kappa with a disagreement weight of two labels, over columns named ``a`` and ``b``."""
-    cells = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    left = cells.groupBy(a).agg(F.sum("n").alias("na"))
-    right = cells.groupBy(b).agg(F.sum("n").alias("nb"))
+def weighted_kappa(pairs: DataFrame, weight: Column, a: str = "a", b: str = "b", keys: Sequence[str] = ()) -> DataFrame:
+    """Kappa with a disagreement weight of two labels, over columns named ``a`` and ``b``, by ``keys``; 1 if chance leaves
+    no disagreement. Chance comes from the labels' counts on each side, joined inside a key: labels by labels."""
+    cells = pairs.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("n"))
+    left = cells.groupBy(*keys, a).agg(F.sum("n").alias("na"))
+    right = cells.groupBy(*keys, b).agg(F.sum("n").alias("nb"))
     w = weight.cast(EXACT)
-    seen = cells.agg(F.sum(w * F.col("n")).alias("observed"), F.sum("n").alias("n"))
-    chance = left.crossJoin(F.broadcast(right)).agg(F.sum(w * F.col("na") * F.col("nb")).alias("expected"))  # labels by labels
-    both = seen.crossJoin(chance)
-    return both.select("n", F.when(F.col("expected") == 0, 1.0).otherwise(1 - F.col("observed").cast("double") * F.col("n") / F.col("expected").cast("double")).alias("kappa"))
+    seen = cells.groupBy(*keys).agg(F.sum(w * F.col("n")).alias("observed"), F.sum("n").alias("n"))
+    met = left.join(right, list(keys)) if keys else left.crossJoin(F.broadcast(right))
+    chance = met.groupBy(*keys).agg(F.sum(w * F.col("na") * F.col("nb")).alias("expected"))
+    both = seen.join(chance, list(keys)) if keys else seen.crossJoin(chance)
+    return both.select(*keys, "n", F.when(F.col("expected") == 0, 1.0).otherwise(1 - F.col("observed").cast("double") * F.col("n") / F.col("expected").cast("double")).alias("kappa"))
 
 
 def item_kappa(pairs: DataFrame, items: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -230,10 +233,31 @@ def upper_median(values: DataFrame, column: str, keys: Sequence[str] = ()) -> Da
     return run.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min(column).alias("median"))
 
 
+def _poisson_limits(digits: int) -> list[str]:
+    """Hexadecimal numbers of so many digits up to which a uniform one draws 0, 1, 2, ... of a Poisson distribution of mean 1."""
+    total, term, k, out = 0.0, math.exp(-1), 0, []
+    while round((total + term) * 16**digits) < 16**digits:
+        total, k = total + term, k + 1
+        out.append(f"{round(total * 16**digits):0{digits}x}")
+        term /= k
+    return out
+
+
 def bootstrap_mean(values: DataFrame, column: str, id_col: str, rounds: int = 200, level: float = 0.95, seed: int = 11) -> DataFrame:
-    """Interval of a mean by Poisson bootstrap: each row gets a weight from a hash of round, id and seed."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "round", id_col), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    drawn = values.select(F.col(id_col), F.col(column), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight)
-    means = drawn.groupBy("round").agg(ratio(F.sum(F.col("w") * F.col(column)), F.sum("w")).alias("mean"))
+    """Interval of a mean by Poisson bootstrap: each row's weight in a round comes from four digits of an MD5 of seed, id
+    and round. All rounds are sums of one pass over the rows, which aren't repeated."""
+    each = 8  # draws of one digest
+    digests = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.lit(str(k)))).alias(f"_d{k}") for k in range(-(-rounds // each))]
+    drawn = values.select(F.col(column).alias("_x"), *digests)
+    limits = _poisson_limits(4)
+
+    def weight(r: int) -> Column:
+        u = F.substring(F.col(f"_d{r // each}"), 1 + 4 * (r % each), 4)
+        out = F.lit(len(limits))
+        for k, limit in reversed(list(enumerate(limits))):
+            out = F.when(u < limit, k).otherwise(out)
+        return out
+
+    sums = drawn.agg(*(x for r in range(rounds) for x in (F.sum(weight(r) * F.col("_x")).alias(f"_s{r}"), F.sum(weight(r)).alias(f"_w{r}"))))
+    means = sums.select(F.explode(F.array(*(ratio(F.col(f"_s{r}"), F.col(f"_w{r}")) for r in range(rounds)))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit((1 - level) / 2)).alias("low"), F.percentile("mean", F.lit((1 + level) / 2)).alias("high"))

@@ -41,9 +41,13 @@ def _unsafe(c: Column, words: Sequence[str]) -> Column:
     return F.coalesce(~F.lower(F.trim(c)).isin(*words), F.lit(False))
 
 
+def _count(record: Column) -> Column:
+    return F.coalesce(F.size(record["persons"]), F.lit(0))
+
+
 def side_by_side(rows: DataFrame, *names: str, keep: Sequence[str] = ("condition",)) -> DataFrame:
     """The ``keep`` columns with a person of each record named, for each place that all of them have."""
-    n = F.least(*(F.size(F.col(name)["persons"]) for name in names)) if len(names) > 1 else F.size(F.col(names[0])["persons"])
+    n = F.least(*(_count(F.col(name)) for name in names))
     people = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(*(F.get(F.col(name)["persons"], i).alias(name) for name in names)))
     return rows.where(n > 0).select(*keep, F.explode(people).alias("_at")).select(*keep, *(F.col("_at")[name].alias(name) for name in names))
 
@@ -160,7 +164,7 @@ def field_changes(rows: DataFrame, keep: Sequence[str] = ("clip_id",)) -> DataFr
         items = [_field(f"ppe_{i}", _said(p["ppe"][i]) & _said(q["ppe"][i]), p["ppe"][i] != q["ppe"][i]) for i in PROTECTION]
         return F.array(both("action_code"), _field("spatial_context", (F.size(tags[0]) > 0) | (F.size(tags[1]) > 0), ~tags[0].eqNullSafe(tags[1])), *items, both("occlusion_level"))
 
-    n = F.least(F.size(a["persons"]), F.size(b["persons"]))
+    n = F.least(_count(a), _count(b))
     places = F.when((a["annotation_layer"] == 2) & (n > 0), F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     people = F.flatten(F.transform(places, lambda i: person(F.get(a["persons"], i), F.get(b["persons"], i))))
     both_there = rows.where("first is not null and model is not null")

@@ -145,6 +145,79 @@ def balanced(rows: DataFrame, label: str, size: int, order: Sequence[Column], ex
     return ranked.orderBy("turn", F.coalesce("_have", F.lit(0)), label, *order).limit(size).drop("_have")
 
 
+def fill_levels(pools: dict, budget: int, order: Sequence) -> dict:
+    """``budget`` given out in rounds of one each, in ``order``, to those that have any left: a common level for all, and
+    one more for the first of those that have it. Worked out from the sizes, not round by round."""
+    left = sorted(pools, key=lambda k: pools[k])
+    level = spent = 0
+    for i, k in enumerate(left):
+        step = (pools[k] - level) * (len(left) - i)
+        if spent + step > budget:
+            rise = (budget - spent) // (len(left) - i)
+            level, spent = level + rise, spent + rise * (len(left) - i)
+            break
+        level, spent = pools[k], spent + step
+    out = {k: min(n, level) for k, n in pools.items()}
+    for k in order:
+        if spent < budget and pools[k] > out[k]:
+            out[k] += 1
+            spent += 1
+    return out
+
+
+def curated_takes(pools: dict, unclassified: int, size: int, existing: dict, targets: dict | None = None, least: int = 0, discovery: int = 0, prioritize: Sequence = ()) -> dict:
+    """Rows to take of each class (None: without a class) by step: ``target``, ``minimum``, ``discovery``, ``deficit``, ``fill``.
+
+    Targets come first, in their order; then other classes get ``least`` rows, by name; then ``discovery`` rows without a
+    class; then classes take turns, those that lack most of an equal share of existing and new rows first, prioritised
+    ones before them; what is left goes to rows without a class. Works on the classes' sizes alone.
+    """
+    targets = targets or {}
+    classes = sorted(set(pools) | set(existing))
+    takes = {c: {} for c in [*classes, None]}
+    budget = size
+    wanted = [(c, "target", n) for c, n in targets.items()] + [(c, "minimum", least) for c in classes if c not in targets]
+    for c, step, n in wanted:
+        got = max(0, min(n, pools.get(c, 0), budget))
+        if got:
+            takes[c][step] = got
+        budget -= got
+    found = min(discovery, budget, unclassified)
+    budget -= found
+    share = (sum(existing.values()) + size) / max(len(classes), 1)
+    lack = {c: max(0, share - existing.get(c, 0) - sum(takes[c].values())) + (budget if c in prioritize else 0) for c in classes}
+    rest = {c: pools.get(c, 0) - sum(takes[c].values()) for c in classes}
+    for c, n in fill_levels(rest, budget, sorted(classes, key=lambda c: -lack[c])).items():
+        if n:
+            takes[c]["deficit"] = n
+        budget -= n
+    takes[None] = {k: n for k, n in (("discovery", found), ("fill", min(budget, unclassified - found))) if n > 0}
+    return takes
+
+
+def curated(rows: DataFrame, label: str, size: int, order: Sequence[Column], existing: DataFrame | None = None, **rules) -> DataFrame:
+    """``size`` rows as ``curated_takes`` says, with the ``step`` that takes them; inside a class by ``order``.
+
+    Null and empty labels are no class. ``existing`` has ``label`` and ``n``. Only the classes' sizes reach the driver.
+    """
+    kind = F.nullif(F.col(label), F.lit(""))
+    pools = {r[0]: r[1] for r in rows.groupBy(kind).count().collect()}
+    have = {r[0]: r[1] for r in existing.select(label, "n").collect() if r[0]} if existing is not None else {}
+    takes = curated_takes({k: n for k, n in pools.items() if k is not None}, pools.get(None, 0), size, have, **rules)
+    bounds, most = [], 0
+    for c, steps in takes.items():
+        upto = 0
+        for step, n in steps.items():
+            bounds.append((c, upto, upto + n, step))
+            upto += n
+        most = max(most, upto)
+    table = rows.sparkSession.createDataFrame(bounds, f"_kind {dict(rows.dtypes)[label]}, _from long, _upto long, step string")
+    place = F.row_number().over(Window.partitionBy("_class").orderBy(*order))
+    first = rows.withColumn("_class", kind).withColumn("_place", place).where(F.col("_place") <= most)
+    here = F.col("_class").eqNullSafe(F.col("_kind")) & (F.col("_place") > F.col("_from")) & (F.col("_place") <= F.col("_upto"))
+    return first.join(F.broadcast(table), here).drop("_class", "_place", "_kind", "_from", "_upto")
+
+
 def split_in_halves(rows: DataFrame, stratum: str, target: int, order: Sequence[Column]) -> DataFrame:
     """A stratified sample of even size with a condition: one half sees suggestions, the other doesn't."""
     w = Window.partitionBy(stratum).orderBy(*order)
@@ -184,10 +257,18 @@ def in_turn(rows: DataFrame, workers: Sequence[str], place: str, copies: int = 1
 
 
 def audit_sample(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], share: float, least: int) -> DataFrame:
-    """For each key the first max(least, floor(share n)) rows; small groups whole."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_place", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_place") <= F.greatest(F.lit(least), F.floor(F.col("_n") * share))).drop("_place", "_n")
+    """For each key the first max(least, floor(share n)) rows; small groups whole.
+
+    Keys are counted first, so that the largest number to take bounds what tasks keep of a key before it is dealt out.
+    """
+    sizes = rows.groupBy(*keys).count().select(*(F.col(k).alias(f"_{k}") for k in keys), F.greatest(F.lit(least), F.floor(F.col("count") * share)).alias("_take"))
+    most = sizes.agg(F.max("_take")).first()[0] or 0
+    first = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= most)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    on = same[0]
+    for more in same[1:]:
+        on = on & more
+    return first.join(sizes, on).where("_place <= _take").drop("_place", "_take", *(f"_{k}" for k in keys))
 
 
 def verification_sample(rows: DataFrame, order: Sequence[Column], share: float = 0.08, most: int = 400) -> DataFrame:

@@ -194,12 +194,6 @@ def _(s, d):
     return x.select("gt", "k", "n", F.floor(open_["low"] * 1e6).alias("low"), F.floor(held["high"] * 1e6).alias("high"))
 
 
-@query("a24_bootstrap")
-def _(s, d):
-    hits = pairs(s, d).select("clip_id", (F.col("gt") == F.col("pred")).cast("int").alias("hit"))
-    return M.bootstrap_mean(hits, "hit", "clip_id", rounds=50)
-
-
 CHANGES = "SELECT {keys} field, count(*) AS n, count(*) FILTER (changed) AS changed, CAST(count(*) FILTER (changed) AS DOUBLE) / count(*) AS rate FROM ({rows}) GROUP BY ALL"
 
 
