@@ -48,8 +48,9 @@ from framescope.llm.common import SpanHash, discard, flat_map, flat_map_arrays,
 SHINGLE = 5
 #: Sets with a common signature up to which the signature ranks as it stands and all of them are compared.
 LIGHT = 8
-#: Members of a family, and bytes of their sketches, that make a block.
-BLOCK_ROWS, BLOCK_BYTES = 128, 4 << 20
+#: Members of a family, and bytes of their sketches, that make a block. A member goes out once for each block of its
+#: family, so large blocks keep rows few; two blocks are what a task holds.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
 #: Rows of representatives up to which they are broadcast (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Bits of the numbers that are packed into a signature's place: how late it is, and how many can be left out.

@@ -684,7 +684,7 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize(("light", "block_rows"), [(8, 128), (2, 16)])
+@pytest.mark.parametrize(("light", "block_rows"), [(8, 4096), (8, 128), (2, 16)])
 def test_join_against_all_pairs(spark, light, block_rows):
     texts = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(documents(spark, texts), light=light, block_rows=block_rows).collect()}
