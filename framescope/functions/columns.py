@@ -95,6 +95,33 @@ def file_parts(name: Column) -> Column:
     return F.struct(part(1).alias("site"), part(2).alias("area"), part(3).alias("camera"), F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2)).alias("date"), part(5).alias("start"))
 
 
+def video_parts(name: Column, folder: Column) -> Column:
+    """(site, area, camera, date, start) of a video's file name, in either form of names.
+
+    ``Site_Work area_main_20240102030405.mp4`` tells all by itself. A name without ``_main_`` gives the first of its parts
+    that begins with eight digits as the start; site and area then come from the folder's last part, without what follows
+    an ``@`` and without a trailing time, unless that is a date alone. The camera is the name of the place, blanks as
+    underscores, or the file's own name where the folder gives none.
+    """
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    main = stem.contains("_main_")
+    prefix = F.regexp_replace(stem, r"_main_((?!_main_).)*$", "")
+    last = F.coalesce(F.element_at(F.split(F.regexp_replace(folder, "/+$", ""), "/"), -1), F.lit(""))
+    place = F.regexp_replace(F.substring_index(last, "@", 1), r"_\d{8}[^_]*$", "")
+    place = F.when(main, prefix).when(last.rlike(r"^\d{8}$"), "").otherwise(place)
+    timed = F.filter(F.split(stem, "_"), lambda p: p.rlike(r"^\d{8}"))
+    start = F.when(main, F.substring_index(stem, "_main_", -1)).otherwise(F.coalesce(F.get(timed, F.lit(0)), F.lit("")))
+    date = F.when(F.length(start) >= 8, F.concat_ws("-", F.substring(start, 1, 4), F.substring(start, 5, 2), F.substring(start, 7, 2))).otherwise("")
+    area = F.when(place.contains("_"), F.regexp_replace(place, "^[^_]*_", "")).otherwise("")
+    camera = F.replace(F.when(place != "", F.when(area != "", place).otherwise(F.substring_index(place, "_", 1))).otherwise(stem), F.lit(" "), F.lit("_"))
+    return F.struct(F.substring_index(place, "_", 1).alias("site"), area.alias("area"), camera.alias("camera"), date.alias("date"), start.alias("start"))
+
+
+def signature(record: Column, length: int = 8) -> Column:
+    """The first digits of the MD5 of a JSON record with its keys in order at every level, whatever order they are given in."""
+    return F.substring(F.md5(F.to_json(F.try_parse_json(record))), 1, length)
+
+
 def safe_id(value: Column, length: int = 64) -> Column:
     return F.substring(F.regexp_replace(value, "[^a-zA-Z0-9_-]", "_"), 1, length)
 
@@ -150,26 +177,28 @@ def middle_offsets(start: Column, duration: Column, k: int) -> Column:
 
 
 def action_code(value: Column) -> Column:
-    """An action code from free text: a cascade from exact code to part of a name; what matches nothing stays."""
+    """An action code from free text: a cascade from exact code to part of a name; what matches nothing stays.
+
+    All but the last step are lookups of one form of the text each, so that a value costs a few comparisons.
+    """
     s = F.trim(value)
     upper, lower = F.upper(s), F.lower(s)
-    in_brackets = F.regexp_extract(upper, r"\(([A-FX]\d)\)", 1)
+    codes = {c: c for c in ACTIONS}
     names = {n: c for c, n in ACTIONS.items()}
-
-    def first(test) -> Column:
-        return F.coalesce(*(F.when(test(n, c), c) for c, n in ACTIONS.items()))
-
-    plain = F.replace(lower, F.lit("."), F.lit("_"))
+    flat = {n.replace(".", "_"): c for n, c in names.items()}
+    parts = {n.split(".", 1)[1].replace(".", "_"): c for n, c in names.items()}
+    part_of = F.coalesce(*(F.when(F.lit(n).contains(lower) | lower.contains(n), c) for n, c in names.items()))
     return F.when(value.isNull() | (value == ""), "").otherwise(
         F.coalesce(
             F.when((upper == "X1") | lower.contains("unlisted"), "X1"),
-            F.when(in_brackets.isin(*ACTIONS), in_brackets),
-            F.when(upper.isin(*ACTIONS), upper),
+            F.when(s.contains("("), lookup(F.regexp_extract(upper, r"\(([A-FX]\d)\)", 1), codes)),
+            lookup(upper, codes),
             lookup(lower, names),
             lookup(F.replace(lower, F.lit("_"), F.lit(".")), names),
-            first(lambda n, c: (plain == n.replace(".", "_")) | (lower == n.split(".", 1)[1].replace(".", "_"))),
-            first(lambda n, c: upper.startswith(c)),
-            first(lambda n, c: F.lit(n).contains(lower) | lower.contains(n)),
+            lookup(F.replace(lower, F.lit("."), F.lit("_")), flat),
+            lookup(lower, parts),
+            lookup(F.substring(upper, 1, 2), codes),
+            part_of,
             s,
         )
     )
@@ -235,8 +264,11 @@ def protection_states(record: Column) -> Column:
 # --- agreement of two labels or sets --------------------------------------------------------------------------------
 
 
-def action_agreement(a: Column, b: Column) -> Column:
-    """1 for equal codes, 0.5 for codes of one group; an empty or missing code agrees with nothing."""
+def action_agreement(a: Column, b: Column, normal: bool = False) -> Column:
+    """1 for equal codes, 0.5 for codes of one group; an empty or missing code agrees with nothing. Texts are brought to
+    codes first, unless they are ``normal`` already."""
+    if not normal:
+        a, b = action_code(a), action_code(b)
     return F.when(F.coalesce(a, F.lit("")) == "", 0.0).when(a == b, 1.0).when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 0.5).otherwise(0.0)
 
 

@@ -49,8 +49,8 @@ def count_agreement(a: Column, b: Column) -> Column:
 
 
 def person_agreement(a: Column, b: Column) -> Column:
-    """A struct of the seven scores of two people, to four digits."""
-    action, spatial = C.action_agreement(a["action_code"], b["action_code"]), _set_agreement(a["spatial_context"], b["spatial_context"])
+    """A struct of the seven scores of two people, whose actions are codes already, to four digits."""
+    action, spatial = C.action_agreement(a["action_code"], b["action_code"], normal=True), _set_agreement(a["spatial_context"], b["spatial_context"])
     protection = protection_agreement(a["ppe"], b["ppe"])
     met = (_word(a["interaction"]) != "") & (_word(a["interaction"]) == _word(b["interaction"]))
     scores = {
@@ -76,9 +76,10 @@ def clip_agreement(rows: DataFrame, a: str, b: str, crowded: int = 5) -> DataFra
     listed = {s: F.coalesce(F.col(s)["persons"], F.array().cast(f"array<struct<{PERSON}>>")) for s in (a, b)}
     whole = {s: F.when(F.size(listed[s]) > 0, listed[s]).otherwise(F.array(F.col(s)["person"])) for s in (a, b)}
     big = (F.size(listed[a]) > crowded) | (F.size(listed[b]) > crowded)
-    people = rows.withColumn("_big", big).withColumns({f"_{s}": F.when(big, listed[s]).otherwise(whole[s]) for s in (a, b)})
+    coded = lambda people: F.transform(people, lambda p: p.withField("action_code", C.action_code(p["action_code"])))
+    people = rows.withColumn("_big", big).withColumns({f"_{s}": F.when(big, listed[s]).otherwise(coded(whole[s])) for s in (a, b)})
     same_place = lambda x, y: F.coalesce(x["position"], F.lit("")) == F.coalesce(y["position"], F.lit(""))
-    score = lambda x, y: 6 * same_place(x, y).cast("int") + (14 * C.action_agreement(x["action_code"], y["action_code"])).cast("int")
+    score = lambda x, y: 6 * same_place(x, y).cast("int") + (14 * C.action_agreement(x["action_code"], y["action_code"], normal=True)).cast("int")
     found = F.when(~F.col("_big"), match_people(F.col(f"_{a}"), F.col(f"_{b}"), score))
     people = people.withColumn("_at", found)
     rated = F.zip_with(f"_{a}", "_at", lambda x, i: F.when(i >= 0, person_agreement(x, F.get(F.col(f"_{b}"), i))))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope.functions import columns as C
@@ -12,8 +14,9 @@ from framescope.functions.taxonomy import ACTIONS, OCCLUSION, PROTECTION, PROTEC
 TEXT_FIELDS = (
     "id", "position", "physical_description", "action_class", "action_code", "action_group", "unlisted_description", "role_in_coordination",
     "occlusion_level", "unsafe_act", "group_flag", "closest_existing_class", "closest_existing_label", "why_not_existing",
-    "free_text_description", "tool_or_equipment",
+    "free_text_description", "tool_or_equipment", "industry_specific", "taxonomy_layer",
 )
+SCENE_TEXTS = ("group_activity", "scene_description", "visibility", "visible_equipment")
 ITEM_NAMES = {
     "helmet": ("hard_hat", "helmet", "safety_helmet"),
     "high_vis_vest": ("safety_vest", "high_vis_vest", "vest", "hi_vis_vest", "reflective_vest"),
@@ -42,6 +45,12 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def with_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is worked out once a row, however many expressions use it later: the rows pass a
+    generator, which the optimizer doesn't merge expressions across."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 # --- repair -----------------------------------------------------------------------------------------------------------
 
 
@@ -85,27 +94,66 @@ def _last_of_key(entries: Column) -> Column:
 
     def kept(all_: Column) -> Column:
         later = lambda i: F.slice(all_["key"], i + 2, F.size(all_))
-        return F.map_from_entries(F.filter(all_, lambda e, i: ~F.array_contains(later(i), e["key"])))
+        last = F.filter(all_, lambda e, i: ~F.array_contains(later(i), e["key"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(all_["key"])) == F.size(all_), all_).otherwise(last))
 
     return F.coalesce(_once(entries, kept), F.create_map().cast("map<string,string>"))
 
 
+_TOP = ", ".join(f"{f} string" for f in ("scene_type", "workers", "persons", "total_workers", "num_workers", "action_transition", *SCENE_TEXTS, "visibility_conditions"))
+
+
+def _readable(reply: Column) -> Column:
+    return F.trim(reply).startswith("{") & F.try_parse_json(reply).isNotNull()
+
+
+def _people(top: Column) -> Column:
+    """The people's JSON objects, under either name, of a list or alone; other entries are left out."""
+    raw = F.trim(F.coalesce(top["workers"], top["persons"]))
+    listed = F.when(raw.startswith("[") | raw.startswith("{"), _elements(raw)).otherwise(F.array().cast("array<string>"))
+    return F.filter(listed, lambda x: F.trim(x).startswith("{"))
+
+
+def _total(top: Column, people: Column) -> Column:
+    return F.coalesce(top["total_workers"].try_cast("int"), top["num_workers"].try_cast("int"), F.size(people))
+
+
 def repaired(reply: Column) -> Column:
-    """A reply's JSON text as a struct of scene type, number of people and people; null if it is no JSON object.
+    """A reply's JSON text as a struct of scene type, number of people, people and the scene's other fields; null if it is
+    no JSON object.
 
     People may be named workers or persons, and be a list or one object; entries that are no objects are left out. Texts
-    and numbers in place of lists become lists of one.
+    and numbers in place of lists become lists of one. A transition that is no object is none.
     """
 
     def build(top: Column) -> Column:
-        raw = F.trim(F.coalesce(top["workers"], top["persons"]))
-        people = F.when(raw.startswith("[") | raw.startswith("{"), _elements(raw)).otherwise(F.array().cast("array<string>"))
-        people = F.transform(F.filter(people, lambda x: F.trim(x).startswith("{")), _named)
-        n = F.coalesce(top["total_workers"].try_cast("int"), top["num_workers"].try_cast("int"), F.size(people))
-        return F.struct(C.scene_code(F.coalesce(top["scene_type"], F.lit("SA"))).alias("scene_type"), n.alias("total_workers"), F.transform(people, _person).alias("persons"))
+        people = _people(top)
+        moved = F.from_json(F.when(F.trim(top["action_transition"]).startswith("{"), top["action_transition"]), "detected boolean, transitions string")
+        transition = F.struct(F.coalesce(moved["detected"], F.lit(False)).alias("detected"), _elements(moved["transitions"]).alias("transitions"))
+        return F.struct(
+            C.scene_code(F.coalesce(top["scene_type"], F.lit("SA"))).alias("scene_type"),
+            _total(top, people).alias("total_workers"),
+            F.transform(F.transform(people, _named), _person).alias("persons"),
+            transition.alias("action_transition"),
+            *(top[f].alias(f) for f in SCENE_TEXTS),
+            F.when(top["visibility_conditions"].isNotNull(), _elements(top["visibility_conditions"])).alias("visibility_conditions"),
+        )
 
-    top = F.from_json(reply, "scene_type string, workers string, persons string, total_workers string, num_workers string")
-    return F.when(F.trim(reply).startswith("{") & F.try_parse_json(reply).isNotNull(), _once(top, build))
+    return F.when(_readable(reply), _once(F.from_json(reply, _TOP), build))
+
+
+def people_of(rows: DataFrame, reply: str, keep: Sequence[str]) -> DataFrame:
+    """The people of readable replies as rows: the ``keep`` columns, ``scene_type``, ``total_workers``, ``place`` (from 0) and
+    ``p`` as in ``repaired``; one row with nulls for a reply without people.
+
+    A person is worked out as columns of a row, which are compiled, not inside an array, which isn't.
+    """
+    tops = with_once(rows.where(_readable(F.col(reply))), "_top", F.from_json(reply, _TOP))
+    listed = with_once(tops, "_people", _people(F.col("_top")))
+    scene = C.scene_code(F.coalesce(F.col("_top.scene_type"), F.lit("SA"))).alias("scene_type")
+    texts = listed.select(*keep, scene, _total(F.col("_top"), F.col("_people")).alias("total_workers"), F.posexplode_outer("_people").alias("place", "_text"))
+    named = with_once(texts, "_named", F.when(F.col("_text").isNotNull(), _named(F.col("_text"))))
+    return named.select(*keep, "scene_type", "total_workers", "place", F.when(F.col("_text").isNotNull(), _person(F.col("_named"))).alias("p"))
 
 
 # --- defaults ---------------------------------------------------------------------------------------------------------
@@ -147,49 +195,91 @@ def _wearing(ppe: Column, item: str) -> Column:
     return C.lookup(F.try_element_at(ppe, F.lit(item)), words, F.lit(unsaid))
 
 
-def normalised_person(p: Column) -> Column:
+def normalised_person(p: Column, i: Column) -> Column:
+    """A person in normal form; ``i`` is the place, from 0."""
+    text = lambda f, default="": F.coalesce(p[f], F.lit(default))
+    none = F.array().cast("array<string>")
     said = F.coalesce(F.nullif(p["action_code"], F.lit("")), p["action_class"], F.lit(""))
+    unlisted = F.struct(
+        F.coalesce(p["closest_existing_class"], p["closest_existing_label"], F.lit("")).alias("closest_existing_class"),
+        text("why_not_existing").alias("why_not_existing"),
+        F.coalesce(p["free_text_description"], p["unlisted_description"], F.lit("")).alias("free_text_description"),
+        text("tool_or_equipment").alias("tool_or_equipment"),
+        F.coalesce(p["industry_specific"].try_cast("boolean"), F.lit(True)).alias("industry_specific"),
+    )
     return _once(
         _once(said, C.action_code),
         lambda code: F.struct(
+            F.coalesce(p["id"], F.concat(F.lit("P"), (i + 1).cast("string"))).alias("person_id"),
             p["position"].alias("position"),
+            text("physical_description").alias("physical_description"),
             code.alias("action_code"),
+            F.when(code == "X1", 2).otherwise(F.coalesce(p["taxonomy_layer"].try_cast("int"), F.lit(1))).alias("taxonomy_layer"),
             p["confidence"].alias("confidence"),
             F.struct(*(_wearing(p["ppe"], i).alias(i) for i in PROTECTION)).alias("ppe"),
             p["spatial_context"].alias("spatial_context"),
-            p["occlusion_level"].alias("occlusion_level"),
+            text("occlusion_level", OCCLUSION[0]).alias("occlusion_level"),
+            F.coalesce(p["occlusion_source"], none).alias("occlusion_source"),
             p["unsafe_act"].alias("unsafe_act"),
-            p["group_flag"].alias("group_flag"),
-            p["coordinated_with"].alias("coordinated_with"),
-            F.when(code == "X1", 2).otherwise(1).alias("taxonomy_layer"),
+            F.lit("none_visible").alias("interaction"),
+            text("group_flag", "solo").alias("group_flag"),
+            F.coalesce(p["coordinated_with"], none).alias("coordinated_with"),
+            text("role_in_coordination").alias("role_in_coordination"),
+            text("free_text_description").alias("free_text_description"),
+            text("tool_or_equipment").alias("tool_or_equipment"),
+            F.when(code == "X1", unlisted).alias("unlisted_action"),
         ),
     )
 
 
+def _alone(p: Column, i: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.when(i == 0, p.withField("group_flag", F.lit("solo")).withField("coordinated_with", none).withField("role_in_coordination", F.lit(""))).otherwise(p)
+
+
 def normalised(record: Column, people: Column) -> Column:
     """The normal form of a repaired record, given its people in normal form.
 
-    A scene with one person is SA; up to five people make layer 2, more layer 1. Fields without people have defaults.
+    A scene with one person is SA, and a person in a scene of another type that has but one is alone in it; up to five
+    people make layer 2, more layer 1. Fields without people have defaults.
     """
     n = record["total_workers"]
-    big = n > 5
+    big, one = n > 5, (n == 1) & (record["scene_type"] != "")
+    people = F.when(one & (record["scene_type"] != "SA"), F.transform(people, _alone)).otherwise(people)
     codes = F.array_sort(F.array_distinct(F.filter(F.transform(people, lambda p: p["action_code"]), lambda c: F.coalesce(c, F.lit("")) != "")))
     states = F.flatten(F.transform(people, lambda p: F.array(*(p["ppe"][i] for i in PROTECTION))))
     first = F.get(people, F.lit(0))
+    text = lambda f, default="": F.coalesce(record[f], F.lit(default))
+    seen = F.coalesce(record["visibility_conditions"], F.array().cast("array<string>"))
     return F.struct(
-        F.when((n == 1) & (record["scene_type"] != ""), "SA").otherwise(record["scene_type"]).alias("scene_type"),
+        F.when(one, "SA").otherwise(record["scene_type"]).alias("scene_type"),
         n.alias("num_workers"),
         F.when(big, 1).otherwise(2).alias("annotation_layer"),
         (big & (F.size(people) > 0)).alias("bonus_per_person"),
+        text("visibility", "clear").alias("visibility"),
+        F.when(F.size(seen) > 0, seen).otherwise(F.array(text("visibility", "clear"))).alias("visibility_conditions"),
+        text("visible_equipment").alias("visible_equipment"),
+        record["action_transition"].alias("action_transition"),
+        text("group_activity").alias("group_activity"),
+        text("scene_description").alias("scene_description"),
         F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("X1"))).alias("dominant_actions"),
         C.overall_protection(F.transform(states, lambda v: C.lookup(v, {"worn": "present", "not_worn": "absent"}, v))).alias("overall_ppe_compliance"),
         mean_confidence(people, 0.5).alias("annotator_confidence"),
         people.alias("persons"),
         F.coalesce(first["action_code"], F.lit("")).alias("action_class"),
         F.coalesce(first["unsafe_act"], F.lit("")).alias("unsafe_act"),
+        first["spatial_context"].alias("spatial_context"),
+        first["ppe"].alias("ppe"),
+        F.coalesce(first["interaction"], F.lit("")).alias("interaction"),
     )
 
 
+def with_norm(rows: DataFrame, fixed: str = "fixed", norm: str = "norm") -> DataFrame:
+    """Repaired records with their normal forms, each worked out once."""
+    people = with_once(rows, "_people", F.transform(F.col(fixed)["persons"], normalised_person))
+    return with_once(people, norm, F.when(F.col(fixed).isNotNull(), normalised(F.col(fixed), F.col("_people")))).drop("_people")
+
+
 def codes_by_layer(norm: Column) -> Column:
     """A record's action codes: those of the scene on layer 1, else one for each person that has one."""
     own = F.filter(F.transform(norm["persons"], lambda p: p["action_code"]), lambda c: F.coalesce(c, F.lit("")) != "")

@@ -46,3 +46,48 @@ def tagged_counts(rows: DataFrame, single: dict[str, Column], many: dict[str, Co
     places = F.concat(F.array(one("all", F.lit(""))), F.filter(F.array(*(one(k, c) for k, c in single.items())), lambda x: x["value"].isNotNull()), *(several(k, c) for k, c in many.items()))
     e = rows.select(F.explode(places).alias("x"), *(c.alias(f"_{k}") for k, c in means.items())).select("x.*", *(F.when(F.col("x.kind") == "all", F.col(f"_{k}")).alias(f"_{k}") for k in means))
     return e.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"_{k}").alias(k) for k in means))
+
+
+# When an annotator or a model is worth a warning.
+MOST_SKIPPED, LEAST_RECORDS, MOST_UNSURE, UNSURE, LEAST_SUCCESS = 0.20, 10, 5, 0.5, 0.80
+
+
+def annotator_alerts(records: DataFrame) -> DataFrame:
+    """(who, alert, value) from records (annotator_id, status, confidence): many skipped, or many submitted without being
+    sure. A missing confidence counts as sure."""
+    unsure = (F.col("status") == "submitted") & (F.coalesce(F.col("confidence"), F.lit(1.0)) < UNSURE)
+    sums = records.groupBy(F.col("annotator_id").alias("who")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(unsure).alias("unsure"))
+    rate = F.col("skipped") / F.col("n")
+    found = F.array(
+        F.when((F.col("n") >= LEAST_RECORDS) & (rate > MOST_SKIPPED), F.struct(F.lit("skip_rate").alias("alert"), rate.cast("double").alias("value"))),
+        F.when(F.col("unsure") > MOST_UNSURE, F.struct(F.lit("low_confidence").alias("alert"), F.col("unsure").cast("double").alias("value"))),
+    )
+    return sums.select("who", F.explode(F.array_compact(found)).alias("x")).select("who", "x.*")
+
+
+def model_alerts(results: DataFrame) -> DataFrame:
+    """(who, alert, value) from results (model, success): models that succeed too seldom."""
+    sums = results.groupBy(F.col("model").alias("who")).agg(F.avg(F.coalesce(F.col("success"), F.lit(False)).cast("int")).alias("value"))
+    return sums.where(F.col("value") < LEAST_SUCCESS).select("who", F.lit("success_rate").alias("alert"), "value")
+
+
+def field_agreement(rows: DataFrame, fields: dict[str, tuple[Column, Column]], there: Column) -> DataFrame:
+    """(field, agree, disagree, missing, mean_delta, max_delta) of two versions of records, in one pass.
+
+    Rows that aren't ``there`` on both sides are missing for every field. Nulls agree with each other. Deltas are of
+    numbers that differ; decimals or integers, so that their sums are exact.
+    """
+    kinds = dict(rows.select(*(a.alias(k) for k, (a, _) in fields.items())).dtypes)
+    number = lambda k: not kinds[k].startswith(("string", "bool", "array", "struct"))
+    none = F.lit(None).cast("decimal(18,6)")
+    made = F.array(*(F.struct(F.lit(k).alias("field"), a.eqNullSafe(b).alias("same"), ((b - a).cast("decimal(18,6)") if number(k) else none).alias("delta")) for k, (a, b) in fields.items()))
+    x = rows.select(F.coalesce(there, F.lit(False)).alias("there"), F.explode(made).alias("x")).select("there", "x.*")
+    here, delta = F.col("there"), F.when(F.col("there") & ~F.col("same"), F.col("delta"))
+    sums = x.groupBy("field").agg(F.count_if(here & F.col("same")).alias("agree"), F.count_if(here & ~F.col("same")).alias("disagree"), F.count_if(~here).alias("missing"), F.sum(delta).cast("double").alias("_sum"), F.count(delta).alias("_n"), F.max(F.abs(delta)).cast("double").alias("max_delta"))
+    return sums.select("field", "agree", "disagree", "missing", F.try_divide("_sum", "_n").alias("mean_delta"), "max_delta")
+
+
+def summary(values: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean, median, population deviation, least and greatest of a column."""
+    c = F.col(column)
+    return values.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).cast("double").alias("mean"), F.median(c).cast("double").alias("median"), F.stddev_pop(c).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("most"))

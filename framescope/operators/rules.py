@@ -32,3 +32,10 @@ def rule_text(site_rules: DataFrame, rules: DataFrame) -> DataFrame:
     """One block of text a site: its rules in order of their ids."""
     lines = site_rules.join(F.broadcast(rules.select("rule_id", "description")), "rule_id").select("site", F.concat_ws(": ", "rule_id", "description").alias("line"))
     return lines.groupBy("site").agg(F.concat_ws("\n", F.array_sort(F.collect_set("line"))).alias("block"))
+
+
+def rule_rows(book: DataFrame, general: DataFrame) -> DataFrame:
+    """(dept, rule_id, description): a book of (dept, observations), a map of each department's rules, as rows, and the
+    ``general`` rules (rule_id, description) without a department."""
+    special = book.select("dept", F.explode("observations").alias("rule_id", "description"))
+    return special.unionByName(general.select(F.lit(None).cast("string").alias("dept"), "rule_id", "description"))

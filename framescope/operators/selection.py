@@ -256,12 +256,14 @@ def in_turn(rows: DataFrame, workers: Sequence[str], place: str, copies: int = 1
     return rows.withColumn(name, F.explode(who))
 
 
-def audit_sample(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], share: float, least: int) -> DataFrame:
-    """For each key the first max(least, floor(share n)) rows; small groups whole.
+def audit_sample(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], share: float | Column, least: int | Column) -> DataFrame:
+    """For each key the first max(least, floor(share n)) rows; small groups whole. Both may depend on the key.
 
     Keys are counted first, so that the largest number to take bounds what tasks keep of a key before it is dealt out.
     """
-    sizes = rows.groupBy(*keys).count().select(*(F.col(k).alias(f"_{k}") for k in keys), F.greatest(F.lit(least), F.floor(F.col("count") * share)).alias("_take"))
+    number = lambda v: v if isinstance(v, Column) else F.lit(v)
+    take = F.greatest(number(least), F.floor(F.col("count") * number(share))).alias("_take")
+    sizes = rows.groupBy(*keys).count().select(*(F.col(k).alias(f"_{k}") for k in keys), take)
     most = sizes.agg(F.max("_take")).first()[0] or 0
     first = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= most)
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
@@ -277,6 +279,33 @@ def verification_sample(rows: DataFrame, order: Sequence[Column], share: float =
     return rows.orderBy(*order).limit(min(most, max(1, math.floor(share * n)))) if n else rows
 
 
+def in_order_takes(pools: dict, size: int) -> dict:
+    """Rows to verify of each stratum: in proportion (rounded half to even), at least one, as far as the budget lasts in the
+    strata's order."""
+    total, left, out = sum(pools.values()), size, {}
+    for k in sorted(pools, key=lambda k: tuple((v is not None, v) for v in k)):
+        out[k] = min(max(1, round(pools[k] / total * size)), pools[k], left)
+        left -= out[k]
+    return out
+
+
+def stratified_verification(rows: DataFrame, strata: Sequence[str], order: Sequence[Column], share: float = 0.08, most: int = 400) -> DataFrame:
+    """A verification sample by strata, the first of each in ``order``; the budget may end before the last strata have any.
+    Only the strata's sizes reach the driver."""
+    pools = {tuple(r[k] for k in strata): r["count"] for r in rows.groupBy(*strata).count().collect()}
+    takes = {k: n for k, n in in_order_takes(pools, max(1, min(most, math.floor(share * sum(pools.values()))))).items() if n} if pools else {}
+    if not takes:
+        return rows.limit(0)
+    kinds = dict(rows.dtypes)
+    table = rows.sparkSession.createDataFrame([(*k, n) for k, n in takes.items()], ", ".join(f"_{k} {kinds[k]}" for k in strata) + ", _take int")
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
+    first = rows.withColumn("_place", place).where(F.col("_place") <= max(takes.values()))
+    on = F.col("_place") <= F.col("_take")
+    for k in strata:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return first.join(F.broadcast(table), on).select(rows.columns)
+
+
 def with_band(rows: DataFrame, *bands: tuple[Column, int], default: int = 9) -> DataFrame:
     """The first band whose condition holds; low bands come first in a queue."""
     out = F.lit(default)

@@ -122,11 +122,17 @@ def category(r: Column, errors: Column) -> Column:
     return F.when(~r["status"].eqNullSafe("submitted"), "non_submitted").when(F.coalesce(recoverable, F.lit(False)), "invalid_recoverable").when(F.size(errors) == 0, "valid").otherwise("invalid_requeue")
 
 
-def repaired(records: DataFrame, record: str = "record") -> DataFrame:
-    """Recoverable records moved to layer 1 with the bonus flag; others unchanged."""
+def repaired(records: DataFrame, record: str = "record", at: Column | None = None) -> DataFrame:
+    """Recoverable records moved to layer 1 with the bonus flag; others unchanged. With a time ``at``, ``repaired_at`` and
+    ``repair`` say when and how a record was changed, null on others."""
     r = F.col(record)
     fixed = r.withField("annotation_layer", F.lit(1)).withField("bonus_per_person", F.lit(True))
-    return records.withColumn(record, F.when(category(r, record_errors(r)) == "invalid_recoverable", fixed).otherwise(r))
+    change = category(r, record_errors(r)) == "invalid_recoverable"
+    if at is None:
+        return records.withColumn(record, F.when(change, fixed).otherwise(r))
+    marked = records.withColumn("_change", F.coalesce(change, F.lit(False)))
+    stamped = marked.withColumn("repaired_at", F.when(F.col("_change"), at)).withColumn("repair", F.when(F.col("_change"), "layer_1_bonus_kept"))
+    return stamped.withColumn(record, F.when(F.col("_change"), fixed).otherwise(r)).drop("_change")
 
 
 def error_histogram(rows: DataFrame, errors: str, top: int = 15) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framescope.functions import columns as C
 from framescope.functions.taxonomy import ACTIONS
+from framescope.operators import rules
 from framescope.operators import validation as V
 from framescope.plans.projections import PAIRS, pairs, table
 from framescope.session import shared_dir
@@ -326,11 +327,13 @@ def _(s, d):
     return o.select(k.alias("at"), F.explode(C.queue_items(raw)).alias("clip_id"))
 
 
-@query("p41_rule_rows", "SELECT * FROM (VALUES ('d1', 'r1', 'wear a helmet'), ('d1', 'r2', 'clip on'), ('d2', 'r3', 'stand clear'), (NULL, 'g1', 'report')) t(dept, rule_id, description)")
+@query("p41_rule_rows", "SELECT r_name AS dept, 'r' || n_nationkey AS rule_id, n_name AS description FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT NULL, 'g' || r_regionkey, r_name FROM region")
 def _(s, d):
-    book = s.createDataFrame([("d1", {"r1": "wear a helmet", "r2": "clip on"}), ("d2", {"r3": "stand clear"})], "dept string, observations map<string,string>")
-    special = book.select("dept", F.explode("observations").alias("rule_id", "description"))
-    return special.unionByName(s.createDataFrame([(None, "g1", "report")], "dept string, rule_id string, description string"))
+    """The rule book has a region's nations as its observations; regions are the general rules."""
+    region = table(s, d, "region")
+    listed = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")), "n_name")))
+    book = table(s, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("dept")).agg(listed.alias("observations"))
+    return rules.rule_rows(book, region.select(F.concat(F.lit("g"), F.col("r_regionkey").cast("string")).alias("rule_id"), F.col("r_name").alias("description")))
 
 
 @query("p42_unsafe_workers", "SELECT user_id, string_agg('P' || p, ',' ORDER BY p) AS unsafe FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE event_type = 'error' GROUP BY user_id")

@@ -58,14 +58,19 @@ def replies(s, d):
         partner = F.when(x % 4 == 0, i.cast("string")).otherwise('["P9"]')
         unsafe = F.when(x % 6 == 0, ',"unsafe_act":"no helmet"').when(x % 6 == 1, "").otherwise(',"unsafe_act":""')
         flag = F.when(x % 3 == 1, ',"group_flag":"coordinated"').otherwise("")
-        return F.concat(text('{"mood":"x","position":"'), _one_of(PLACES, c + i), text('",'), action, text(',"confidence":'), sure, text(',"ppe":'), items, text(',"spatial_context":'), spatial, text(',"coordinated_with":'), partner, unsafe, flag, text("}"))
+        more = F.when(x % 5 == 4, ',"industry_specific":false,"Taxonomy Layer":2,"closest existing label":"B1"').otherwise("")
+        return F.concat(text('{"mood":"x","position":"'), _one_of(PLACES, c + i), text('",'), action, text(',"confidence":'), sure, text(',"ppe":'), items, text(',"spatial_context":'), spatial, text(',"coordinated_with":'), partner, unsafe, flag, more, text("}"))
 
     people = F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), n), person)).otherwise(F.array().cast("array<string>"))
     joined = F.concat_ws(",", people)
     whole = F.when((n == 1) & (k % 4 == 0), joined).otherwise(F.concat(F.lit("["), joined, F.lit("]")))
     scene = _one_of((" multi-actor independent", "SA", "m_a c", "Sequential"), k)
+    moved = F.when(k % 5 == 0, ',"action_transition":{"detected":true,"transitions":[{"from_action":"A1"},"x"]}').when(k % 5 == 1, ',"action_transition":"none"')
+    told = F.when(k % 3 == 0, ',"scene_description":"two people","group_activity":"lifting"')
+    seen = F.when(k % 2 == 0, ',"visibility_conditions":"dust"').when(k % 7 == 0, ',"visibility":"harsh","visible_equipment":"crane"')
+    scene_fields = [F.coalesce(c, F.lit("")) for c in (moved, told, seen)]
     total = F.when(k % 11 == 0, ',"total_workers":9').otherwise("")
-    reply = F.concat(F.lit('{"scene_type":"'), scene, F.lit('"'), total, F.when(k % 2 == 0, ',"workers":').otherwise(',"persons":'), whole, F.lit("}"))
+    reply = F.concat(F.lit('{"scene_type":"'), scene, F.lit('"'), total, F.when(k % 2 == 0, ',"workers":').otherwise(',"persons":'), whole, *scene_fields, F.lit("}"))
     reply = F.when(k % 13 == 0, F.lit('{"scene_type": broken')).otherwise(reply)
     return table(s, d, "orders").select(k.alias("clip_id"), "o_custkey", reply.alias("reply"))
 
@@ -78,16 +83,18 @@ w AS (SELECT k, c, n, i, {_list(PLACES)}[(c + i) % 3 + 1] AS position, CASE WHEN
   CASE WHEN (k + i) % 3 = 1 THEN 'coordinated' END AS flag FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM r))"""
 
 
+def repaired(s, d):
+    return R.with_once(replies(s, d), "fixed", R.repaired(F.col("reply"))).select("clip_id", "fixed")
+
+
 def people(s, d):
-    fixed = replies(s, d).select("clip_id", R.repaired(F.col("reply")).alias("fixed"))
-    return fixed.select("clip_id", F.posexplode("fixed.persons").alias("i", "p")).withColumn("i", (F.col("i") + 1).cast("long"))
+    """(clip_id, scene_type, total_workers, i, p) of every person, from 1."""
+    return R.people_of(replies(s, d), "reply", ["clip_id"]).where("p is not null").withColumn("i", (F.col("place") + 1).cast("long")).drop("place")
 
 
 def norms(s, d):
     """(clip_id, fixed, norm): repaired replies and their normal forms, both null where a reply can't be read."""
-    fixed = replies(s, d).select("clip_id", R.repaired(F.col("reply")).alias("fixed"))
-    fixed = fixed.withColumn("people", F.transform("fixed.persons", R.normalised_person))
-    return fixed.withColumn("norm", F.when(F.col("fixed").isNotNull(), R.normalised(F.col("fixed"), F.col("people")))).drop("people")
+    return R.with_norm(repaired(s, d))
 
 
 NORMS = f"""{REPLIES}, v AS (SELECT k, count(*) AS people, array_to_string(list_sort(list_distinct(list(action))), '|') AS codes, sum(sure) / count(*) AS sure, sum((helmet = 'absent')::INT + coalesce(vest = 'absent', FALSE)::INT + ((k + i) % 2)::INT) AS absent, sum((helmet = 'present')::INT + coalesce(vest = 'present', FALSE)::INT) AS worn, arg_min(action, i) AS action, coalesce(max(unsafe) FILTER (i = 1), '') AS unsafe FROM w GROUP BY k),
@@ -98,10 +105,9 @@ norm AS (SELECT r.k, n, total, CASE WHEN total = 1 THEN 'SA' ELSE scene END AS s
 
 @query("p21_repair", f"WITH {REPLIES} SELECT k AS clip_id, scene AS scene_type, CAST(total AS INT) AS total_workers, i, position, action, sure AS confidence, helmet, vest, spatial, partners FROM w JOIN r USING (k, c, n)")
 def _(s, d):
-    fixed = replies(s, d).select("clip_id", R.repaired(F.col("reply")).alias("fixed"))
-    p = fixed.select("clip_id", "fixed.scene_type", "fixed.total_workers", F.posexplode("fixed.persons").alias("i", "p"))
+    p = people(s, d)
     item = lambda k: F.try_element_at("p.ppe", F.lit(k))
-    return p.select("clip_id", "scene_type", "total_workers", (F.col("i") + 1).cast("long").alias("i"), "p.position", F.col("p.action_class").alias("action"), "p.confidence", item("helmet").alias("helmet"), item("high_vis_vest").alias("vest"), F.concat_ws("|", "p.spatial_context").alias("spatial"), F.concat_ws("|", "p.coordinated_with").alias("partners"))
+    return p.select("clip_id", "scene_type", "total_workers", "i", "p.position", F.col("p.action_class").alias("action"), "p.confidence", item("helmet").alias("helmet"), item("high_vis_vest").alias("vest"), F.concat_ws("|", "p.spatial_context").alias("spatial"), F.concat_ws("|", "p.coordinated_with").alias("partners"))
 
 
 @query("p22_missing_fields", f"WITH {REPLIES} SELECT k AS clip_id, i, concat_ws(',', CASE WHEN spatial = '' THEN 'spatial_context' END, 'free_text_description', CASE WHEN flag IS NULL THEN 'group_flag' END, 'occlusion_level', CASE WHEN coalesce(unsafe, '') = '' THEN 'unsafe_act' END) AS missing, coalesce(flag, 'solo') AS group_flag, CASE WHEN spatial = '' THEN 'ground_level' ELSE spatial END AS spatial, coalesce(nullif(unsafe, ''), 'none') AS unsafe_act, 'fully_visible' AS occlusion_level FROM w")
@@ -112,13 +118,29 @@ def _(s, d):
 
 @query("p23_normal_form", f"WITH {NORMS} SELECT k AS clip_id, scene AS scene_type, CAST(total AS INT) AS num_workers, layer AS annotation_layer, bonus AS bonus_per_person, codes AS dominant, overall AS overall_ppe_compliance, sure AS annotator_confidence, action AS action_class, unsafe AS unsafe_act FROM norm")
 def _(s, d):
-    n = norms(s, d).where(F.col("norm").isNotNull()).select("clip_id", "norm.*")
-    return n.withColumn("dominant", F.concat_ws("|", "dominant_actions")).drop("persons", "dominant_actions")
+    n = norms(s, d).where(F.col("norm").isNotNull())
+    plain = ("scene_type", "num_workers", "annotation_layer", "bonus_per_person", "overall_ppe_compliance", "annotator_confidence", "action_class", "unsafe_act")
+    return n.select("clip_id", *(f"norm.{f}" for f in plain), F.concat_ws("|", "norm.dominant_actions").alias("dominant"))
+
+
+@query("p23_scene_fields", "SELECT o_orderkey AS clip_id, o_orderkey % 5 = 0 AS moved, CASE WHEN o_orderkey % 5 = 0 THEN '{\"from_action\":\"A1\"}|x' ELSE '' END AS transitions, CASE WHEN o_orderkey % 3 = 0 THEN 'two people' ELSE '' END AS scene_description, CASE WHEN o_orderkey % 3 = 0 THEN 'lifting' ELSE '' END AS group_activity, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 7 = 0 THEN 'harsh' ELSE 'clear' END AS visibility, CASE WHEN o_orderkey % 2 = 0 THEN 'dust' WHEN o_orderkey % 7 = 0 THEN 'harsh' ELSE 'clear' END AS conditions, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 7 = 0 THEN 'crane' ELSE '' END AS visible_equipment FROM orders WHERE o_orderkey % 13 <> 0")
+def _(s, d):
+    n = norms(s, d).where(F.col("norm").isNotNull())
+    moved = F.col("norm.action_transition")
+    texts = ("scene_description", "group_activity", "visibility", "visible_equipment")
+    return n.select("clip_id", moved["detected"].alias("moved"), F.concat_ws("|", moved["transitions"]).alias("transitions"), *(f"norm.{f}" for f in texts), F.concat_ws("|", "norm.visibility_conditions").alias("conditions"))
+
+
+@query("p23_person_fields", f"WITH {REPLIES} SELECT k AS clip_id, 'P' || i AS person_id, CASE WHEN (k + i) % 5 = 4 THEN 2 ELSE 1 END AS taxonomy_layer, CASE WHEN total = 1 AND scene <> 'SA' AND i = 1 THEN 'solo' ELSE coalesce(flag, 'solo') END AS group_flag, CASE WHEN total = 1 AND scene <> 'SA' AND i = 1 THEN '' ELSE partners END AS partners, CASE WHEN action = 'X1' THEN 'B1' END AS closest, CASE WHEN action = 'X1' THEN FALSE END AS industry_specific FROM w JOIN r USING (k, c, n)")
+def _(s, d):
+    p = norms(s, d).select("clip_id", F.explode("norm.persons").alias("p"))
+    other = F.col("p.unlisted_action")
+    return p.select("clip_id", "p.person_id", "p.taxonomy_layer", "p.group_flag", F.concat_ws("|", "p.coordinated_with").alias("partners"), other["closest_existing_class"].alias("closest"), other["industry_specific"].alias("industry_specific"))
 
 
 @query("p25_mean_confidence", f"WITH {NORMS} SELECT k AS clip_id, coalesce(round(raw, 3), 0.0) AS mean_confidence FROM norm")
 def _(s, d):
-    fixed = replies(s, d).select("clip_id", R.repaired(F.col("reply")).alias("fixed")).where(F.col("fixed").isNotNull())
+    fixed = repaired(s, d).where(F.col("fixed").isNotNull())
     return fixed.select("clip_id", R.mean_confidence(F.col("fixed.persons"), 0.0).alias("mean_confidence"))
 
 
@@ -169,7 +191,8 @@ def flawed(s, d):
     n = change(n, "overall_ppe_compliance", k % 43 == 0, F.lit(""))
     n = n.withField("visibility_conditions", F.when(k % 17 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("clear"))))
     n = n.withField("persons", F.transform("norm.persons", person))
-    return norms(s, d).select("clip_id", F.when(F.col("norm").isNotNull(), n).alias("norm"), F.when(k % 47 != 0, F.col("fixed")).alias("parsed"))
+    whole = R.with_once(norms(s, d), "flawed", F.when(F.col("norm").isNotNull(), n))
+    return whole.select("clip_id", F.col("flawed").alias("norm"), F.when(k % 47 != 0, F.col("fixed")).alias("parsed"))
 
 
 _FLAWS = {
@@ -216,10 +239,10 @@ def _(s, d):
 
 @query("v09_people_stats", f"WITH {NORMS} SELECT (SELECT count(*) FROM norm) AS records, (SELECT CAST(sum(total) AS DOUBLE) / count(*) FROM norm) AS mean_people, avg(sure) AS mean_confidence, min(sure) AS least, max(sure) AS most FROM w")
 def _(s, d):
-    n = norms(s, d).where(F.col("norm").isNotNull())
-    a = n.agg(F.count(F.lit(1)).alias("records"), (F.sum("norm.num_workers") / F.count(F.lit(1))).alias("mean_people"))
-    sure = n.select(F.explode("norm.persons.confidence").alias("c")).agg(F.avg("c").alias("mean_confidence"), F.min("c").alias("least"), F.max("c").alias("most"))
-    return a.crossJoin(sure)  # one row each
+    p = R.people_of(replies(s, d), "reply", ["clip_id"])
+    first, sure = F.coalesce(F.col("place"), F.lit(0)) == 0, F.col("p.confidence")
+    records = F.count_if(first)
+    return p.agg(records.alias("records"), (F.sum(F.when(first, F.col("total_workers"))) / records).alias("mean_people"), F.avg(sure).alias("mean_confidence"), F.min(sure).alias("least"), F.max(sure).alias("most"))
 
 
 # --- agreement of records ---------------------------------------------------------------------------------------------
@@ -276,7 +299,7 @@ def _(s, d):
     return G.clip_agreement(two_records(s, d), "a", "b").drop("a", "b")
 
 
-@query("a40_crowded_agreement", """WITH p AS (SELECT list_filter([CASE WHEN o_orderkey % 5 > 0 THEN 'A1' END, CASE WHEN o_orderkey % 5 > 2 THEN 'B1' END], lambda x: x IS NOT NULL) AS x, list_filter([CASE WHEN o_custkey % 4 > 0 THEN 'A1' END, CASE WHEN o_custkey % 4 > 2 THEN 'B1' END], lambda x: x IS NOT NULL) AS y, (['compliant','partial',''])[o_orderkey % 3 + 1] AS pa, (['compliant',''])[o_custkey % 2 + 1] AS pb, (['SA','MAI',''])[o_orderkey % 3 + 1] AS sa, (['SA','MAI'])[o_custkey % 2 + 1] AS sb FROM orders WHERE o_orderkey % 2 = 0),
+@query("a40_crowded_agreement", """WITH p AS (SELECT list_filter([CASE WHEN o_orderkey % 5 > 0 THEN 'A1' END, CASE WHEN o_orderkey % 5 > 2 THEN 'B1' END], lambda x: x IS NOT NULL) AS x, list_filter([CASE WHEN o_custkey % 4 > 0 THEN 'A1' END, CASE WHEN o_custkey % 4 > 2 THEN 'B1' END], lambda x: x IS NOT NULL) AS y, (['compliant','partial',''])[o_orderkey % 3 + 1] AS pa, (['compliant',''])[o_custkey % 2 + 1] AS pb, (['SA','MAI',''])[o_orderkey % 3 + 1] AS sa, (['SA','MAI'])[o_custkey % 2 + 1] AS sb FROM orders),
 m AS (SELECT 'dominant_actions' AS metric, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END AS v, 0.70 AS target FROM p WHERE len(x) > 0 OR len(y) > 0 UNION ALL SELECT 'overall_protection', CASE WHEN pa = pb THEN 1.0 ELSE 0.0 END, 0.80 FROM p WHERE pa <> '' OR pb <> '' UNION ALL SELECT 'scene_type', CASE WHEN sa = sb THEN 1.0 ELSE 0.0 END, 0.85 FROM p WHERE sa <> '' AND sb <> '')
 SELECT metric, round(avg(v), 3) AS score, count(*) AS n, CAST(target AS DOUBLE) AS target, avg(v) >= target AS reached FROM m GROUP BY metric, target""")
 def _(s, d):
@@ -285,7 +308,7 @@ def _(s, d):
     side = lambda acts, ppe, scene: F.struct(acts.alias("dominant_actions"), ppe.alias("overall_protection"), scene.alias("scene_type"))
     a = side(codes(k, 5), _one_of(("compliant", "partial", ""), k), _one_of(("SA", "MAI", ""), k))
     b = side(codes(c, 4), _one_of(("compliant", ""), c), _one_of(("SA", "MAI"), c))
-    return G.crowded_agreement(table(s, d, "orders").where(k % 2 == 0).select(a.alias("a"), b.alias("b")), "a", "b")
+    return G.crowded_agreement(table(s, d, "orders").select(a.alias("a"), b.alias("b")), "a", "b")
 
 
 # --- samples ----------------------------------------------------------------------------------------------------------

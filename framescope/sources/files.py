@@ -89,11 +89,13 @@ def last_success(lines: DataFrame, text: str, schema: str, key: str, order: Sequ
     return good.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", *order)
 
 
-def read_annotation_tree(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """JSON documents at ``folder/<annotator>/<clip>.json``; hidden folders are left out."""
-    df = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/*.json")
+def read_annotation_tree(spark: SparkSession, folder: str, schema: str, active: Sequence[str] | None = None, lines: bool = False) -> DataFrame:
+    """JSON documents at ``folder/<annotator>/<clip>.json``, one a file or, with ``lines``, one a line; hidden folders are
+    left out, and annotators not ``active``."""
+    df = spark.read.schema(schema).option("multiLine", not lines).json(f"{folder}/*/*.json")
     df = df.withColumn("annotator_id", F.element_at(F.split("_metadata.file_path", "/"), -2))
-    return df.where(~F.col("annotator_id").startswith("."))
+    df = df.where(~F.col("annotator_id").startswith("."))
+    return df.where(F.col("annotator_id").isin(*active)) if active is not None else df
 
 
 def frame_counts(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> DataFrame:
@@ -101,6 +103,15 @@ def frame_counts(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> Da
     return find_files(spark, folder, pattern).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_frames(clips: DataFrame, counts: DataFrame, key: str, wanted: int = 8, least: int = 2) -> DataFrame:
+    """Clips with ``frames`` (0 without a folder), whether these are ``complete``, and whether there are enough to be ``usable``.
+    ``counts`` is (folder, n), a folder being named by its clip."""
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    named = counts.select(F.element_at(F.split("folder", "/"), -1).alias("_clip"), "n")
+    found = clips.join(named, F.col(key).cast("string") == F.col("_clip"), "left").withColumn("frames", n).drop("_clip", "n")
+    return found.withColumn("complete", F.col("frames") == wanted).withColumn("usable", F.col("frames") >= least)
+
+
 def write_tiers(df: DataFrame, path: str, tier: str = "tier") -> None:
     """CSV by tier; arrays are joined with commas and private columns (``_...``) are left out."""
     kinds = dict(df.dtypes)
@@ -119,12 +130,32 @@ def updated(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return rows.join(renamed, key, "left").withColumns({c: F.coalesce(f"_new_{c}", c) for c in cols}).drop(*(f"_new_{c}" for c in cols))
 
 
-def batch_requests(rows: DataFrame, key: str, model: str, frames: int, prompt: str) -> DataFrame:
-    """(custom_id, request): a JSON request for each row, with the addresses of its frames."""
+#: Forms in which services take batches of requests, by the fields that they name.
+FORMS = ("plain", "chat", "params", "record")
+
+
+def batch_requests(rows: DataFrame, key: str, model: str, frames: int, prompt: str, form: str = "plain") -> DataFrame:
+    """(custom_id, request): a JSON request for each row, with the addresses of its frames.
+
+    ``plain`` has a flat body; ``chat`` a body with messages of text and image parts and the address of the call; ``params``
+    and ``record`` hold the same messages as parameters of a named request or as the input of a record.
+    """
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}")
     images = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: F.concat(F.col(key).cast("string"), F.lit("/frame_"), F.lpad(i.cast("string"), 2, "0"), F.lit(".jpg")))
     safe = F.substring(F.regexp_replace(F.col(key).cast("string"), "[^a-zA-Z0-9_-]", "_"), 1, 64)
-    body = F.struct(safe.alias("custom_id"), F.lit("POST").alias("method"), F.struct(F.lit(model).alias("model"), F.lit(prompt).alias("prompt"), images.alias("images")).alias("body"))
-    return rows.select(safe.alias("custom_id"), F.to_json(body).alias("request"))
+    if form == "plain":
+        request = F.to_json(F.struct(safe.alias("custom_id"), F.lit("POST").alias("method"), F.struct(F.lit(model).alias("model"), F.lit(prompt).alias("prompt"), images.alias("images")).alias("body")))
+        return rows.select(safe.alias("custom_id"), request.alias("request"))
+    texts = F.to_json(F.struct(F.lit("text").alias("type"), F.lit(prompt).alias("text")))
+    pictures = F.transform(images, lambda u: F.to_json(F.struct(F.lit("image_url").alias("type"), F.struct(u.alias("url")).alias("image_url"))))
+    body = F.concat(F.lit('{"model":"'), F.lit(model), F.lit('","messages":[{"role":"user","content":['), F.array_join(F.concat(F.array(texts), pictures), ","), F.lit("]}]}"))
+    head = {
+        "chat": F.concat(F.lit('{"custom_id":"'), safe, F.lit('","method":"POST","url":"/v1/chat/completions","body":')),
+        "params": F.concat(F.lit('{"custom_id":"'), safe, F.lit('","params":')),
+        "record": F.concat(F.lit('{"recordId":"'), safe, F.lit('","modelInput":')),
+    }[form]
+    return rows.select(safe.alias("custom_id"), F.concat(head, body, F.lit("}")).alias("request"))
 
 
 def batch_results(results: DataFrame, ids: DataFrame, key: str = "clip_id") -> DataFrame:
