@@ -49,7 +49,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weighed = docs.select(*COLUMNS).withColumn("n_words", word_count(F.col("text")))
-    mixed = mixing.mix_sources(weighed, weight_col="n_words", keep=COLUMNS).where("copies > 0")
+    mixed = mixing.mix_sources(weighed, weight_col="n_words", size_col="n_words", keep=COLUMNS).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

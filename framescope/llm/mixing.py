@@ -82,6 +82,7 @@ def mix_sources(
     source_col: str = "source",
     id_col: str = "doc_id",
     weight_col: str | None = None,
+    size_col: str | None = None,
     weights: Sequence[float] = (3, 1, 2),
     total_share: float = 1.5,
     cap: float = 2.0,
@@ -91,7 +92,8 @@ def mix_sources(
 ) -> DataFrame:
     """Id, source and ``keep`` columns with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for each row.
 
-    ``copies`` is how often the mix takes the row's document; ``taken`` is that times its size.
+    ``copies`` is how often the mix takes the row's document; ``taken`` is that times its size. ``size_col`` names a column
+    with the number of words, if they are counted already. Without ``keep``, texts are read once only.
     """
     spark = df.sparkSession
     fields = list(dict.fromkeys([id_col, source_col, *keep]))
@@ -100,13 +102,14 @@ def mix_sources(
     given = quoted(weight_col).cast("double") if weight_col else F.lit(1.0)
     rows = df.select(
         F.struct(*[quoted(c) for c in fields]).alias("row"),
-        word_count(quoted(text_col)).alias("size"),
+        (quoted(size_col).cast("long") if size_col else word_count(quoted(text_col))).alias("size"),
         quoted(source_col).cast("string").alias("source"),
         quoted(id_col).alias("key"),
         F.md5(quoted(text_col)).alias("digest"),
         F.when(given > 0, given).otherwise(F.lit(1e-6)).alias("weight"),
     )
-    sized = materialize(rows.drop("row"), "mix-sizes")  # without texts
+    sized = materialize(rows.drop("row") if keep else rows, "mix-sizes")  # without texts
+    rows = rows if keep else sized
     shares, means = plan_shares(sized, "source", "size", "weight", weights=weights, total_share=total_share, cap=cap)
     table = spark.createDataFrame([(s.source, s.size, s.target, s.target / s.size if s.size else 0.0, means[s.source]) for s in shares], "of string, source_size long, target double, ratio double, mean double")
 

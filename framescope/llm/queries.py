@@ -80,7 +80,7 @@ def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("n_words", word_count(F.col("text")))
-    return mixing.mix_sources(docs, weight_col="n_words").select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(docs, weight_col="n_words", size_col="n_words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
