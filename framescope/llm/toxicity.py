@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
@@ -34,7 +36,9 @@ from pyspark.sql import types as T
 
 from framescope.llm.common import flat_map, free_name, materialize, quoted
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, as ``\p{L}+`` has them: numbers that are no digits (``²``, ``Ⅷ``) are no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 GRADES = 4
 PREFIX = 4
 
