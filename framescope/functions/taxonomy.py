@@ -33,6 +33,7 @@ ACTIONS = {
     "F2": "idle.sitting",
     "X1": "other.unlisted_action",
 }
+# Groups of codes, in their order.
 GROUPS = ("A", "B", "C", "D", "E", "F", "X")
 # Severity of a condition tag; a tag that isn't listed counts as 0.
 SEVERITY = {"clean": 0, "dust_light": 1, "low_light": 1, "low_quality": 1, "distant_scene": 1, "dust_heavy": 2, "steam": 2, "occlusion_static": 2, "occlusion_dynamic": 3, "multi_degradation": 4}
@@ -55,15 +56,21 @@ PROTECTION_WORDS = {
 }
 # Conditions by which the accuracy of a source degrades.
 DEGRADING = ("clear", "low_light", "dust", "glare", "steam", "smoke")
+# Visibility of a scene, and its conditions.
 VISIBILITY = ("clear", "moderate", "harsh")
 CONDITIONS = ("clear", "steam", "dust", "smoke", "rain", "glare", "low_light")
+# Items of protection, their states, and those that may not apply.
 PROTECTION = ("helmet", "high_vis_vest", "welding_protection", "harness", "safety_shoes")
 PROTECTION_VALUES = ("worn", "not_worn", "cannot_determine")
 PROTECTION_MAY_NOT_APPLY = ("welding_protection", "harness")
+# Roll-ups of a scene's protection.
 OVERALL_PROTECTION = ("compliant", "partial", "non_compliant", "cannot_determine")
+# Tags of places.
 SPATIAL_TAGS = ("ground_level", "elevated", "vehicle_area", "crane_zone", "furnace_zone", "confined_space", "restricted", "near_machinery", "walkway", "storage_area", "locomotive_area", "hot_area")
+# How far a person is hidden, and in what company.
 OCCLUSION = ("fully_visible", "partially_occluded", "heavily_occluded")
 COMPANY = ("solo", "coordinated", "concurrent")
+# Reasons of flags, and states of protection as rules name them.
 FLAG_CATEGORIES = ("vlm_count_wrong", "image_unclear", "missing_frames", "ambiguous_scene", "wrong_content", "other")
 PROTECTION_STATES = ("compliant", "partial", "non_compliant", "cannot_determine", "not_applicable")
 

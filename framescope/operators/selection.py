@@ -37,25 +37,29 @@ def time_bucket(rows: DataFrame, ts: str, seconds: float, name: str = "bucket")
 
 
 def novel(rows: DataFrame, keys: Sequence[str], quality: str, kinds: dict[str, int], tie: str, keep: int = 3) -> DataFrame:
-    """Up to ``keep`` rows of each bucket: the best first, then those with the most new kinds; ties by quality.
+    """Up to ``keep`` rows of each bucket, with their ``pick`` from 1: the best first, then those with the most new kinds;
+    ties by quality, then ``tie``.
 
-    ``kinds`` gives what a new value of a column is worth. Each of the ``keep`` passes ranks all buckets at once.
+    ``kinds`` gives what a new value of a column is worth. What a row is worth depends on its kinds alone, so only the
+    first ``keep`` rows of each combination of them can be picked: tasks leave the others before buckets are dealt out,
+    and a bucket's choice is made from at most that many rows for each combination.
     """
-    left, chosen = rows, None
-    for k in range(keep):
-        if chosen is None:
-            score = F.lit(0)
-            ranked = left.withColumn("_score", score)
-        else:
-            seen = chosen.groupBy(*keys).agg(*(F.collect_set(c).alias(f"_seen_{c}") for c in kinds))  # at most `keep` values
-            score = sum((F.when(F.array_contains(f"_seen_{c}", F.col(c)), 0).otherwise(v) for c, v in kinds.items()), F.lit(0))
-            ranked = left.join(seen, list(keys)).withColumn("_score", score).drop(*(f"_seen_{c}" for c in kinds))
-        w = Window.partitionBy(*keys).orderBy(F.desc("_score"), F.col(quality), F.col(tie))
-        ranked = ranked.withColumn("_place", F.row_number().over(w)).drop("_score")
-        picked = ranked.where("_place = 1").drop("_place").withColumn("pick", F.lit(k + 1))
-        left = ranked.where("_place > 1").drop("_place")
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-    return chosen
+    place = F.row_number().over(Window.partitionBy(*keys, *kinds).orderBy(quality, tie))
+    first = rows.withColumn("_place", place).where(F.col("_place") <= keep).drop("_place")
+    entry = F.struct(F.col(quality).alias("q"), F.col(tie).alias("t"), *(F.col(c).alias(f"k{n}") for n, c in enumerate(kinds)), F.struct(*rows.columns).alias("row"))
+    buckets = first.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    every = F.col("_all")
+
+    def choose(taken: Column, _: Column) -> Column:
+        seen = lambda n, x: F.exists(taken, lambda i: F.get(every, i)[f"k{n}"] == x[f"k{n}"])
+        worth = lambda x: sum((F.when(seen(n, x), 0).otherwise(v) for n, v in enumerate(kinds.values())), F.lit(0))
+        # The array is in order of quality, so the first of the greatest worth is the one.
+        rated = F.transform(every, lambda x, i: F.when(~F.array_contains(taken, i), F.struct((-worth(x)).alias("w"), i.alias("i"))))
+        return F.concat(taken, F.coalesce(F.array(F.array_min(F.array_compact(rated))["i"]), F.array().cast("array<int>")))
+
+    chosen = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(keep), F.size(every))), F.array().cast("array<int>"), choose)
+    picks = buckets.select("_all", F.posexplode(chosen).alias("_pick", "_at"))
+    return picks.select((F.col("_pick") + 1).alias("pick"), F.get(F.col("_all"), F.col("_at"))["row"].alias("_row")).select("_row.*", "pick")
 
 
 def allocate(pools: dict, target: int, floor: int = 0, cap: int | None = None) -> dict:
