@@ -43,6 +43,7 @@ NO_VIOLATION = {
     "quality_control": ("", "none"),
     "routing": ("", "none", "none_visible"),
     "bias": ("none", "n/a", "", "safe"),
+    "agreement": ("",),
 }
 # Vocabularies of scenes, visibility, protection and people.
 SCENES = ("SA", "MAI", "MAC", "SEQ", "SA-X", "MAI-X", "MAC-X")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,12 @@ def tagged_counts(rows: DataFrame, single: dict[str, Column], many: dict[str, Co
     return e.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"_{k}").alias(k) for k in means))
 
 
+def top_of_each(counts: DataFrame, kind: str, most: int) -> DataFrame:
+    """The ``most`` frequent values of each kind, with their ``place``; ties by value."""
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(F.desc("n"), "value"))
+    return counts.withColumn("place", place).where(F.col("place") <= most)
+
+
 # When an annotator or a model is worth a warning.
 MOST_SKIPPED, LEAST_RECORDS, MOST_UNSURE, UNSURE, LEAST_SUCCESS = 0.20, 10, 5, 0.5, 0.80
 
@@ -91,3 +97,55 @@ def summary(values: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFra
     """Mean, median, population deviation, least and greatest of a column."""
     c = F.col(column)
     return values.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).cast("double").alias("mean"), F.median(c).cast("double").alias("median"), F.stddev_pop(c).alias("deviation"), F.min(c).alias("least"), F.max(c).alias("most"))
+
+
+def unlisted_summary(people: DataFrame) -> DataFrame:
+    """(closest, people, clips, coverage) of people (clip_id, code, closest) whose action isn't listed: by the class that is
+    said to be closest, and over all (null). ``coverage`` is the share of all clips without such a person."""
+    unlisted = F.col("code") == "X1"
+    clips = people.groupBy("clip_id").agg(F.count_if(unlisted).alias("n"))
+    whole = clips.agg(F.lit(None).cast("string").alias("closest"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("people"), F.count_if(F.col("n") > 0).alias("clips"), (1 - F.try_divide(F.count_if(F.col("n") > 0).cast("double"), F.count(F.lit(1)).cast("double"))).alias("coverage"))
+    by_class = people.where(unlisted & (F.coalesce("closest", F.lit("")) != "")).groupBy("closest").agg(F.count(F.lit(1)).alias("people"), F.countDistinct("clip_id").alias("clips")).withColumn("coverage", F.lit(None).cast("double"))
+    return whole.unionByName(by_class)
+
+
+def model_health(log: DataFrame, truth: DataFrame, issues: DataFrame, failure: Column) -> DataFrame:
+    """(kind, value, n) of a model's log (clip_id, success): all records, clips with a success, failed records by kind of
+    ``failure``, clean clips and clips with issues, issues by kind, and how much of ``truth`` (clip_id) is covered.
+
+    ``issues`` (clip_id, issue) are those of each clip's last success. A clip without any is clean.
+    """
+    one = lambda rows, kind, value=None: rows.agg(F.lit(kind).alias("kind"), F.lit(value).cast("string").alias("value"), F.count(F.lit(1)).alias("n"))
+    done = log.where("success").select("clip_id").distinct()
+    flawed = issues.select("clip_id").distinct().join(done, "clip_id", "left_semi")
+    kinds = issues.join(done, "clip_id", "left_semi").groupBy(F.substring_index("issue", "=", 1).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    failed = log.where(~F.coalesce(F.col("success"), F.lit(False))).groupBy(failure.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = truth.select("clip_id").distinct()
+    parts = [
+        one(log, "records"),
+        one(done, "succeeded"),
+        one(flawed, "flawed"),
+        one(done.join(flawed, "clip_id", "left_anti"), "clean"),
+        one(wanted, "wanted"),
+        one(wanted.join(done, "clip_id", "left_semi"), "covered"),
+        kinds.select(F.lit("issue").alias("kind"), "value", "n"),
+        failed.select(F.lit("failure").alias("kind"), "value", "n"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def review_rollup(reviews: DataFrame) -> DataFrame:
+    """(kind, value, status, n) of safety reviews (rule_id, status, overall, agrees, discard): statuses by rule, overall
+    verdicts, agreement with the model and reasons of discards, from one pass; null values aren't counted."""
+    one = lambda kind, value, status: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), status.cast("string").alias("status"))
+    none = F.lit(None)
+    made = F.array(
+        F.when(F.col("status").isNotNull(), one("rule", F.col("rule_id"), F.col("status"))),
+        F.when(F.col("overall").isNotNull(), one("overall", F.col("overall"), none)),
+        F.when(F.col("agrees").isNotNull(), one("agreement", F.when(F.col("agrees"), "agree").otherwise("disagree"), none)),
+        F.when(F.col("discard").isNotNull(), one("discard", F.col("discard"), none)),
+    )
+    return reviews.select(F.explode(F.array_compact(made)).alias("x")).groupBy("x.kind", "x.value", "x.status").agg(F.count(F.lit(1)).alias("n"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framescope.functions.columns import is_violation
+
 
 def zone_flagged(rows: DataFrame, zones: DataFrame, key: str, flagged: list[str]) -> DataFrame:
     """Rows whose camera has a flagged zone. ``zones`` is (key, zones array), a small table of cameras."""
@@ -39,3 +41,16 @@ def rule_rows(book: DataFrame, general: DataFrame) -> DataFrame:
     ``general`` rules (rule_id, description) without a department."""
     special = book.select("dept", F.explode("observations").alias("rule_id", "description"))
     return special.unionByName(general.select(F.lit(None).cast("string").alias("dept"), "rule_id", "description"))
+
+
+def flagged_people(people: Column) -> Column:
+    """The people of a record with an unsafe act: (person_id, action_code, unsafe_act), named by their places from P1."""
+    placed = F.transform(people, lambda p, i: F.struct(F.concat(F.lit("P"), (i + 1).cast("string")).alias("person_id"), p["action_code"].alias("action_code"), F.trim(p["unsafe_act"]).alias("unsafe_act")))
+    return F.coalesce(F.filter(placed, lambda p: is_violation(p["unsafe_act"], "routing")), F.array().cast("array<struct<person_id:string,action_code:string,unsafe_act:string>>"))
+
+
+def messages(site: Column, block: Column, frames: Column) -> Column:
+    """A JSON list of messages: the site's rules, then what to look at."""
+    system = F.struct(F.lit("system").alias("role"), F.concat(F.lit("Rules of "), site, F.lit(":\n"), block).alias("content"))
+    user = F.struct(F.lit("user").alias("role"), F.concat(F.lit("Look at "), frames.cast("string"), F.lit(" frames.")).alias("content"))
+    return F.to_json(F.array(system, user))

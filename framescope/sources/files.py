@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,12 @@ def find_files(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> Data
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).drop("content")
 
 
+def find_kinds(spark: SparkSession, folder: str, kinds: Sequence[str] = ("mp4", "avi", "mkv")) -> DataFrame:
+    """Files below a folder whose names end in one of ``kinds``, in any case, in the order of their paths."""
+    ends = "|".join(k.lower() for k in kinds)
+    return find_files(spark, folder, "*").where(F.lower("path").rlike(rf"\.({ends})$")).orderBy("path")
+
+
 def wanted_files(found: DataFrame, least_mb: float = 0, most_mb: float = 0, main_only: bool = False, limit: int = 0) -> DataFrame:
     """Files (``path``, ``length``) within limits of size, of the main cameras alone if asked, the first of them by path.
 
@@ -158,6 +164,23 @@ def batch_requests(rows: DataFrame, key: str, model: str, frames: int, prompt: s
     return rows.select(safe.alias("custom_id"), F.concat(head, body, F.lit("}")).alias("request"))
 
 
+def rewrite(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace a Parquet table by what a function makes of it: written beside it, then put in its place by renaming.
+
+    Until the old table has been moved aside it can be read; if a run ends between the two renames, it is at ``path.old``.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    here, new, old = (fs_path(p) for p in (path, f"{path}.new", f"{path}.old"))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(here) and fs.exists(old):
+        fs.rename(old, here)
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(old, True)
+    if not (fs.rename(here, old) and fs.rename(new, here)):
+        raise OSError(f"{path} couldn't be replaced; the old table is at {path}.old")
+    fs.delete(old, True)
+
+
 def batch_results(results: DataFrame, ids: DataFrame, key: str = "clip_id") -> DataFrame:
     """Results with their key: by custom id, or that id itself where the map has none."""
     return results.join(ids, "custom_id", "left").withColumn(key, F.coalesce(key, "custom_id"))
