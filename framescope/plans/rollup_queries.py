@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescope.functions import columns as C
-from framescope.operators import readiness, reports
+from framescope.operators import frames, readiness, reports
 from framescope.operators import replies as R
 from framescope.operators import rules
 from framescope.plans.projections import table
@@ -195,3 +195,50 @@ def _(s, d):
     changes = o.where(k % 3 == 0).select("o_orderkey", F.concat(F.lit("new"), k.cast("string")).alias("status"))
     files.rewrite(s, path, lambda rows: files.updated(rows, changes, "o_orderkey"))
     return s.read.parquet(path).select("o_orderkey", "status")
+
+
+# --- frames and phases ----------------------------------------------------------------------------------------------
+
+_PLACES, _DEPTHS = ("left", "center", "right"), ("foreground", "background")
+
+
+@query(
+    "a01_clip_frames",
+    f"""WITH f AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey % 4 AS n, l_partkey AS x FROM lineitem), p AS (SELECT k, i, (x + j) % 97 AS c, (x * 3 + j) % 89 AS a, (['{"','".join(_PLACES)}'])[(x + j) % 3 + 1] AS px, (['{"','".join(_DEPTHS)}'])[(x + j) % 2 + 1] AS pd FROM (SELECT *, unnest(range(0, n)) AS j FROM f)),
+g AS (SELECT k, CAST(sum(n) AS BIGINT) AS total_persons, min(n) AS min_persons, max(n) AS max_persons, ((200 * sum(n) + count(*)) // (2 * count(*)))::DOUBLE / 100 AS avg_persons, ((20000 * count(*) FILTER (n > 0) + count(*)) // (2 * count(*)))::DOUBLE / 10000 AS person_detection_ratio FROM f GROUP BY k),
+h AS (SELECT k, ((200 * sum(c) + count(*)) // (2 * count(*)))::DOUBLE / 10000 AS avg_confidence, max(c) / 100.0::DOUBLE AS max_confidence, ((2000 * sum(a) + count(*)) // (2 * count(*)))::DOUBLE / 1000000 AS avg_bbox_area_ratio, max(a) / 1000.0::DOUBLE AS max_bbox_area_ratio, min(a) / 1000.0::DOUBLE AS min_bbox_area_ratio FROM p GROUP BY k),
+s AS (SELECT k, string_agg(w, ',' ORDER BY w) AS places FROM (SELECT k, px AS w FROM p UNION SELECT k, pd FROM p) GROUP BY k)
+SELECT g.k AS l_orderkey, total_persons, min_persons, max_persons, avg_persons, person_detection_ratio, coalesce(avg_confidence, 0) AS avg_confidence, coalesce(max_confidence, 0) AS max_confidence, coalesce(avg_bbox_area_ratio, 0) AS avg_bbox_area_ratio, coalesce(max_bbox_area_ratio, 0) AS max_bbox_area_ratio, coalesce(min_bbox_area_ratio, 0) AS min_bbox_area_ratio, coalesce(places, '') AS person_positions FROM g LEFT JOIN h USING (k) LEFT JOIN s USING (k)""",
+)
+def _(s, d):
+    x, n = F.col("l_partkey"), F.col("l_partkey") % 4
+    one = lambda values, place: F.element_at(F.array(*map(F.lit, values)), (place % len(values) + 1).cast("int"))
+
+    def person(j):
+        return F.struct(((x + j) % 97 / 100).cast("decimal(9,6)").alias("confidence"), ((x * 3 + j) % 89 / 1000).cast("decimal(9,6)").alias("bbox_area_ratio"), one(_PLACES, x + j).alias("position_x"), one(_DEPTHS, x + j).alias("position_depth"))
+
+    people = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), person))
+    rows = table(s, d, "lineitem").select("l_orderkey", n.alias("num_persons"), people.alias("persons"))
+    return frames.clip_summary(rows, ["l_orderkey"])
+
+
+@query("p01_gate_reasons", "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 50 * 10 + 3) / 1000.0::DOUBLE AS ratio, l_suppkey % 9 / 1000.0::DOUBLE AS area, l_partkey % 70 / 100.0::DOUBLE AS sure, CAST(l_quantity AS INT) % 20 AS long_ FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('|', CASE WHEN ratio < 0.4 THEN printf('low_presence:%.2f<0.4', ratio) END, CASE WHEN area < 0.005 THEN printf('small_person:%.4f<0.005', area) END, CASE WHEN sure < 0.45 THEN printf('low_confidence:%.3f<0.45', sure) END, CASE WHEN long_ < 8 THEN printf('short_clip:%.1fs<8.0s', long_::DOUBLE) END) AS reasons FROM x")
+def _(s, d):
+    x = table(s, d, "lineitem")
+    reasons = frames.gate_reasons((F.col("l_partkey") % 50 * 10 + 3) / 1000, F.col("l_suppkey") % 9 / 1000, F.col("l_partkey") % 70 / 100, F.col("l_quantity").cast("int") % 20)
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(reasons, "|").alias("reasons"))
+
+
+@query(
+    "a45_phase",
+    """WITH phase AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM labels)), a AS (SELECT 'w' || o_custkey % 7 AS who, count(*) AS assigned FROM orders JOIN phase ON k = o_orderkey WHERE o_custkey % 7 < 6 GROUP BY 1),
+b AS (SELECT 'w' || (o_custkey % 7 + o_orderkey % 2) AS who, count(*) FILTER (o_orderstatus = 'F' AND k IS NOT NULL) AS submitted, count(*) FILTER (o_orderstatus = 'O' AND k IS NOT NULL) AS flagged, count(*) FILTER (o_orderstatus = 'P' AND k IS NOT NULL) AS discarded FROM orders LEFT JOIN phase ON k = o_orderkey WHERE o_orderkey % 4 > 0 GROUP BY 1)
+SELECT who AS annotator_id, coalesce(assigned, 0) AS assigned, coalesce(submitted, 0) AS submitted, coalesce(flagged, 0) AS flagged, coalesce(discarded, 0) AS discarded, round(coalesce(100.0::DOUBLE * submitted / assigned, 0), 1) AS complete FROM a FULL JOIN b USING (who)""",
+)
+def _(s, d):
+    o, c, k = table(s, d, "orders"), F.col("o_custkey"), F.col("o_orderkey")
+    name = lambda n: F.concat(F.lit("w"), n.cast("string")).alias("annotator_id")
+    phase = frames.phase_clips(o.select(k.alias("clip_id")), table(s, d, "labels").select(F.col("doc_id").alias("clip_id")))
+    status = F.when(F.col("o_orderstatus") == "F", "submitted").when(F.col("o_orderstatus") == "O", "flagged").otherwise("discarded")
+    records = o.where(k % 4 > 0).select(k.alias("clip_id"), name(c % 7 + k % 2), status.alias("status"))
+    return frames.phase_progress(o.where(c % 7 < 6).select(k.alias("clip_id"), name(c % 7)), records, phase)

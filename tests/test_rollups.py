@@ -108,3 +108,32 @@ def test_novel_rows_of_a_bucket(spark):
     assert got == {("p", 1): 1, ("p", 2): 3, ("p", 3): 4, ("q", 1): 5, ("q", 2): 6, (None, 1): 7}
     many = spark.range(1000).select(F.lit("p").alias("k"), F.col("id"), (1000 - F.col("id")).alias("quality"), (F.col("id") % 2).alias("x"))
     assert [r.id for r in S.novel(many, ["k"], "quality", {"x": 1}, "id").orderBy("pick").collect()] == [999, 998, 997]
+
+
+def test_clip_summary_of_awkward_frames(spark):
+    from framescope.operators import frames
+
+    rows = [("a", 2, [(0.5, 0.1, "left", "background"), (0.9, 0.3, "center", None)]), ("a", 0, []), ("a", 1, [(None, 0.2, "left", "background")]), ("b", 0, None), (None, 1, [(0.7, 0.4, "right", "foreground")])]
+    df = spark.createDataFrame(rows, "clip string, num_persons int, persons array<struct<confidence: double, bbox_area_ratio: double, position_x: string, position_depth: string>>")
+    df = df.withColumn("persons", F.col("persons").cast(frames.PEOPLE))
+    got = {r.clip: r for r in frames.clip_summary(df, ["clip"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.total_persons, a.min_persons, a.max_persons, a.avg_persons, a.person_detection_ratio) == (3, 0, 2, 1.0, 0.6667)
+    assert (a.max_confidence, a.avg_bbox_area_ratio, a.max_bbox_area_ratio, a.min_bbox_area_ratio, a.person_positions) == (0.9, 0.2, 0.3, 0.1, "background,center,left")
+    assert (b.total_persons, b.avg_confidence, b.max_confidence, b.person_positions) == (0, 0.0, 0.0, "") and got[None].person_positions == "foreground,right"
+    assert frames.clip_summary(df.where("false"), ["clip"]).collect() == []
+
+
+def test_gate_reasons_and_phases(spark):
+    from framescope.operators import frames
+
+    one = lambda *v: spark.range(1).select(frames.gate_reasons(*map(F.lit, v)).alias("x")).first().x
+    assert one(0.4, 0.005, 0.45, 8.0) == []
+    assert one(0.316, 0.00412, 0.4444, 7.25) == ["low_presence:0.32<0.4", "small_person:0.0041<0.005", "low_confidence:0.444<0.45", "short_clip:7.3s<8.0s"]
+    clips = lambda *k: spark.createDataFrame([(x,) for x in k], "clip_id int")
+    assert sorted(r.clip_id for r in frames.phase_clips(clips(1, 2, 2, 3), clips(2)).collect()) == [1, 3]
+    assert [r.clip_id for r in frames.phase_clips(clips(1, 2), clips(2), clips(7, 7)).collect()] == [7]
+    work = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2), ("c", 9)], "annotator_id string, clip_id int")
+    records = spark.createDataFrame([("a", 1, "submitted"), ("a", 2, "submitted"), ("d", 3, "flagged"), ("d", 3, None)], "annotator_id string, clip_id int, status string")
+    got = {r.annotator_id: tuple(r)[1:] for r in frames.phase_progress(work, records, clips(1, 3)).collect()}
+    assert got == {"a": (2, 1, 0, 0, 50.0), "d": (0, 0, 1, 0, 0.0)}
