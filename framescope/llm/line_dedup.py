@@ -3,10 +3,12 @@
 A unit is a line of at least ``min_line_words`` words, or a run of whole sentences (line ends end sentences too) with at
 least ``min_words`` words: the shortest such run from each sentence on, and the shortest back from each sentence end. A
 paragraph is a union of such units, and so is a passage that was spliced into the middle of another line, which hashing
-whole lines alone would miss. A sentence of more than ``LONG`` words is cut at words chosen by their hash, so that equal
-stretches are cut alike.
+whole lines alone would miss. Sentences are also cut before each word whose hash is the least of ``WINDOW`` words in a
+row, whatever stands around these. So equal stretches are cut alike, also where a passage begins and ends in the middle
+of sentences, and 50 words that two texts share hold at least one whole unit of both: a cut is among the first 16, and
+another among the 16 that follow the 12 words after it.
 
-Units are compared as lower-cased words without marks and spacing, by 128-bit XXH3 digests. Digests are grouped
+Units are compared as lower-cased words without marks and spacing, by 96 bits of their XXH3 digests. Digests are grouped
 globally; the occurrence in the earliest ranked document (by id, then text hash, then place) stays and all others are
 removed. Where removed units overlap, their union goes. Every removed sentence therefore stands in an earlier place
 that is kept.
@@ -41,7 +43,8 @@ MIN_WORDS = 12
 MIN_LINE_WORDS = 5
 #: Units that a task compares among themselves before it hands them on.
 STRETCH = 100_000
-LONG = 24
+#: Words in a row of which the one with the least hash opens a unit.
+WINDOW = 16
 _ENDS = np.zeros(128, dtype=bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 _WORD = np.zeros(128, dtype=bool)
@@ -67,6 +70,17 @@ class PointHash(SpanHash):
         return out
 
 
+def least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the first least value of some ``width`` places in a row, or of all if there are fewer."""
+    width = min(width, len(values))
+    first = np.arange(0, len(values) - width + 1)
+    found = []
+    for k in range(0, len(first), 1 << 16):  # windows of long texts in turn
+        part = np.lib.stride_tricks.sliding_window_view(values[k : k + (1 << 16) + width - 1], width)
+        found.append(part.argmin(axis=1) + first[k : k + len(part)])
+    return np.unique(np.concatenate(found))
+
+
 class Units:
     """The units of a text in order of place: start and end in code points, and digests."""
 
@@ -75,13 +89,13 @@ class Units:
         self.word_hash = PointHash(1)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The two halves of each unit's digest."""
+        """Two parts of each unit's digest, of 64 and of 32 bits."""
         points, normal, _, _, left, right = self._find(text)
         if points is None:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         data, digest = memoryview(normal.astype("<u4").tobytes()), xxhash.xxh3_128_digest
         halves = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip((4 * left).tolist(), (4 * right).tolist(), strict=True)]), dtype="<i8")
-        return halves[::2], halves[1::2]
+        return halves[::2], halves[1::2].astype(np.int32)
 
     def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each unit."""
@@ -114,15 +128,11 @@ class Units:
             count = np.concatenate(([0], np.cumsum(marks)))
             return np.flatnonzero(np.concatenate(([True], count[starts[1:]] > count[ends[:-1]])))
 
-        heads = heads_after(_ENDS[narrow] & (points < 128))
-        lengths = np.diff(np.append(heads, n))
-        if lengths.max() > LONG:
-            opens = np.zeros(n, dtype=bool)
-            opens[heads] = True
-            word = self.word_hash.spans(self.word_hash.prefix(normal), begin, end)
-            opens |= np.repeat(lengths > LONG, lengths) & (word % np.uint64(6) == 0)
-            heads = np.flatnonzero(opens)
-        bounds = np.append(heads, n)
+        opens = np.zeros(n + 1, dtype=bool)
+        opens[heads_after(_ENDS[narrow] & (points < 128))] = True
+        opens[least_of_windows(self.word_hash.spans(self.word_hash.prefix(normal), begin, end), WINDOW)] = True
+        opens[n] = True
+        bounds = np.flatnonzero(opens)
         to = np.searchsorted(bounds, bounds + self.min_words)  # forward from each bound
         fore = np.flatnonzero(to < len(bounds))
         back_to = np.searchsorted(bounds, bounds - self.min_words, side="right") - 1
@@ -188,7 +198,7 @@ def unit_rows(df: DataFrame, units: Units, stretch: int) -> DataFrame:
     ``known`` units are repeats for certain. They have a key of their own in place of the digest, so that they are
     dealt out evenly.
     """
-    fields = [T.StructField("number", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
+    fields = [T.StructField("number", T.IntegerType()), T.StructField("known", T.BooleanType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.IntegerType())]
     schema = T.StructType([df.schema["unit_id"], df.schema["unit_mark"], *fields])
     names = schema.names
 

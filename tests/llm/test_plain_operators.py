@@ -569,6 +569,39 @@ def test_spliced_passages_go_and_clean_texts_stay(spark):
     assert line not in rows[9]["text"] and rows[9]["text"].endswith("tail9")
 
 
+def test_whole_spliced_passages(spark):
+    """Passages of 51 to 60 words that begin and end in the middle of sentences, each spliced into two texts."""
+    r = random.Random(21)
+    sources = [prose(3000 + k, 200).split() for k in range(100)]
+    passages = []
+    for k, words in enumerate(sources):
+        n, at = r.randint(51, 60), r.randint(1, 100)
+        passages.append(" ".join(words[at : at + n]))
+    hosts = [prose(4000 + k, 150).split() for k in range(200)]
+    texts = []
+    for k, host in enumerate(hosts):
+        at = r.randint(10, 140)
+        texts.append(" ".join(host[:at]) + " " + passages[k % 100] + " " + " ".join(host[at:]))
+    rows = {x["doc_id"]: x for x in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert all(rows[k]["removed_chars"] == 0 for k in range(100))
+    shares = []
+    for k in range(100, 200):
+        start = texts[k].index(passages[k - 100])
+        end = start + len(passages[k - 100])
+        gone = sum(max(0, min(end, x["end"]) - max(start, x["start"])) for x in rows[k]["removed_spans"])
+        shares.append(gone / (end - start))
+        assert rows[k]["removed_chars"] <= end - start + 2  # nothing of the host
+    assert min(shares) > 0.4 and sum(x < 0.5 for x in shares) <= 3 and sum(shares) / 100 > 0.8
+
+
+def test_least_of_windows():
+    r = np.random.default_rng(1)
+    for n, width in ((1, 16), (15, 16), (16, 16), (40, 16), (300, 7), (70_000, 16)):
+        values = r.integers(0, 50, n).astype(np.uint64)
+        want = {k + int(values[k : k + width].argmin()) for k in range(max(1, n - width + 1))}
+        assert set(line_dedup.least_of_windows(values, width).tolist()) == want
+
+
 def normal(text):
     return " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)))
 
