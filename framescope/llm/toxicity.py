@@ -21,8 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
-import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
@@ -36,13 +34,19 @@ from pyspark.sql import types as T
 
 from framescope.llm.common import flat_map, free_name, materialize, quoted
 
-#: Runs of letters, as ``\p{L}+`` has them: numbers that are no digits (``²``, ``Ⅷ``) are no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 GRADES = 4
 PREFIX = 4
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, as ``\\p{L}+`` has them: numbers that are no digits (``²``, ``Ⅷ``) are no letters."""
+    found = LETTERS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -58,7 +62,7 @@ class Ordinal:
         total = 0.0
         known = self.weights
         counts: Counter[str] = Counter()
-        for word, n in Counter(LETTERS.findall((text or "").lower())).items():
+        for word, n in Counter(words_of((text or "").lower())).items():
             if word in known:
                 counts[word] += n
             if len(word) >= PREFIX and (start := "^" + word[:PREFIX]) in known:
