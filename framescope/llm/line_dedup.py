@@ -5,8 +5,8 @@ least ``min_words`` words: the shortest such run from each sentence on, and the
 paragraph is a union of such units, and so is a passage that was spliced into the middle of another line, which hashing
 whole lines alone would miss. Sentences are also cut before each word whose hash is the least of ``WINDOW`` words in a
 row, whatever stands around these. So equal stretches are cut alike, also where a passage begins and ends in the middle
-of sentences, and 50 words that two texts share hold at least one whole unit of both: a cut is among the first 16, and
-another among the 16 that follow the 12 words after it.
+of sentences, and 60 words that two texts share hold at least one whole unit of both: a cut is among the first 24, and
+another among the 24 that follow the 12 words after it.
 
 Units are compared as lower-cased words without marks and spacing, by 96 bits of their XXH3 digests. Digests are grouped
 globally; the occurrence in the earliest ranked document (by id, then text hash, then place) stays and all others are
@@ -44,7 +44,7 @@ MIN_LINE_WORDS = 5
 #: Units that a task compares among themselves before it hands them on.
 STRETCH = 100_000
 #: Words in a row of which the one with the least hash opens a unit.
-WINDOW = 16
+WINDOW = 24
 _ENDS = np.zeros(128, dtype=bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 _WORD = np.zeros(128, dtype=bool)
