@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt out by key to all tasks, before work that costs much a row: a file may have but one row group."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Predictions against truth, from orders."""
     o = table(spark, d, "orders")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from framescope.operators import record_diff as D
 from framescope.operators import reviews as R
-from framescope.plans.projections import table
+from framescope.operators.replies import with_once
+from framescope.plans.projections import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,7 +87,7 @@ def reviews(s, d):
         whole = "named_struct(" + ", ".join(f"'{f}', {v}" for f, v in fields.items()) + ")"
         return f"CAST(CASE WHEN NOT ({WRITERS[who][3]}) THEN {whole} END AS struct<{R.RECORD}>)"
 
-    o = table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c"))
+    o = spread(table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c")), "k")
     return o.select(F.col("k").alias("clip_id"), F.expr(CONDITION).alias("condition"), *(F.expr(record(who)).alias(who) for who in WRITERS))
 
 
@@ -269,9 +270,14 @@ PATHS = (
 )
 
 
+def both(s, d):
+    """(clip_id, before, after): records of the model and the first annotator as texts, where both are there."""
+    whole = with_once(reviews(s, d), "_x", F.struct(F.to_json("model").alias("before"), F.to_json("first").alias("after")))
+    return whole.select("clip_id", "_x.*").where("before is not null and after is not null")
+
+
 def changes(s, d):
-    rows = reviews(s, d).where("model is not null and first is not null").select("clip_id", F.to_json("model").alias("before"), F.to_json("first").alias("after"))
-    return D.changed_paths(rows, "before", "after", ["clip_id"], SETS)
+    return D.changed_paths(both(s, d), "before", "after", ["clip_id"], SETS)
 
 
 @query("p38_changed_paths", f"WITH {PATHS} SELECT k AS clip_id, path, before, after FROM path")
