@@ -294,8 +294,9 @@ def _(s, d):
 def _(s, d):
     from framescope.operators import metrics as M
 
-    all_ = reviews(s, d).where("model is not null and first is not null").select("clip_id")
-    e = all_.join(changes(s, d).groupBy("clip_id").agg(F.count(F.lit(1)).alias("edits")), "clip_id", "left").fillna(0, ["edits"])
+    # A clip's row with no edit lies beside those of its changed paths, so that one aggregate counts both.
+    edits = both(s, d).select("clip_id", F.lit(0).alias("n")).unionByName(changes(s, d).select("clip_id", F.lit(1).alias("n")))
+    e = edits.groupBy("clip_id").agg(F.sum("n").alias("edits"))
     stats = e.agg(F.max("edits").alias("most"), F.min("edits").alias("least"), M.ratio(F.sum("edits"), F.count(F.lit(1))).alias("mean"))
     return M.upper_median(e, "edits").crossJoin(stats)  # one row each
 
