@@ -102,11 +102,16 @@ def summary(values: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFra
 def unlisted_summary(people: DataFrame) -> DataFrame:
     """(closest, people, clips, coverage) of people (clip_id, code, closest) whose action isn't listed: by the class that is
     said to be closest, and over all (null). ``coverage`` is the share of all clips without such a person."""
-    unlisted = F.col("code") == "X1"
-    clips = people.groupBy("clip_id").agg(F.count_if(unlisted).alias("n"))
-    whole = clips.agg(F.lit(None).cast("string").alias("closest"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("people"), F.count_if(F.col("n") > 0).alias("clips"), (1 - F.try_divide(F.count_if(F.col("n") > 0).cast("double"), F.count(F.lit(1)).cast("double"))).alias("coverage"))
-    by_class = people.where(unlisted & (F.coalesce("closest", F.lit("")) != "")).groupBy("closest").agg(F.count(F.lit(1)).alias("people"), F.countDistinct("clip_id").alias("clips")).withColumn("coverage", F.lit(None).cast("double"))
-    return whole.unionByName(by_class)
+    unlisted = F.coalesce(F.col("code") == "X1", F.lit(False))
+    named = F.when(unlisted & (F.coalesce("closest", F.lit("")) != ""), F.col("closest"))
+    # By clip and class first, so that a clip's list holds each class once, and the people are worked out once.
+    pairs = people.groupBy("clip_id", named.alias("closest")).agg(F.count_if(unlisted).alias("n"))
+    clips = pairs.groupBy("clip_id").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("closest").isNotNull(), F.struct("closest", "n"))).alias("by"))
+    whole = F.struct(F.lit(None).cast("string").alias("closest"), "n")
+    spread = clips.select("clip_id", F.explode(F.concat(F.array(whole), F.col("by"))).alias("x")).select("x.*", F.lit(1).alias("clip"))
+    rows = spread.unionByName(people.sparkSession.range(1).select(F.lit(None).cast("string").alias("closest"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("clip")))
+    sums = rows.groupBy("closest").agg(F.sum("n").alias("people"), F.count_if(F.col("n") > 0).alias("clips"), F.sum("clip").alias("all"))
+    return sums.select("closest", "people", "clips", F.when(F.col("closest").isNull(), 1 - F.try_divide(F.col("clips").cast("double"), F.col("all").cast("double"))).alias("coverage"))
 
 
 def model_health(log: DataFrame, truth: DataFrame, issues: DataFrame, failure: Column) -> DataFrame:
@@ -115,26 +120,30 @@ def model_health(log: DataFrame, truth: DataFrame, issues: DataFrame, failure: C
 
     ``issues`` (clip_id, issue) are those of each clip's last success. A clip without any is clean.
     """
-    one = lambda rows, kind, value=None: rows.agg(F.lit(kind).alias("kind"), F.lit(value).cast("string").alias("value"), F.count(F.lit(1)).alias("n"))
-    done = log.where("success").select("clip_id").distinct()
-    flawed = issues.select("clip_id").distinct().join(done, "clip_id", "left_semi")
-    kinds = issues.join(done, "clip_id", "left_semi").groupBy(F.substring_index("issue", "=", 1).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    failed = log.where(~F.coalesce(F.col("success"), F.lit(False))).groupBy(failure.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    wanted = truth.select("clip_id").distinct()
+    good = F.coalesce(F.col("success"), F.lit(False))
+    none = F.lit(None).cast("string")
+    row = lambda rows, kind, value=none, good=F.lit(True): rows.select("clip_id", F.lit(kind).alias("kind"), value.alias("value"), good.alias("good"))
+    issue = row(issues, "issue", F.substring_index("issue", "=", 1))
+    # What is known of a clip meets in one shuffle of counts; the issues are worked out once.
+    every = row(log, "record", F.when(~good, failure), good).unionByName(issue).unionByName(row(truth, "truth"))
+    counts = every.groupBy("clip_id", "kind", "value", "good").agg(F.count(F.lit(1)).alias("n"))
+    is_ = lambda kind: F.col("kind") == kind
+    listed = F.collect_list(F.when(~is_("truth"), F.struct("kind", "value", "good", "n"))).alias("parts")
+    clips = counts.groupBy("clip_id").agg(F.bool_or(is_("record") & F.col("good")).alias("done"), F.bool_or(is_("truth")).alias("wanted"), F.bool_or(is_("issue")).alias("issues"), listed)
+    done, wanted, named = F.col("done"), F.col("wanted"), F.col("clip_id").isNotNull()
+    flawed = done & F.col("issues") & named
+    one = lambda kind, value, n: F.struct(F.lit(kind).alias("kind"), value.alias("value"), n.cast("long").alias("n"))
+    states = {"succeeded": done, "flawed": flawed, "clean": done & ~flawed, "wanted": wanted, "covered": wanted & done & named}
+    of = lambda kind, where: F.filter("parts", lambda p: (p["kind"] == kind) & where(p))
     parts = [
-        one(log, "records"),
-        one(done, "succeeded"),
-        one(flawed, "flawed"),
-        one(done.join(flawed, "clip_id", "left_anti"), "clean"),
-        one(wanted, "wanted"),
-        one(wanted.join(done, "clip_id", "left_semi"), "covered"),
-        kinds.select(F.lit("issue").alias("kind"), "value", "n"),
-        failed.select(F.lit("failure").alias("kind"), "value", "n"),
+        F.array(*(one(k, none, c) for k, c in states.items())),
+        F.transform(of("record", lambda p: F.lit(True)), lambda p: one("records", none, p["n"])),
+        F.transform(of("record", lambda p: ~p["good"]), lambda p: one("failure", p["value"], p["n"])),
+        F.transform(of("issue", lambda p: done & named), lambda p: one("issue", p["value"], p["n"])),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = clips.select(F.explode(F.concat(*parts)).alias("x")).select("x.*")
+    zeros = log.sparkSession.range(1).select(F.explode(F.array(*(one(k, none, F.lit(0)) for k in ("records", *states)))).alias("x")).select("x.*")
+    return rows.unionByName(zeros).groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
 def review_rollup(reviews: DataFrame) -> DataFrame:
