@@ -66,8 +66,8 @@ def _named(text: Column) -> Column:
     return _last_of_key(F.transform(entries, lambda e: F.struct(F.replace(F.lower(e["key"]), F.lit(" "), F.lit("_")).alias("key"), e["value"].alias("value"))))
 
 
-def _person(named: Column) -> Column:
-    """A person's known fields from a map of texts; other fields are dropped."""
+def _person(named: Column, fields: Sequence[str] | None = None) -> Column:
+    """A person's known fields from a map of texts, or those of ``fields``; other fields are dropped."""
     get = lambda k: F.try_element_at(named, F.lit(k))
     texts = {f: get(f) for f in TEXT_FIELDS}
     other = F.nullif(F.coalesce(get("action"), get("primary_action")), F.lit(""))
@@ -79,14 +79,14 @@ def _person(named: Column) -> Column:
     def item(e: Column) -> Column:
         return F.struct(C.lookup(e["key"], spelling, e["key"]).alias("key"), C.protection_word(e["value"]).alias("value"))
 
-    return F.struct(
-        *(v.alias(f) for f, v in texts.items()),
-        F.when(certainty.isNotNull(), F.round(C.confidence(certainty), 3)).alias("confidence"),
-        _last_of_key(F.transform(items, item)).alias("ppe"),
-        _elements(get("spatial_context")).alias("spatial_context"),
-        _elements(get("occlusion_source")).alias("occlusion_source"),
-        _elements(get("coordinated_with")).alias("coordinated_with"),
-    )
+    every = texts | {
+        "confidence": F.when(certainty.isNotNull(), F.round(C.confidence(certainty), 3)),
+        "ppe": _last_of_key(F.transform(items, item)),
+        "spatial_context": _elements(get("spatial_context")),
+        "occlusion_source": _elements(get("occlusion_source")),
+        "coordinated_with": _elements(get("coordinated_with")),
+    }
+    return F.struct(*(v.alias(f) for f, v in every.items() if fields is None or f in fields))
 
 
 def _last_of_key(entries: Column) -> Column:
@@ -118,6 +118,20 @@ def _total(top: Column, people: Column) -> Column:
     return F.coalesce(top["total_workers"].try_cast("int"), top["num_workers"].try_cast("int"), F.size(people))
 
 
+def _scene(top: Column, people: Column) -> dict[str, Column]:
+    """The fields of a repaired scene but its people, by name."""
+    moved = F.from_json(F.when(F.trim(top["action_transition"]).startswith("{"), top["action_transition"]), "detected boolean, transitions string")
+    transition = F.struct(F.coalesce(moved["detected"], F.lit(False)).alias("detected"), _elements(moved["transitions"]).alias("transitions"))
+    fields = {
+        "scene_type": C.scene_code(F.coalesce(top["scene_type"], F.lit("SA"))),
+        "total_workers": _total(top, people),
+        "action_transition": transition,
+        **{f: top[f] for f in SCENE_TEXTS},
+        "visibility_conditions": F.when(top["visibility_conditions"].isNotNull(), _elements(top["visibility_conditions"])),
+    }
+    return {f: c.alias(f) for f, c in fields.items()}
+
+
 def repaired(reply: Column) -> Column:
     """A reply's JSON text as a struct of scene type, number of people, people and the scene's other fields; null if it is
     no JSON object.
@@ -128,32 +142,37 @@ def repaired(reply: Column) -> Column:
 
     def build(top: Column) -> Column:
         people = _people(top)
-        moved = F.from_json(F.when(F.trim(top["action_transition"]).startswith("{"), top["action_transition"]), "detected boolean, transitions string")
-        transition = F.struct(F.coalesce(moved["detected"], F.lit(False)).alias("detected"), _elements(moved["transitions"]).alias("transitions"))
-        return F.struct(
-            C.scene_code(F.coalesce(top["scene_type"], F.lit("SA"))).alias("scene_type"),
-            _total(top, people).alias("total_workers"),
-            F.transform(F.transform(people, _named), _person).alias("persons"),
-            transition.alias("action_transition"),
-            *(top[f].alias(f) for f in SCENE_TEXTS),
-            F.when(top["visibility_conditions"].isNotNull(), _elements(top["visibility_conditions"])).alias("visibility_conditions"),
-        )
+        fields = _scene(top, people)
+        first = ("scene_type", "total_workers")
+        return F.struct(*(fields[f] for f in first), F.transform(F.transform(people, _named), lambda p: _person(p)).alias("persons"), *(c for f, c in fields.items() if f not in first))
 
     return F.when(_readable(reply), _once(F.from_json(reply, _TOP), build))
 
 
-def people_of(rows: DataFrame, reply: str, keep: Sequence[str]) -> DataFrame:
+def _scenes(rows: DataFrame, reply: str) -> DataFrame:
+    """Rows of readable replies with their ``_top`` fields and the texts of their ``_people``, each worked out once."""
+    tops = with_once(rows.where(_readable(F.col(reply))), "_top", F.from_json(reply, _TOP))
+    return with_once(tops, "_people", _people(F.col("_top")))
+
+
+def people_of(rows: DataFrame, reply: str, keep: Sequence[str], fields: Sequence[str] | None = None) -> DataFrame:
     """The people of readable replies as rows: the ``keep`` columns, ``scene_type``, ``total_workers``, ``place`` (from 0) and
-    ``p`` as in ``repaired``; one row with nulls for a reply without people.
+    ``p`` as in ``repaired``; one row with nulls for a reply without people. ``p`` holds only ``fields``, if given.
 
     A person is worked out as columns of a row, which are compiled, not inside an array, which isn't.
     """
-    tops = with_once(rows.where(_readable(F.col(reply))), "_top", F.from_json(reply, _TOP))
-    listed = with_once(tops, "_people", _people(F.col("_top")))
     scene = C.scene_code(F.coalesce(F.col("_top.scene_type"), F.lit("SA"))).alias("scene_type")
-    texts = listed.select(*keep, scene, _total(F.col("_top"), F.col("_people")).alias("total_workers"), F.posexplode_outer("_people").alias("place", "_text"))
+    texts = _scenes(rows, reply).select(*keep, scene, _total(F.col("_top"), F.col("_people")).alias("total_workers"), F.posexplode_outer("_people").alias("place", "_text"))
     named = with_once(texts, "_named", F.when(F.col("_text").isNotNull(), _named(F.col("_text"))))
-    return named.select(*keep, "scene_type", "total_workers", "place", F.when(F.col("_text").isNotNull(), _person(F.col("_named"))).alias("p"))
+    return named.select(*keep, "scene_type", "total_workers", "place", F.when(F.col("_text").isNotNull(), _person(F.col("_named"), fields)).alias("p"))
+
+
+def scenes_of(rows: DataFrame, reply: str, keep: Sequence[str]) -> DataFrame:
+    """The ``keep`` columns of readable replies with a struct ``norm`` of the fields of the normal form that don't depend on
+    what is said of each person. People are counted, not read."""
+    scenes = _scenes(rows, reply)
+    record = with_once(scenes.select(*keep, "_top", "_people"), "_record", F.struct(*_scene(F.col("_top"), F.col("_people")).values()))
+    return record.select(*keep, F.struct(*_scene_form(F.col("_record")).values()).alias("norm"))
 
 
 # --- defaults ---------------------------------------------------------------------------------------------------------
@@ -237,6 +256,25 @@ def _alone(p: Column, i: Column) -> Column:
     return F.when(i == 0, p.withField("group_flag", F.lit("solo")).withField("coordinated_with", none).withField("role_in_coordination", F.lit(""))).otherwise(p)
 
 
+def _scene_form(record: Column) -> dict[str, Column]:
+    """The fields of a record's normal form that don't depend on what is said of each person, by name."""
+    n = record["total_workers"]
+    text = lambda f, default="": F.coalesce(record[f], F.lit(default))
+    seen = F.coalesce(record["visibility_conditions"], F.array().cast("array<string>"))
+    fields = {
+        "scene_type": F.when((n == 1) & (record["scene_type"] != ""), "SA").otherwise(record["scene_type"]),
+        "num_workers": n,
+        "annotation_layer": F.when(n > 5, 1).otherwise(2),
+        "visibility": text("visibility", "clear"),
+        "visibility_conditions": F.when(F.size(seen) > 0, seen).otherwise(F.array(text("visibility", "clear"))),
+        "visible_equipment": text("visible_equipment"),
+        "action_transition": record["action_transition"],
+        "group_activity": text("group_activity"),
+        "scene_description": text("scene_description"),
+    }
+    return {f: c.alias(f) for f, c in fields.items()}
+
+
 def normalised(record: Column, people: Column) -> Column:
     """The normal form of a repaired record, given its people in normal form.
 
@@ -249,19 +287,11 @@ def normalised(record: Column, people: Column) -> Column:
     codes = F.array_sort(F.array_distinct(F.filter(F.transform(people, lambda p: p["action_code"]), lambda c: F.coalesce(c, F.lit("")) != "")))
     states = F.flatten(F.transform(people, lambda p: F.array(*(p["ppe"][i] for i in PROTECTION))))
     first = F.get(people, F.lit(0))
-    text = lambda f, default="": F.coalesce(record[f], F.lit(default))
-    seen = F.coalesce(record["visibility_conditions"], F.array().cast("array<string>"))
+    scene = _scene_form(record)
     return F.struct(
-        F.when(one, "SA").otherwise(record["scene_type"]).alias("scene_type"),
-        n.alias("num_workers"),
-        F.when(big, 1).otherwise(2).alias("annotation_layer"),
+        *(scene[f] for f in ("scene_type", "num_workers", "annotation_layer")),
         (big & (F.size(people) > 0)).alias("bonus_per_person"),
-        text("visibility", "clear").alias("visibility"),
-        F.when(F.size(seen) > 0, seen).otherwise(F.array(text("visibility", "clear"))).alias("visibility_conditions"),
-        text("visible_equipment").alias("visible_equipment"),
-        record["action_transition"].alias("action_transition"),
-        text("group_activity").alias("group_activity"),
-        text("scene_description").alias("scene_description"),
+        *(scene[f] for f in ("visibility", "visibility_conditions", "visible_equipment", "action_transition", "group_activity", "scene_description")),
         F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("X1"))).alias("dominant_actions"),
         C.overall_protection(F.transform(states, lambda v: C.lookup(v, {"worn": "present", "not_worn": "absent"}, v))).alias("overall_ppe_compliance"),
         mean_confidence(people, 0.5).alias("annotator_confidence"),

@@ -12,7 +12,7 @@ from framescope.functions import columns as C
 from framescope.operators import agreement as G
 from framescope.operators import replies as R
 from framescope.operators import selection as S
-from framescope.plans.projections import table, taken
+from framescope.plans.projections import spread, table, taken
 from framescope.session import shared_dir
 from framescope.sources import files
 
@@ -72,7 +72,8 @@ def replies(s, d):
     total = F.when(k % 11 == 0, ',"total_workers":9').otherwise("")
     reply = F.concat(F.lit('{"scene_type":"'), scene, F.lit('"'), total, F.when(k % 2 == 0, ',"workers":').otherwise(',"persons":'), whole, *scene_fields, F.lit("}"))
     reply = F.when(k % 13 == 0, F.lit('{"scene_type": broken')).otherwise(reply)
-    return table(s, d, "orders").select(k.alias("clip_id"), "o_custkey", reply.alias("reply"))
+    o = spread(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return o.select(k.alias("clip_id"), "o_custkey", reply.alias("reply"))
 
 
 REPLIES = f"""r AS (SELECT o_orderkey AS k, o_custkey AS c, o_custkey % 8 AS n, CASE WHEN o_orderkey % 11 = 0 THEN 9 ELSE o_custkey % 8 END AS total, {_list(("MAI", "SA", "MAC", "SEQ"))}[o_orderkey % 4 + 1] AS scene FROM orders WHERE o_orderkey % 13 <> 0),
@@ -87,9 +88,9 @@ def repaired(s, d):
     return R.with_once(replies(s, d), "fixed", R.repaired(F.col("reply"))).select("clip_id", "fixed")
 
 
-def people(s, d):
-    """(clip_id, scene_type, total_workers, i, p) of every person, from 1."""
-    return R.people_of(replies(s, d), "reply", ["clip_id"]).where("p is not null").withColumn("i", (F.col("place") + 1).cast("long")).drop("place")
+def people(s, d, fields=None):
+    """(clip_id, scene_type, total_workers, i, p) of every person, from 1; ``p`` with only ``fields``, if given."""
+    return R.people_of(replies(s, d), "reply", ["clip_id"], fields).where("p is not null").withColumn("i", (F.col("place") + 1).cast("long")).drop("place")
 
 
 def norms(s, d):
@@ -105,7 +106,7 @@ norm AS (SELECT r.k, n, total, CASE WHEN total = 1 THEN 'SA' ELSE scene END AS s
 
 @query("p21_repair", f"WITH {REPLIES} SELECT k AS clip_id, scene AS scene_type, CAST(total AS INT) AS total_workers, i, position, action, sure AS confidence, helmet, vest, spatial, partners FROM w JOIN r USING (k, c, n)")
 def _(s, d):
-    p = people(s, d)
+    p = people(s, d, ("position", "action_class", "confidence", "ppe", "spatial_context", "coordinated_with"))
     item = lambda k: F.try_element_at("p.ppe", F.lit(k))
     return p.select("clip_id", "scene_type", "total_workers", "i", "p.position", F.col("p.action_class").alias("action"), "p.confidence", item("helmet").alias("helmet"), item("high_vis_vest").alias("vest"), F.concat_ws("|", "p.spatial_context").alias("spatial"), F.concat_ws("|", "p.coordinated_with").alias("partners"))
 
@@ -125,7 +126,7 @@ def _(s, d):
 
 @query("p23_scene_fields", "SELECT o_orderkey AS clip_id, o_orderkey % 5 = 0 AS moved, CASE WHEN o_orderkey % 5 = 0 THEN '{\"from_action\":\"A1\"}|x' ELSE '' END AS transitions, CASE WHEN o_orderkey % 3 = 0 THEN 'two people' ELSE '' END AS scene_description, CASE WHEN o_orderkey % 3 = 0 THEN 'lifting' ELSE '' END AS group_activity, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 7 = 0 THEN 'harsh' ELSE 'clear' END AS visibility, CASE WHEN o_orderkey % 2 = 0 THEN 'dust' WHEN o_orderkey % 7 = 0 THEN 'harsh' ELSE 'clear' END AS conditions, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 7 = 0 THEN 'crane' ELSE '' END AS visible_equipment FROM orders WHERE o_orderkey % 13 <> 0")
 def _(s, d):
-    n = norms(s, d).where(F.col("norm").isNotNull())
+    n = R.scenes_of(replies(s, d), "reply", ["clip_id"])
     moved = F.col("norm.action_transition")
     texts = ("scene_description", "group_activity", "visibility", "visible_equipment")
     return n.select("clip_id", moved["detected"].alias("moved"), F.concat_ws("|", moved["transitions"]).alias("transitions"), *(f"norm.{f}" for f in texts), F.concat_ws("|", "norm.visibility_conditions").alias("conditions"))
@@ -239,7 +240,7 @@ def _(s, d):
 
 @query("v09_people_stats", f"WITH {NORMS} SELECT (SELECT count(*) FROM norm) AS records, (SELECT CAST(sum(total) AS DOUBLE) / count(*) FROM norm) AS mean_people, avg(sure) AS mean_confidence, min(sure) AS least, max(sure) AS most FROM w")
 def _(s, d):
-    p = R.people_of(replies(s, d), "reply", ["clip_id"])
+    p = R.people_of(replies(s, d), "reply", ["clip_id"], ["confidence"])
     first, sure = F.coalesce(F.col("place"), F.lit(0)) == 0, F.col("p.confidence")
     records = F.count_if(first)
     return p.agg(records.alias("records"), (F.sum(F.when(first, F.col("total_workers"))) / records).alias("mean_people"), F.avg(sure).alias("mean_confidence"), F.min(sure).alias("least"), F.max(sure).alias("most"))

@@ -96,7 +96,7 @@ def _(s, d):
 
 @query("a36_unlisted", f"WITH {REPLIES}, p AS (SELECT r.k, coalesce(action = 'X1', FALSE) AS x FROM r LEFT JOIN w ON w.k = r.k), c AS (SELECT k, count(*) FILTER (x) AS n FROM p GROUP BY k) SELECT NULL AS closest, CAST(sum(n) AS BIGINT) AS people, count(*) FILTER (n > 0) AS clips, 1 - CAST(count(*) FILTER (n > 0) AS DOUBLE) / count(*) AS coverage FROM c UNION ALL SELECT 'B1', CAST(sum(n) AS BIGINT), count(*) FILTER (n > 0), NULL FROM c")
 def _(s, d):
-    p = R.people_of(replies(s, d), "reply", ["clip_id"])
+    p = R.people_of(replies(s, d), "reply", ["clip_id"], ["action_code", "action_class", "closest_existing_class", "closest_existing_label"])
     code = C.action_code(F.coalesce(F.nullif(F.col("p.action_code"), F.lit("")), F.col("p.action_class"), F.lit("")))
     people = p.select("clip_id", code.alias("code"), F.coalesce("p.closest_existing_class", "p.closest_existing_label").alias("closest"))
     return reports.unlisted_summary(people)
