@@ -30,17 +30,28 @@ def folder(s: SparkSession, label: str) -> str:
     return f"{shared_dir(s).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def as_stream(rows: DataFrame, at: str, path: str, parts: int = 3, streamed: bool = True) -> DataFrame:
-    """The rows as a stream of ``parts`` batches in the order of ``at``, from files that are written one part after another."""
+def as_stream(rows: DataFrame, at: str, path: str, parts: int = 3, tail: DataFrame | None = None) -> DataFrame:
+    """The rows as a stream of ``parts`` batches in the order of ``at``, from files that are written one part after another.
+
+    A part has as many files as there are shuffle partitions, so that all tasks write and read it. Each file holds one row that
+    only fills it and is left out again: a file that were missing would move the borders of the batches. ``tail`` comes with the
+    last part.
+    """
+    s = rows.sparkSession
+    files = int(s.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
     low, high = bounds["low"] or 0, bounds["high"] or 0
     edges = [low + (high - low) * k // parts for k in range(1, parts)]
+    fill = s.range(files).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema), F.col("id").cast("int").alias("_file"), F.lit(True).alias("_fill"))
     for k in range(parts):
         above = F.col(at) > edges[k - 1] if k else F.lit(True)
         upto = F.col(at) <= edges[k] if k < parts - 1 else F.lit(True)
-        rows.where(above & upto).coalesce(1).write.mode("append").parquet(path)
-    s = rows.sparkSession
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path) if streamed else s.read.schema(rows.schema).parquet(path)
+        part = rows.where(above & upto)
+        part = part.unionByName(tail) if tail is not None and k == parts - 1 else part
+        dealt = part.withColumn("_file", F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int")).withColumn("_fill", F.lit(False))
+        dealt.unionByName(fill).repartitionById(files, "_file").drop("_file").write.option("maxRecordsPerFile", 0).mode("append").parquet(path)
+    schema = dealt.drop("_file").schema
+    return s.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).where("NOT _fill").drop("_fill")
 
 
 def finished(stream: DataFrame, path: str) -> DataFrame:
@@ -142,14 +153,15 @@ WINDOWS = "SELECT user_id, p // 20 AS \"window\", count(*) AS n, count(*) FILTER
 
 @query("r08_count_window_stream", WINDOWS)
 def _(s, d):
-    """``v12_count_window`` as a stream: time is the event's number, and one row without a user ends all windows."""
+    """``v12_count_window`` as a stream: time is the event's number, and a row without one ends all windows after the last event."""
     path = folder(s, "health")
     e = table(s, d, "events").select("user_id", "event_id", "event_type", F.timestamp_seconds(F.col("event_id") + 1).alias("at"))
-    last = e.agg((F.max("event_id") + 10_000_000).alias("event_id")).select(F.lit(None).cast(e.schema["user_id"].dataType).alias("user_id"), "event_id", F.lit("end").alias("event_type"), F.timestamp_seconds(F.col("event_id") + 1).alias("at"))
-    as_stream(e, "event_id", f"{path}/events")
-    stream = as_stream(last, "event_id", f"{path}/events", 1)
-    out = health.count_windows(stream, "user_id", "event_id", "at", F.col("event_type") == "error", 20, "9000000 SECONDS", "0 seconds")
-    return finished(out, path).where("user_id is not null")
+    bounds = e.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    low, high = bounds["low"] or 0, bounds["high"] or 0
+    idle = high - low + 1  # longer than any user can be idle before the last event
+    last = s.range(1).select(*(F.lit(None).cast(e.schema[c].dataType).alias(c) for c in e.columns[:-1]), F.timestamp_seconds(F.lit(high + 1 + idle)).alias("at"))
+    stream = as_stream(e, "event_id", f"{path}/events", tail=last)
+    return finished(health.count_windows(stream, "user_id", "event_id", "at", F.col("event_type") == "error", 20, f"{idle} SECONDS", "0 seconds"), path)
 
 
 @query("r03_resumed", "SELECT event_type, count(*) AS n, count(*) FILTER (CAST(event_id AS BIGINT) % 9 = 0) AS failed FROM events GROUP BY 1")

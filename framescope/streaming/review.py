@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,6 +34,9 @@ EXPERTS, OFFICERS = "tier_2", "tier_3"
 #: A record's texts that name no unsafe act: of a tier-1 record on layer 2, and of an expert's there. On layer 1 any text names one.
 NO_ACT, NO_ACT_FOR_EXPERTS = ("", "none"), ("", "none", "none_visible")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys are dealt out to so many groups of a stateful stream. A call of a processor costs some milliseconds, so that one for each key
+#: would take most of the time where a batch holds many keys.
+BUCKETS = 512
 
 
 class Saved(NamedTuple):
@@ -131,6 +134,10 @@ def _rows(batch: pd.DataFrame) -> Iterator[tuple[Any, Saved]]:
         yield clip, Saved(*fields)
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 class Desk(StatefulProcessor):
     """A clip's records as a map by annotator, and its queues, kept between batches."""
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from framescope.plans import registry, stream_queries
 from framescope.streaming import health, resume, review, windows
 
 SAVED = "clip_id long, annotator_id string, status string, unsafe string, suggested string, action string, saved_at long"
@@ -113,6 +115,48 @@ def test_count_windows_leave_when_full_or_idle(spark, tmp_path):
     assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 3, 1, True), ("a", 1, 3, 1, True), ("a", 2, 1, 1, True), ("b", 0, 1, 0, False)]
 
 
+def test_windows_of_keys_that_share_a_bucket(spark, tmp_path):
+    """With one bucket for all: keys without a value, beyond 2^53 and back after a rest; rows without a place tell the time alone."""
+    at = lambda minute: datetime(2024, 1, 1, 0, minute)
+    rows = [(2**53 + 1, 0, at(0), True), (None, 1, at(1), False), (2**53, 2, at(2), False), (None, None, at(15), None), (None, None, at(16), None), (2**53 + 1, 3, at(20), False), (2**53, 4, at(21), True), (None, None, at(50), None)]
+    df = spark.createDataFrame([(*row, part) for part, row in enumerate(rows)], "who long, place long, at timestamp, bad boolean, part int")
+    stream = feed(df, str(tmp_path / "in"), "part", 8)
+    out = drain(health.count_windows(stream, "who", "place", "at", F.col("bad"), 2, "10 minutes", "0 seconds", buckets=1), str(tmp_path))
+    want = [(None, 0, 1, 0), (2**53, 0, 1, 0), (2**53, 1, 1, 1), (2**53 + 1, 0, 1, 1), (2**53 + 1, 1, 1, 0)]
+    assert sorted((r.who or 0, r.window, r.n, r.failed) for r in out.collect()) == [(who or 0, *x) for who, *x in want]
+
+
+def test_parts_keep_their_borders_in_many_files(spark, tmp_path):
+    """Parts of few rows or none still come as batches of their own, each from as many files as there are shuffle partitions."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(0, "a"), (1, None), (90, "b"), (90, "b")]
+    stream = stream_queries.as_stream(spark.createDataFrame(rows, "k long, v string"), "k", str(tmp_path / "in"), tail=spark.createDataFrame([("c", None)], "v string, k long"))
+    seen = []
+    stream.writeStream.foreachBatch(lambda batch, number: seen.append(sorted(map(repr, map(tuple, batch.collect()))))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [["(0, 'a')", "(1, None)"], [], ["(90, 'b')", "(90, 'b')", "(None, 'c')"]]
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 3 * files
+
+
+def test_keys_are_called_by_bucket(spark, tmp_path):
+    """A call for each key took most of the time of large batches."""
+    spark.createDataFrame([(1, "a", "submitted", None, None, "A1", 1)], SAVED).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SAVED).parquet(str(tmp_path / "in"))
+    windows_of = health.count_windows(stream.withColumn("at", F.timestamp_seconds("saved_at")), "clip_id", "saved_at", "at", F.lit(False), 2, "1 minute", "0 seconds")
+    for out in (windows_of,):
+        node = next(x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "TransformWithState" in x)
+        assert node.split("transformWithStateUDF(")[1].startswith("bucket")
+
+
+def test_windows_of_sparse_users(spark, tmp_path):
+    """A user who is idle for more than 9,000,000 events, and events without a user, count as in SQL."""
+    events = [(0, 1, "error"), (11_000_000, 2, "view"), (13_000_000, 2, "view"), (20_000_000, None, "error"), (36_000_000, 1, "view")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = registry.QUERIES["r08_count_window_stream"](spark, str(tmp_path)).select("user_id", "window", "n", "failed", "alert").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(registry.ORACLES["r08_count_window_stream"]).fetchall()))
+
+
 class Broken(Exception):
     pass
 
