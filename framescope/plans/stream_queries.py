@@ -64,12 +64,12 @@ def finished(stream: DataFrame, path: str) -> DataFrame:
 # --- review queues --------------------------------------------------------------------------------------------------
 
 
-def saved(s, d):
+def saved(events):
     """Records that five tier-1 annotators, an expert and a safety officer save, some skipped, flagged or saved again."""
     k = F.col("event_id")
     who = F.when(k % 17 == 0, "e").when(k % 53 == 0, "s").otherwise(F.concat(F.lit("w"), (k % 5).cast("string")))
     texts = lambda *values: F.array(*map(F.lit, values))
-    return table(s, d, "events").select(
+    return events.select(
         F.col("user_id").cast("long").alias("clip_id"),
         who.alias("annotator_id"),
         F.when(k % 17 == 0, "tier_2").when(k % 53 == 0, "tier_3").otherwise("tier_1").alias("role"),
@@ -102,24 +102,25 @@ open AS (SELECT clip AS clip_id, reason, k AS saved_at FROM entry e JOIN turn t
 
 @query("r06_queue", f"WITH {SAVED} SELECT * FROM changes")
 def _(s, d):
-    return review.changes_of(saved(s, d))
+    return review.changes_of(saved(table(s, d, "events")))
 
 
 @query("r05_escalation", f"WITH {SAVED} SELECT * FROM changes")
 def _(s, d):
     """The changes as a stream over saved annotations, run to the end of what is there."""
     path = folder(s, "review")
-    return finished(review.review_changes(as_stream(saved(s, d), "saved_at", f"{path}/saved")), path)
+    events = as_stream(table(s, d, "events").select("user_id", "event_id"), "event_id", f"{path}/saved")
+    return finished(review.review_changes(saved(events)), path)
 
 
 @query("r06_open_entries", f"WITH {SAVED} SELECT * FROM open")
 def _(s, d):
-    return review.open_entries(review.changes_of(saved(s, d)))
+    return review.open_entries(review.changes_of(saved(table(s, d, "events"))))
 
 
 @query("r07_live_entries", f"WITH {SAVED} SELECT DISTINCT clip_id FROM open WHERE clip_id IN (SELECT doc_id FROM labels)")
 def _(s, d):
-    queue = review.open_entries(review.changes_of(saved(s, d))).select("clip_id")
+    queue = review.open_entries(review.changes_of(saved(table(s, d, "events")))).select("clip_id")
     return review.live_entries(queue, table(s, d, "labels").select(F.col("doc_id").alias("clip_id")))
 
 

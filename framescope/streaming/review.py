@@ -139,25 +139,33 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 
 class Desk(StatefulProcessor):
-    """A clip's records as a map by annotator, and its queues, kept between batches."""
+    """The clips of a bucket by id, each with its standing records and its queues, kept between batches."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.records = handle.getMapState("records", "annotator_id string", "action string, scene string")
-        self.queued = handle.getValueState("queued", "queues string")
+        self.clips = handle.getMapState("clips", "clip_id string", "records string, queued string")
+
+    @staticmethod
+    def _texts(clip: Clip) -> tuple[str, str]:
+        return json.dumps(clip.records, sort_keys=True), json.dumps(sorted(clip.queued))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = {who[0]: (v[0], json.loads(v[1])) for who, v in self.records.iterator()} if self.records.exists() else {}
-        queued = tuple(json.loads(self.queued.get()[0])) if self.queued.exists() else ()
-        clip = Clip(dict(known), queued)
-        batch = pd.concat(list(rows)).sort_values(["saved_at", "annotator_id"])
-        made = [(key[0], *change, r.annotator_id, r.saved_at) for _, r in _rows(batch) for change in clip.save(r)]
-        for who in known.keys() - clip.records.keys():
-            self.records.removeKey((who,))
-        for who, record in clip.records.items():
-            if known.get(who) != record:
-                self.records.updateValue((who,), (record[0], json.dumps(record[1])))
-        if clip.queued != set(queued):
-            self.queued.update((json.dumps(sorted(clip.queued)),))
+        batch = pd.concat(list(rows)).drop(columns="bucket").sort_values(["saved_at", "annotator_id"])
+        any_known = self.clips.exists()
+        clips: dict[Any, tuple[Clip, tuple[str, str] | None]] = {}
+        made = []
+        for who, r in _rows(batch):
+            if who not in clips:
+                found = self.clips.getValue((who,)) if any_known else None
+                records = {k: (action, scene) for k, (action, scene) in json.loads(found[0]).items()} if found else None
+                clips[who] = Clip(records, tuple(json.loads(found[1])) if found else ()), tuple(found) if found else None
+            made += [(who, *change, r.annotator_id, r.saved_at) for change in clips[who][0].save(r)]
+        for who, (clip, before) in clips.items():
+            after = self._texts(clip)
+            if not clip.records and not clip.queued:
+                if before:
+                    self.clips.removeKey((who,))
+            elif after != before:
+                self.clips.updateValue((who,), after)
         yield pd.DataFrame(made, columns=["clip_id", "queue", "change", "reason", "annotator_id", "saved_at"])
 
     def close(self) -> None:
@@ -169,10 +177,15 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def review_changes(saved: DataFrame) -> DataFrame:
-    """The stream of queue changes. Within a batch records count in the order in which they were saved."""
+def review_changes(saved: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The stream of queue changes. Within a batch records count in the order in which they were saved.
+
+    State is kept by ``buckets`` of clips, whose number must stay the same as long as a checkpoint is used.
+    """
     use_rocksdb(saved.sparkSession)
-    return _prepared(saved).groupBy("clip_id").transformWithStateInPandas(Desk(), CHANGES, "Append", "None")
+    rows = _prepared(saved).select(bucket_of("clip_id", buckets).alias("bucket"), F.col("clip_id").cast("string").alias("clip_id"), *list(Saved._fields))
+    out = rows.groupBy("bucket").transformWithStateInPandas(Desk(), CHANGES.replace("clip_id long", "clip_id string"), "Append", "None")
+    return out.withColumn("clip_id", F.col("clip_id").cast("long"))
 
 
 def changes_of(saved: DataFrame) -> DataFrame:

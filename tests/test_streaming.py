@@ -115,7 +115,7 @@ def test_count_windows_leave_when_full_or_idle(spark, tmp_path):
     assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 3, 1, True), ("a", 1, 3, 1, True), ("a", 2, 1, 1, True), ("b", 0, 1, 0, False)]
 
 
-def test_windows_of_keys_that_share_a_bucket(spark, tmp_path):
+def test_windows_and_queues_of_keys_that_share_a_bucket(spark, tmp_path):
     """With one bucket for all: keys without a value, beyond 2^53 and back after a rest; rows without a place tell the time alone."""
     at = lambda minute: datetime(2024, 1, 1, 0, minute)
     rows = [(2**53 + 1, 0, at(0), True), (None, 1, at(1), False), (2**53, 2, at(2), False), (None, None, at(15), None), (None, None, at(16), None), (2**53 + 1, 3, at(20), False), (2**53, 4, at(21), True), (None, None, at(50), None)]
@@ -125,6 +125,11 @@ def test_windows_of_keys_that_share_a_bucket(spark, tmp_path):
     want = [(None, 0, 1, 0), (2**53, 0, 1, 0), (2**53, 1, 1, 1), (2**53 + 1, 0, 1, 1), (2**53 + 1, 1, 1, 0)]
     assert sorted((r.who or 0, r.window, r.n, r.failed) for r in out.collect()) == [(who or 0, *x) for who, *x in want]
 
+    texts = lambda clip, who, action, k: (clip, who, "submitted", None, None, action, k)
+    saved = [texts(2**53, "a", "A1", 1), texts(2**53 + 1, "b", "A2", 2), texts(None, "a", "A1", 3), texts(2**53 + 1, "a", "A1", 4), texts(None, "b", "A1", 5)]
+    stream = feed(spark.createDataFrame(saved, SAVED), f"{tmp_path}/saved", parts=3)
+    assert plain(drain(review.review_changes(stream, buckets=1), f"{tmp_path}/queues")) == [(2**53 + 1, "tier_2", 4, "add", "disagreement")]
+
 
 def test_parts_keep_their_borders_in_many_files(spark, tmp_path):
     """Parts of few rows or none still come as batches of their own, each from as many files as there are shuffle partitions."""
@@ -142,7 +147,7 @@ def test_keys_are_called_by_bucket(spark, tmp_path):
     spark.createDataFrame([(1, "a", "submitted", None, None, "A1", 1)], SAVED).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SAVED).parquet(str(tmp_path / "in"))
     windows_of = health.count_windows(stream.withColumn("at", F.timestamp_seconds("saved_at")), "clip_id", "saved_at", "at", F.lit(False), 2, "1 minute", "0 seconds")
-    for out in (windows_of,):
+    for out in (windows_of, review.review_changes(stream)):
         node = next(x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "TransformWithState" in x)
         assert node.split("transformWithStateUDF(")[1].startswith("bucket")
 
